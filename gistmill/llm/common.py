@@ -61,19 +61,34 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(did, sub, text) of documents: did is doc_id with nulls as NO_ID, a null text is empty.
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs with _did, _sub and _text added, and the distinct (_did, _sub, _text).
 
-    sub tells apart rows that share a doc_id: rows with equal texts are the same document and share a sub;
-    others are numbered in the order of their texts. It is 0 for all where no id repeats, which a scan of the ids shows.
+    _did is doc_id with nulls as NO_ID, a null text is empty. _sub tells apart rows that share a doc_id: rows with equal
+    texts are the same document and share a _sub; others are numbered in the order of their texts. It is 0 for all
+    where no id repeats, which a scan of the ids shows; only otherwise are the texts sorted by id.
     """
-    d = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("did"), F.coalesce("text", F.lit("")).alias("text"))
-    repeats = d.groupBy("did").count().filter("count > 1").limit(1).count()
-    if not repeats:
-        return d.select("did", F.lit(0).alias("sub"), "text")
-    order = Window.partitionBy("did").orderBy("text")
-    return d.select("did", (F.dense_rank().over(order) - 1).alias("sub"), "text").distinct()
+    rows = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
+    if rows.groupBy("_did").count().filter("count > 1").limit(1).count():
+        rows = rows.withColumn("_sub", (F.dense_rank().over(Window.partitionBy("_did").orderBy("_text")) - 1).cast("int"))
+        return rows, rows.select("_did", "_sub", "_text").distinct()
+    rows = rows.withColumn("_sub", F.lit(0))
+    return rows, rows.select("_did", "_sub", "_text")
 
 
-def original_id(did) -> F.Column:
-    return F.when(did != NO_ID, did)
+def original_id() -> F.Column:
+    return F.when(F.col("_did") != NO_ID, F.col("_did")).alias("doc_id")
+
+
+def merged(ranges) -> F.Column:
+    """Sorted ranges {s, e} (end exclusive) of an array, with those that meet or overlap joined."""
+    empty = F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)")
+
+    def add(acc, x):
+        last = F.element_at(acc, -1)
+        joined = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(
+            F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+        )
+
+    return F.aggregate(F.array_sort(ranges), empty, add)
