@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, quality, simhash, urls
+from . import chat, decontaminate, langid, lines, quality, secrets, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -38,8 +46,13 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.examples(rows.unionByName(extra)))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_line_dedup, op4_url_filters, op8_quality_rules, op9_chat_formatting)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_line_dedup, op3_language_id, op4_url_filters, op6_secret_scans, op8_quality_rules, op9_chat_formatting, op10_benchmark_decontamination)
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": lines.ORACLE, "op4_url_filters": urls.ORACLE, "op9_chat_formatting": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_line_dedup": lines.ORACLE, "op4_url_filters": urls.ORACLE, "op9_chat_formatting": chat.ORACLE, "op10_benchmark_decontamination": decontaminate.ORACLE}
