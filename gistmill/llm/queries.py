@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lines, quality, secrets, simhash, urls
+from . import chat, decontaminate, langid, lines, pieces, quality, secrets, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,15 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+#: The model's path, a parameter of the query.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    m = pieces.Model.load(model)
+    return pieces.digest(pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), m), m))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -52,7 +61,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_line_dedup, op3_language_id, op4_url_filters, op6_secret_scans, op8_quality_rules, op9_chat_formatting, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_line_dedup, op3_language_id, op4_url_filters, op5_sentencepiece, op6_secret_scans, op8_quality_rules, op9_chat_formatting, op10_benchmark_decontamination)
 }
 
 ORACLES: dict[str, str] = {"op2_line_dedup": lines.ORACLE, "op4_url_filters": urls.ORACLE, "op9_chat_formatting": chat.ORACLE, "op10_benchmark_decontamination": decontaminate.ORACLE}
