@@ -27,10 +27,16 @@ def words(text) -> F.Column:
 def shingles(w) -> F.Column:
     """64-bit hashes of all runs of WORDS words; of fewer words the hash of them all; of none no hash."""
     count = F.greatest(F.size(w) - (WORDS - 1), F.least(F.size(w), F.lit(1)))
-    hashed = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(w, i, F.lit(WORDS))))
+    # get() takes one step where slice() walks over the whole array, and is null (which a hash skips) beyond its end
+    hashed = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)]))
     return F.when(count > 0, hashed).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
+def hashed(texts: DataFrame, *keep: str) -> DataFrame:
+    """keep and sh, the shingles of _text. The words are a column of their own, as an expression inside the shingles' lambda would be evaluated for each shingle."""
+    return texts.select(*keep, words(F.col("_text")).alias("_w")).select(*keep, shingles(F.col("_w")).alias("sh"))
+
+
 def simhash(hashes) -> F.Column:
     """The 64-bit fingerprint of an array of hashes: a bit is 1 if set in over half of them, repeats included."""
 
@@ -56,21 +62,19 @@ def matches(distinct: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
     items are cut into radius + 1 blocks; pairs of a window and its item that agree on a block are within reach by the
     pigeonhole principle and are then compared bit by bit. Verification: weighted similarity of the shingles.
     """
-    items = scratch.save(
-        benchmark.filter("item_id is not null and text is not null").select("item_id", shingles(words(F.col("text"))).alias("ish")).filter("size(ish) > 0").distinct(), "items"
-    )
+    texts = benchmark.filter("item_id is not null and text is not null").select("item_id", F.col("text").alias("_text"))
+    items = scratch.save(hashed(texts, "item_id").withColumnRenamed("sh", "ish").distinct(), "items").filter("size(ish) > 0")
     seeds = scratch.save(items.select("item_id", F.size("ish").alias("n_ish"), F.posexplode("ish").alias("q", "s")), "seeds")
     small = seeds.count() <= BROADCAST
     keep = F.broadcast if small else lambda x: x
-    hashed = distinct.select("_did", "_sub", shingles(words(F.col("_text"))).alias("sh"))
-    hits = hashed.select("_did", "_sub", F.posexplode("sh").alias("p", "s")).join(keep(seeds), "s")
+    # the outer form, as a plain explode infers a filter on the array's size that is pushed to the scan and computes it anew
+    hits = hashed(distinct, "_did", "_sub").select("_did", "_sub", F.posexplode_outer("sh").alias("p", "s")).join(keep(seeds), "s")
     starts = scratch.save(hits.select("_did", "_sub", "item_id", (F.col("p") - F.col("q")).alias("start"), "n_ish").distinct(), "starts")
 
     marked = starts.groupBy("_did", "_sub").agg(F.collect_list(F.struct("item_id", "start", "n_ish")).alias("at"))
     begin, stop = F.greatest(F.col("at.start"), F.lit(0)), F.least(F.col("at.start") + F.col("at.n_ish"), F.size("sh"))
     windows = (
-        distinct.join(marked.hint("shuffle_hash"), ["_did", "_sub"])
-        .select("_did", "_sub", shingles(words(F.col("_text"))).alias("sh"), "at")
+        hashed(distinct.join(marked.hint("shuffle_hash"), ["_did", "_sub"]), "_did", "_sub", "at")
         .select("_did", "_sub", "sh", F.explode("at").alias("at"))
         .select("_did", "_sub", F.col("at.item_id").alias("item_id"), F.slice("sh", begin + 1, stop - begin).alias("wsh"))
         .select("*", simhash(F.col("wsh")).alias("wfp"))
@@ -81,7 +85,8 @@ def matches(distinct: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
         parts = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.col(fp), a).bitwiseAND(F.lit(m)).alias("v")) for i, (a, m) in enumerate(blocks(radius))]
         return F.explode(F.array(*parts)).alias("block")
 
-    index = items.select("item_id", "ish", simhash(F.col("ish")).alias("ifp")).select("item_id", "ish", "ifp", posted("ifp"))
+    prints = scratch.save(items.select("item_id", "ish", simhash(F.col("ish")).alias("ifp")), "prints")
+    index = prints.select("item_id", "ish", "ifp", posted("ifp"))
     near = (
         windows.select("_did", "_sub", "item_id", "wsh", "wfp", posted("wfp"))
         .join(index, ["item_id", "block"])
