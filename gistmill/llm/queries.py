@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lines, pieces, quality, secrets, simhash, urls
+from . import chat, decontaminate, langid, lines, pieces, quality, secrets, simhash, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_line_dedup, op3_language_id, op4_url_filters, op5_sentencepiece, op6_secret_scans, op8_quality_rules, op9_chat_formatting, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_line_dedup, op3_language_id, op4_url_filters, op5_sentencepiece, op6_secret_scans, op7_substring_dedup, op8_quality_rules, op9_chat_formatting, op10_benchmark_decontamination)
 }
 
 ORACLES: dict[str, str] = {"op2_line_dedup": lines.ORACLE, "op4_url_filters": urls.ORACLE, "op9_chat_formatting": chat.ORACLE, "op10_benchmark_decontamination": decontaminate.ORACLE}
