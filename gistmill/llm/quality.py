@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\x20\t\n\x0b\x0c\r"
@@ -146,3 +147,17 @@ def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), "posterior", (~failed & (F.coalesce("posterior", F.lit(0.0)) >= least)).alias("kept"),
     )
+
+
+def kept_rows(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that quality() keeps. Texts stay in place: nothing is shuffled but counts."""
+    found = {r["pattern"]: r["count"] for r in measured(docs).groupBy("pattern").count().collect()}
+    good = {p for p, x in estimate(found).items() if round(x, 12) >= least}
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [measures(x.as_py() or "") for x in b.column(at)]
+            yield b.filter(pa.array([r[0] >= 20 and 100 * r[4] <= 30 * r[0] and sum(v * 3**k for k, v in enumerate(votes(*r))) in good for r in rows], pa.bool_()))
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
