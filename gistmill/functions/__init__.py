@@ -1 +1 @@
-"""."""
+"""Column functions: tokens, markers, volatile content, detection, images, prediction, guards."""

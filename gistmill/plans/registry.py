@@ -1,15 +1,779 @@
-"""All queries of the library's own operators, with their oracles."""
+"""All queries of the library's own operators over whole tables, with DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import guard, images, markers, text, volatile
+from ..functions.detect import detect
+from ..operators import arrays, diff, logs, markup, prose, relevance, search, tabular
+from . import audit, chat, compress, store
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its oracle."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+# Shapes that the queries take from the tables, in Spark and in DuckDB.
+
+
+def _messages(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", F.col("turn").alias("msg_index"), "role", F.col("text").alias("content"))
+
+
+MESSAGES = "messages as (select conv_id, turn as msg_index, role, text as content from conversations)"
+
+
+def _texts(spark, sf):
+    d = _t(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("block_id"), "text")
+    p = _t(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id")).alias("block_id"), F.col("html").alias("text"))
+    c = _t(spark, sf, "conversations").select(F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("block_id"), "text")
+    return d.unionByName(p).unionByName(c)
+
+
+TEXTS = "texts as (select 'd' || doc_id as block_id, text from documents union all select 'p' || page_id, html from pages union all select 'c-' || conv_id || '-' || turn, text from conversations)"
+#: Tokens of x by the estimate, in DuckDB.
+TOKENS = r"case when {x} = '' then 0 else greatest(1, round_even((length({x}) / 4 + len(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\t-\r\x1c-\x1f \x85\p{{Z}}]'))) / 2, 0)::bigint) end"
+
+
+def _log_lines(spark, sf):
+    e = _t(spark, sf, "events")
+    kind = F.col("event_type")
+    level = F.when(kind == "error", "ERROR request failed").when(kind == "purchase", "WARNING slow request").when(kind == "click", "DEBUG handled").otherwise("INFO handled")
+    line = F.concat(level, F.lit(" "), kind, F.lit(" shard "), (F.col("user_id") % 3).cast("string"))
+    idx = F.row_number().over(Window.partitionBy(F.col("event_id") % 40).orderBy("event_id")) - 1
+    return e.select((F.col("event_id") % 40).alias("block_id"), idx.alias("idx"), line.alias("line"))
+
+
+LOG_LINES = """log_lines as (select event_id % 40 as block_id, row_number() over (partition by event_id % 40 order by event_id) - 1 as idx,
+  case event_type when 'error' then 'ERROR request failed' when 'purchase' then 'WARNING slow request' when 'click' then 'DEBUG handled' else 'INFO handled' end
+  || ' ' || event_type || ' shard ' || (user_id % 3) as line from events)"""
+
+
+def _joined(rows, sep="\n"):
+    ls = F.array_sort(F.collect_list(F.struct("idx", "line")))
+    return rows.groupBy("block_id").agg(F.array_join(F.transform(ls, lambda x: x["line"]), sep).alias("text"))
+
+
+def _search_blocks(spark, sf):
+    li = _t(spark, sf, "lineitem").join(_t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    said = F.when(F.col("l_linenumber") % 3 == 0, "def ").otherwise("use ")
+    line = F.concat(F.lit("src/m"), F.col("l_partkey") % 30, F.lit(".py:"), F.col("l_orderkey"), F.lit(":"), said, F.col("p_name"))
+    idx = F.struct("l_orderkey", "l_linenumber")
+    return _joined(li.select((F.col("l_suppkey") % 20).alias("block_id"), idx.alias("idx"), line.alias("line")))
+
+
+SEARCH_HITS = """hits as (select l_suppkey % 20 as block_id, 'src/m' || (l_partkey % 30) || '.py' as path, l_orderkey, l_linenumber,
+  case when l_linenumber % 3 = 0 then 'def ' else 'use ' end || p_name as content, case when l_linenumber % 3 = 0 then 2.0 else 1.0 end as score
+  from lineitem join part on l_partkey = p_partkey)"""
+
+
+def _diff_blocks(spark, sf):
+    li = _t(spark, sf, "lineitem").filter("l_linenumber <= 20")
+    sign = F.when(F.col("l_returnflag") == "A", "-").when(F.col("l_returnflag") == "R", "+").otherwise(" ")
+    row = F.concat(sign, F.lit("x = "), F.col("l_quantity").cast("int").cast("string"))
+    hunk = F.concat(F.lit("@@ -"), F.col("l_suppkey"), F.lit(",1 +"), F.col("l_suppkey"), F.lit(",1 @@"))
+    files = li.select((F.col("l_orderkey") % 30).alias("block_id"), "l_orderkey", F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("i"), F.concat(hunk, F.lit("\n"), row).alias("line"))
+    one = files.groupBy("block_id", "l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    head = F.concat(F.lit("diff --git a/"), F.col("l_orderkey"), F.lit(" b/"), F.col("l_orderkey"), F.lit("\n"), F.col("body"))
+    return _joined(one.select("block_id", F.col("l_orderkey").alias("idx"), head.alias("line")))
+
+
+DIFF_HUNKS = """rows_ as (select l_orderkey % 30 as block_id, l_orderkey, l_linenumber, l_suppkey, l_partkey, case when l_returnflag in ('A', 'R') then 1 else 0 end as churn from lineitem where l_linenumber <= 20),
+files as (select block_id, l_orderkey, row_number() over (partition by block_id order by l_orderkey) - 1 as file_no from (select distinct block_id, l_orderkey from rows_)),
+hunks as (select r.block_id, f.file_no, row_number() over (partition by r.block_id, r.l_orderkey order by l_linenumber, l_suppkey, l_partkey) as hunk_no, churn,
+  count(*) over (partition by r.block_id, r.l_orderkey) as n_hunks, sum(churn) over (partition by r.block_id, r.l_orderkey) as file_churn
+  from rows_ r join files f on r.block_id = f.block_id and r.l_orderkey = f.l_orderkey)"""
+
+
+def _csv_blocks(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    line = F.concat_ws(",", F.col("l_orderkey").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), "l_returnflag")
+    rows = li.select((F.col("l_suppkey") % 50).alias("block_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("idx"), line.alias("line"))
+    head = rows.select("block_id").distinct().select("block_id", F.struct(F.lit(-1).cast("long").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.lit(0).cast("long").alias("l_partkey")).alias("idx"), F.lit("order,quantity,price,flag").alias("line"))
+    return _joined(rows.unionByName(head))
+
+
+CSV_ROWS = """rows_ as (select l_suppkey % 50 as block_id, row_number() over (partition by l_suppkey % 50 order by l_orderkey, l_linenumber, l_partkey) - 1 as idx,
+  count(*) over (partition by l_suppkey % 50) as n, l_orderkey::double as c0, l_quantity::int::double as c1, l_extendedprice::decimal(18,2)::double as c2 from lineitem),
+cells as (select block_id, idx, n, 0 as col, c0 as value from rows_ union all select block_id, idx, n, 1, c1 from rows_ union all select block_id, idx, n, 2, c2 from rows_)"""
+
+
+def _facts(spark, sf):
+    return _t(spark, sf, "conversations").select(F.col("conv_id").alias("ctx_id"), F.col("turn").alias("seq"), F.substring("text", 1, 200).alias("item"))
+
+
+def _kinds(spark, sf):
+    """Events as a session log: clicks are calls, errors failed outcomes, views compressions, purchases corrections."""
+    e = _t(spark, sf, "events")
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
+    payload = F.struct(
+        F.when(kind == "click", F.concat(F.lit("tool"), k % 5)).alias("tool"), F.when(kind == "error", "error").when(kind == "purchase", "corrected").otherwise("ok").alias("status"),
+        F.lit(None).cast("string").alias("error"), F.lit(None).cast("boolean").alias("success"), F.lit(None).cast("int").alias("exit_code"),
+        F.when(kind == "view", k / 1000).alias("ratio"), F.when(kind == "view", k * 40.0).alias("orig_tokens"), F.when(kind == "purchase", F.concat(F.lit("step "), k % 3)).alias("correction"),
+    )
+    name = F.when(kind == "click", "tool_call").when(kind.isin("error", "purchase"), "outcome").when(kind == "view", "compress").otherwise("note")
+    return e.select(F.col("user_id").cast("string").alias("session_id"), F.struct("ts", "event_id").alias("seq"), name.alias("kind"), payload.alias("payload"))
+
+
+KINDS = """ev as (select user_id::varchar as session_id, ts, event_id, event_type, json_extract_string(props, '$.k')::int as k,
+  lag(event_type) over w as pt, lag(json_extract_string(props, '$.k')::int) over w as pk from events window w as (partition by user_id order by ts, event_id))"""
+
+
+# Scans, tokens and detection.
+
+
+@query(f"select lang, count(*) as n, sum({TOKENS.format(x='text')})::bigint as tokens, max({TOKENS.format(x='text')})::bigint as most from documents group by lang")
+def tok_documents(spark, sf):
+    n = text.token_count(F.col("text"))
+    return _t(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(n).alias("tokens"), F.max(n).alias("most"))
+
+
+_DETECT = rf"""det as (select *, case
+  when trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' then 'text'
+  when regexp_matches(text, '^\s*[\[{{]') and json_valid(text) then 'json'
+  when regexp_matches(text, '^\s*(?i:<!doctype\s+html\b|<html[\s>])') then 'html'
+  when regexp_matches(text, '(?m)^(?:diff --git |@@ -\d|index [0-9a-f]+\.\.|\+\+\+ |--- )') then 'diff'
+  when n >= 2 and log / n >= 0.4 then 'log'
+  when is_csv then 'csv'
+  when n >= 3 and hits / n >= 0.5 then 'search'
+  when kw + 0.5 * sym >= 3 and (kw + 0.5 * sym) / greatest(n, 1) >= 0.8 and kw + 0.5 * sym >= md and (n >= 2 or sym >= 2) then 'code'
+  when md >= 2 then 'markdown' else 'text' end as content_type
+  from (select *, len(ls) as n, len(regexp_extract_all(text, '(?im)^\s*(?:\[?\d{{4}}-\d{{2}}-\d{{2}}[ T]\d{{2}}:\d{{2}}:\d{{2}}|\[?(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL|CRITICAL)\b)')) as log,
+    len(regexp_extract_all(text, '(?m)^\s*\d+[:\-]')) as hits,
+    len(regexp_extract_all(text, '\b(?:def|class|import|from|function|const|let|var|return|public|private|package|func|fn|impl|module|namespace)\b')) as kw,
+    len(regexp_extract_all(text, '[{{}};]|=>|->|::|==|!=|\+=')) as sym,
+    len(regexp_extract_all(text, '(?m)^(?:#{{1,6}}\s|\s*[-*+]\s|\s*\d+\.\s|```|>\s)')) as md,
+    len(ls) >= 3 and (""" + " or ".join(
+    f"(len(list_distinct(list_transform(sm, lambda x: len(string_split(x, {d}))))) = 1 and len(string_split(sm[1], {d})) >= 2 "
+    f"and len(list_filter(sm, lambda x: trim(string_split(x, {d})[1]) <> '')) > 0 and len(list_filter(sm, lambda x: trim(string_split(x, {d})[-1]) <> '')) > 0)"
+    for d in ("','", "';'", "chr(9)", "'|'")
+) + """) as is_csv
+    from (select *, case when len(ls) <= 40 then ls else ls[:20] || ls[-20:] end as sm from (select *, string_split(regexp_replace(text, '\\n$', ''), chr(10)) as ls from texts))))"""
+
+
+@query(f"with {TEXTS}, {_DETECT} select content_type, count(*) as n, sum({TOKENS.format(x='text')})::bigint as tokens from det group by content_type")
+def detect_mix(spark, sf):
+    rows = _texts(spark, sf).select(detect(F.col("text"))["content_type"].alias("content_type"), text.token_count(F.col("text")).alias("t"))
+    return rows.groupBy("content_type").agg(F.count("*").alias("n"), F.sum("t").alias("tokens"))
+
+
+@query()
+def detect_blocks(spark, sf):
+    return _texts(spark, sf).select("block_id", detect(F.col("text")).alias("d")).select("block_id", "d.content_type", _r("d.confidence").alias("confidence"))
+
+
+# Markers, originals and volatile content.
+
+
+@query("select substr(sha256(text), 1, 16) as hash, count(*) as n, max(doc_id) as last from documents group by 1")
+def ccr_hash_put(spark, sf):
+    d = _t(spark, sf, "documents").select(text.content_hash(F.col("text")).alias("hash"), "doc_id")
+    return d.groupBy("hash").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+
+
+def _marked(spark, sf):
+    d = _t(spark, sf, "documents")
+    key = text.content_hash(F.col("text"))
+    said = F.concat(F.lit("a  "), markers.marker(key, F.length("text"), "rows"), F.lit(" b "), F.concat(F.lit("<<ccr:"), key, F.lit(" 7>>")), F.lit(" \nc"))
+    return d.select("doc_id", said.alias("text"))
+
+
+_MARKED = "marked as (select doc_id, 'a  <<ccr:' || substr(sha256(text), 1, 16) || ' ' || length(text) || ' rows>> b <<ccr:' || substr(sha256(text), 1, 16) || ' 7>> ' || chr(10) || 'c' as text from documents)"
+
+
+@query(f"with {_MARKED} select doc_id, substr(text, 10, 16) as hash, regexp_extract(text, ' (\\d+) rows', 1)::bigint as count, 'rows' as reason from marked union all select doc_id, substr(text, 10, 16), 7, 'elided' from marked")
+def ccr_markers_extract(spark, sf):
+    return compress.markers_of(_marked(spark, sf), "doc_id")
+
+
+@query("select doc_id, 'a b' || chr(10) || 'c' as text from documents")
+def strip_markers(spark, sf):
+    return _marked(spark, sf).select("doc_id", markers.strip_markers(F.col("text")).alias("text"))
+
+
+def _kept(spark, sf):
+    e = _t(spark, sf, "documents").filter("doc_id % 3 != 0").select(F.col("text").alias("original"), F.timestamp_seconds("doc_id").alias("created_at"))
+    return store.put(None, e)
+
+
+def _wanted(spark, sf):
+    return compress.markers_of(_marked(spark, sf), "doc_id").filter("reason = 'rows'").select("doc_id", "hash")
+
+
+_KEPT = "kept as (select substr(sha256(text), 1, 16) as hash, max(doc_id) as put_at, any_value(length(text)) as n from documents where doc_id % 3 <> 0 group by 1), wanted as (select doc_id, substr(sha256(text), 1, 16) as hash from documents)"
+
+
+@query(f"with {_KEPT} select doc_id, hash, coalesce(n, -1) as n from wanted left join kept using (hash)")
+def ccr_retrieve_join(spark, sf):
+    return store.retrieve(_wanted(spark, sf), _kept(spark, sf)).select("doc_id", "hash", F.coalesce(F.length("original"), F.lit(-1)).alias("n"))
+
+
+@query(f"with {_KEPT} select doc_id, hash, coalesce(n, -1) as n from wanted left join kept using (hash) where hash in (select substr(sha256(text), 1, 16) from documents where doc_id % 2 = 0)")
+def ccr_retrieve_tracked(spark, sf):
+    tracked = _t(spark, sf, "documents").filter("doc_id % 2 = 0").select(text.content_hash(F.col("text")).alias("hash"))
+    return store.retrieve(_wanted(spark, sf), _kept(spark, sf), tracked).select("doc_id", "hash", F.coalesce(F.length("original"), F.lit(-1)).alias("n"))
+
+
+@query(f"with {_KEPT} select doc_id, hash from wanted where hash not in (select hash from kept)")
+def ccr_missing(spark, sf):
+    return store.missing(_wanted(spark, sf), _kept(spark, sf))
+
+
+@query(f"with {_KEPT} select hash, put_at from kept where 2000 - put_at <= 1500")
+def ttl_live(spark, sf):
+    return store.live(_kept(spark, sf), F.timestamp_seconds(F.lit(2000)), 1500).select("hash", F.col("created_at").cast("long").alias("put_at"))
+
+
+_VOLATILE = "(select doc_id, text || ' at 2024-01-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') || ' 10:00:00 run 17' || lpad((doc_id % 100000000)::varchar, 8, '0') || ' of ' || md5(doc_id::varchar) as text from documents)"
+_SUBS = (
+    (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<UUID>"),
+    (r"\b(?:gh[osr]_[0-9a-zA-Z]{36,255}|sk-[0-9a-zA-Z]{48})\b", "<TOKEN>"),
+    (r"\b\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)?\b", "<TIMESTAMP>"),
+    (r"\b1\d{9}(?:\.\d+)?\b", "<TIMESTAMP>"),
+    (r"\b[0-9a-fA-F]{32,64}\b", "<HASH>"),
+)
+
+
+def _chain(x: str, n: int, put: str | None = None) -> str:
+    for pattern, placeholder in _SUBS[:n]:
+        x = f"regexp_replace({x}, '{pattern}', '{put or placeholder}', 'g')"
+    return x
+
+
+def _volatile(spark, sf):
+    at = F.concat(F.lit(" at 2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit(" 10:00:00 run 17"), F.lpad((F.col("doc_id") % 100000000).cast("string"), 8, "0"))
+    return _t(spark, sf, "documents").select("doc_id", F.concat("text", at, F.lit(" of "), F.md5(F.col("doc_id").cast("string"))).alias("text"))
+
+
+@query(f"select doc_id, sha256({_chain('text', 5)}) as sha from {_VOLATILE}")
+def normalize_dynamic(spark, sf):
+    return _volatile(spark, sf).select("doc_id", F.sha2(volatile.normalize(F.col("text")), 256).alias("sha"))
+
+
+def _n(i: int) -> str:
+    return f"len(regexp_extract_all({_chain('text', i, '_')}, '{_SUBS[i][0]}'))".replace("'_'", "chr(1)")
+
+
+@query(f"select doc_id, {_n(0)} as uuid, {_n(1)} as token, {_n(2)} + {_n(3)} as timestamp, {_n(4)} as hash from {_VOLATILE}")
+def volatile_counts(spark, sf):
+    return _volatile(spark, sf).select("doc_id", *[c.alias(k) for k, c in volatile.counts(F.col("text")).items()])
+
+
+@query()
+def volatile_spans(spark, sf):
+    s = _volatile(spark, sf).select("doc_id", F.explode(volatile.spans("text")).alias("s"))
+    return s.select("doc_id", "s.kind", "s.start", "s.end")
+
+
+# What arrays keep.
+
+
+def _orders(spark, sf):
+    o = _t(spark, sf, "orders")
+    idx = F.row_number().over(Window.partitionBy(F.col("o_custkey") % 60).orderBy("o_orderkey")) - 1
+    return o.select((F.col("o_custkey") % 60).alias("array_id"), idx.alias("idx"), "o_orderkey", F.col("o_totalprice").alias("v"), "o_orderstatus", "o_orderpriority")
+
+
+_ORDERS = "o as (select o_custkey % 60 as array_id, row_number() over (partition by o_custkey % 60 order by o_orderkey) - 1 as idx, o_orderkey, o_totalprice as v, o_orderstatus, o_orderpriority from orders)"
+
+
+@query(f"with {_ORDERS} select array_id, count(*) as n, count(*) filter (where idx < 5 or idx >= c - 3) as kept from (select *, count(*) over (partition by array_id) as c from o) group by array_id")
+def crush_keep_head_tail(spark, sf):
+    return arrays.keep_ends(_orders(spark, sf), "array_id").groupBy("array_id").agg(F.count("*").alias("n"), F.count_if("keep_end").alias("kept"))
+
+
+@query(f"""with {_ORDERS}, a as (select *, count(*) over p as n, avg(v) over p as m, stddev_pop(v) over p as sd from o window p as (partition by array_id)),
+b as (select *, idx + 1 as i, sum((v - m) ** 2) over (partition by array_id order by idx) as c, sum((v - m) ** 2) over (partition by array_id) as t from a),
+d as (select *, case when n >= 4 and t > 0 and i < n then round(abs(c / t - i / n), 12) end as d from b),
+k as (select array_id, max(d) as best, arg_max(i, d * 1e15 - i) as pos_ from d where d is not null group by array_id)
+select array_id, idx, coalesce(sd > 0 and abs(v - m) / sd > 2, false) as outlier, coalesce(best > 0.15 and i in (pos_, pos_ + 1), false) as change from d left join k using (array_id)
+where (sd > 0 and abs(v - m) / sd > 2) or (best > 0.15 and i in (pos_, pos_ + 1))""")
+def crush_anomalies(spark, sf):
+    return arrays.anomalies(_orders(spark, sf), "array_id", "v").filter("outlier or change").select("array_id", "idx", "outlier", "change")
+
+
+def _cells(spark, sf):
+    cell = lambda name: F.struct(F.lit(name).alias("field"), F.col(name).cast("string").alias("value"), F.lit(name == "o_orderkey").alias("num"))
+    return _orders(spark, sf).select("array_id", F.explode(F.array(*map(cell, ("o_orderkey", "o_orderstatus", "o_orderpriority")))).alias("c")).select("array_id", "c.*")
+
+
+_CELLS = _ORDERS + ", cells as (" + " union all ".join(f"select array_id, '{f}' as field, {f}::varchar as value from o" for f in ("o_orderkey", "o_orderstatus", "o_orderpriority")) + "), vc as (select array_id, field, value, count(*) as c from cells group by all)"
+_STATS = """st as (select array_id, field, sum(c)::bigint as present, count(*) as cardinality, sum(-(c / tot) * log2(c / tot)) as entropy from (select *, sum(c) over (partition by array_id, field) as tot from vc) group by all),
+st2 as (select *, regexp_matches(lower(field), '(?:id|uuid|key|pk|_id|guid)$') or (cardinality = present and present > 1) as is_id from st),
+st3 as (select *, (regexp_matches(lower(field), '(?:status|state|level|type|code|result|severity|kind)$') or cardinality <= greatest(2, present * 0.2)) and not is_id as is_status from st2)"""
+
+
+@query(f"with {_CELLS}, {_STATS} select array_id, field, present, cardinality, round(entropy, 6) as entropy, is_id, is_status from st3")
+def crush_field_stats(spark, sf):
+    s = arrays.field_stats(_cells(spark, sf), "array_id", number="num")
+    return s.select("array_id", "field", "present", "cardinality", _r("entropy").alias("entropy"), "is_id", "is_status")
+
+
+@query(f"with {_CELLS}, {_STATS} select v.array_id, v.field, v.value, v.c from (select *, max(c) over (partition by array_id, field) as mode from vc) v join st3 s on v.array_id = s.array_id and v.field = s.field where is_status and c <= greatest(1, floor(present * 0.05)) and c <= 0.5 * mode")
+def crush_rare_values(spark, sf):
+    return arrays.rare_values(_cells(spark, sf), "array_id")
+
+
+_WORDS = "|".join(arrays.ERROR_WORDS)
+
+
+@query(f"select event_id, regexp_matches(lower(event_type || props), '{_WORDS}') as is_error, len(list_intersect(regexp_extract_all(lower(event_type || props), '[a-z0-9_]+'), ['k', 'view', '42'])) > 0 as asked from events")
+def crush_error_query_items(spark, sf):
+    item = F.concat("event_type", "props")
+    return _t(spark, sf, "events").select("event_id", arrays.is_error(item).alias("is_error"), arrays.matches_query(item, F.lit("K, view 42?")).alias("asked"))
+
+
+def _json_blocks(spark, sf):
+    item = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("v").alias("total"), F.col("o_orderpriority").alias("priority")))
+    rows = _orders(spark, sf).select(F.col("array_id").alias("block_id"), "idx", item.alias("line"))
+    return _joined(rows, ",").select("block_id", F.concat(F.lit("["), F.col("text"), F.lit("]")).alias("text"))
+
+
+def _outcome(done, blocks):
+    d = done.join(blocks, "block_id")
+    return d.select("block_id", F.length("text").alias("chars"), F.length("new_text").alias("new_chars"), F.size("dropped").alias("n_dropped"))
+
+
+@query()
+def smartcrusher_json(spark, sf):
+    b = _json_blocks(spark, sf)
+    return _outcome(markup.apply(b, markup.crushed), b)
+
+
+@query("select event_id, length(replace(props, ' ', '')) as n from events")
+def json_minify(spark, sf):
+    e = _t(spark, sf, "events").select(F.col("event_id").alias("block_id"), F.col("props").alias("text"))
+    return markup.apply(e, lambda t: (markup.minified(t), [])).select(F.col("block_id").alias("event_id"), F.length("new_text").alias("n"))
+
+
+# Logs.
+
+_LEVEL = r"""case when regexp_matches(line, '(?i)\b\d+\s+(?:passed|failed|error|skipped|warning)') then 2
+  when regexp_matches(line, '(?i)\b(?:error|fatal|critical|panic|exception|traceback|fail(?:ed|ure)?|assert(?:ion)?error|err!)\b|^E\s') then 4
+  when regexp_matches(line, '(?i)\b(?:warn(?:ing)?|deprecat)\b') then 3 when regexp_matches(line, '(?i)\b(?:debug|trace|verbose)\b') then 0 else 1 end"""
+_LOG = f"""{LOG_LINES}, lv as (select *, {_LEVEL} as level, count(*) over (partition by block_id) as n from log_lines),
+kp as (select *, max(case when level >= 2 then 1 else 0 end) over (partition by block_id order by idx rows between 1 preceding and 1 following) = 1 or idx = 0 or idx = n - 1 as keep from lv)"""
+
+
+@query(f"with {_LOG} select level, keep, count(*) as n from kp group by all")
+def log_levels(spark, sf):
+    return logs.flagged(_joined(_log_lines(spark, sf))).groupBy("level", "keep").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {_LOG}, r as (select *, sum(case when keep then 1 else 0 end) over (partition by block_id order by idx) as run from kp)
+select block_id, min(idx) as idx, count(*) as n, substr(sha256(string_agg(line, chr(10) order by idx)), 1, 16) as hash from r where not keep group by block_id, run""")
+def log_runs(spark, sf):
+    p = logs.pieces(logs.flagged(_joined(_log_lines(spark, sf)))).filter("original is not null")
+    return p.select("block_id", "idx", F.size(F.split("original", "\n", -1)).alias("n"), text.content_hash(F.col("original")).alias("hash"))
+
+
+@query(f"""with {LOG_LINES}, s as (select *, case when lag(line) over w = line and not regexp_matches(line, '\\b\\d{{3,}}\\b|\\b[0-9a-fA-F]{{8,}}\\b') then 0 else 1 end as new from log_lines window w as (partition by block_id order by idx)),
+r as (select *, sum(new) over (partition by block_id order by idx) as run from s)
+select block_id, min(idx) as idx, any_value(line) || case when count(*) > 1 then '  (x' || count(*) || ')' else '' end as piece from r group by block_id, run""")
+def log_rle(spark, sf):
+    return logs.collapsed(_log_lines(spark, sf).withColumnRenamed("line", "piece"))
+
+
+@query()
+def log_compress(spark, sf):
+    b = _joined(_log_lines(spark, sf))
+    return _outcome(logs.compress(b), b)
+
+
+# Search results, diffs, tables.
+
+
+@query(f"""with {SEARCH_HITS}, f as (select block_id, path, count(*) as n_hits, sum(score) as score, min((l_orderkey, l_linenumber)) as first from hits group by all)
+select block_id, path, n_hits, round(score, 6) as score, row_number() over (partition by block_id order by round(score, 9) desc, first) as rank from f""")
+def search_rank(spark, sf):
+    return search.ranked(search.hits(_search_blocks(spark, sf))).select("block_id", "path", "n_hits", _r("score").alias("score"), "rank")
+
+
+@query()
+def search_bm25(spark, sf):
+    b = _search_blocks(spark, sf)
+    found = search.ranked(search.hits(b), b.select("block_id", F.lit("def almond steel").alias("query")))
+    return found.select("block_id", "path", _r("score").alias("score"), "rank")
+
+
+@query()
+def search_compress(spark, sf):
+    b = _search_blocks(spark, sf)
+    return _outcome(search.compress(b), b)
+
+
+@query(f"with {DIFF_HUNKS} select block_id, file_no, hunk_no, churn, n_hunks, file_churn::bigint as file_churn from hunks")
+def diff_churn(spark, sf):
+    return diff.hunks(diff.parsed(_diff_blocks(spark, sf))).select("block_id", "file_no", "hunk_no", "churn", "n_hunks", "file_churn")
+
+
+@query(f"""with {DIFF_HUNKS}, f as (select distinct block_id, file_no, file_churn from hunks), kf as (select *, row_number() over (partition by block_id order by file_churn desc, file_no) <= 10 as kf from f),
+kh as (select *, n_hunks <= 4 or row_number() over (partition by block_id, file_no order by case when hunk_no in (1, n_hunks) then 0 else 1 end, churn desc, hunk_no) <= 4 as kh from hunks)
+select h.block_id, h.file_no, h.hunk_no from kh h join kf f on h.block_id = f.block_id and h.file_no = f.file_no where kf and kh""")
+def diff_topk(spark, sf):
+    rows = diff.parsed(_diff_blocks(spark, sf))
+    files = diff.kept_files(rows).filter("keep").select("block_id", "file_no")
+    return diff.kept_hunks(diff.hunks(rows)).filter("keep").join(files, ["block_id", "file_no"]).select("block_id", "file_no", "hunk_no")
+
+
+@query()
+def diff_compress(spark, sf):
+    b = _diff_blocks(spark, sf)
+    return _outcome(diff.compress(b), b)
+
+
+def _tables(spark, sf):
+    b = _csv_blocks(spark, sf)
+    return b.select("block_id", tabular.cells(text.split_lines(F.col("text"))).alias("cells")).filter("cells is not null")
+
+
+@query(f"with {CSV_ROWS} select block_id, col, count(*) as count, min(value) as min, max(value) as max, round(avg(value), 4) as mean from cells group by block_id, col")
+def csv_stats(spark, sf):
+    return tabular.column_stats(tabular.unpivoted(_tables(spark, sf))).select("block_id", "col", "count", "min", "max", _r("mean", 4).alias("mean"))
+
+
+@query(f"""with {CSV_ROWS}, z as (select *, abs(value - avg(value) over p) / nullif(stddev_pop(value) over p, 0) as z, min(value) over p as lo, max(value) over p as hi from cells window p as (partition by block_id, col)),
+b as (select block_id, idx, max(z) as z, min(col) as met from z where (z > 2.5 or value in (lo, hi)) and idx >= 5 and idx < n - 3 group by all)
+select block_id, idx, round(z, 6) as z from (select *, row_number() over (partition by block_id order by round(z, 9) desc, met, idx) as r from b) where r <= 5""")
+def csv_outliers(spark, sf):
+    t = _tables(spark, sf)
+    return tabular.outliers(tabular.unpivoted(t), t.select("block_id", (F.size("cells") - 1).alias("n"))).select("block_id", "idx", _r("z").alias("z"))
+
+
+@query()
+def csv_compress(spark, sf):
+    b = _csv_blocks(spark, sf)
+    return _outcome(tabular.compress(b), b)
+
+
+# Prose.
+
+
+def _docs(spark, sf):
+    return _t(spark, sf, "documents").select(F.col("doc_id").alias("block_id"), "text")
+
+
+_SENT = r"""para as (select doc_id as block_id, u.p, u.i - 1 as p_idx from (select doc_id, string_split(text, chr(10) || chr(10)) as ps from documents) d, unnest(ps) with ordinality as u(p, i)),
+prose as (select * from para where not regexp_matches(p, '^\s*(?:$|#|[-*+]\s|\d+\.\s|>|```|<|!\[)')),
+sent as (select block_id, p_idx, p, row_number() over (partition by block_id, p_idx order by u.i) - 1 as s_idx, count(*) over (partition by block_id, p_idx) as n, trim(u.s, ' ' || chr(9) || chr(10) || chr(13)) as s
+  from (select *, string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as ss from prose) x, unnest(ss) with ordinality as u(s, i) where trim(u.s, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+cw as (select *, list_filter(regexp_extract_all(lower(s), '[\p{L}\p{N}_]+'), lambda w: regexp_matches(w, '^[a-z0-9]+$') and not list_contains(STOP, w)) as w from sent),
+freq as (select block_id, word, count(*) as f from (select block_id, unnest(w) as word from cw) group by all),
+rar as (select block_id, p_idx, s_idx, sum(1.5 / (1 + f)) as r from (select block_id, p_idx, s_idx, unnest(w) as word from cw) join freq using (block_id, word) group by all),
+sc as (select c.block_id, c.p_idx, c.s_idx, case when len(w) = 0 then 0 else 1 + case when c.s_idx = 0 then 3 when c.s_idx = n - 1 then 1.5 else 0 end + len(w) * 0.01 - greatest(len(w) - 30, 0) * 0.05 + r / len(w) end as score
+  from cw c left join rar x on c.block_id = x.block_id and c.p_idx = x.p_idx and c.s_idx = x.s_idx)""".replace("STOP", str(list(text.STOPWORDS)))
+
+
+@query(f"with {_SENT} select block_id, p_idx, s_idx, round(score + 1e-7, 4) as score from sc")
+def text_sentence_scores(spark, sf):
+    return prose.scored(prose.paragraphs(_docs(spark, sf))).select("block_id", "p_idx", "s_idx", _r(F.col("score") + 1e-7, 4).alias("score"))
+
+
+@query(f"with {_SENT} select block_id, p_idx, s_idx from (select *, row_number() over (partition by block_id order by round(score, 9) desc, p_idx, s_idx) as r, greatest(1, round_even(count(*) over (partition by block_id) * 0.2, 0)) as k from sc) where r <= k")
+def text_topk(spark, sf):
+    return prose.chosen(prose.scored(prose.paragraphs(_docs(spark, sf)))).filter("keep").select("block_id", "p_idx", "s_idx")
+
+
+@query()
+def text_compress(spark, sf):
+    b = _docs(spark, sf)
+    return _outcome(prose.compress(b), b)
+
+
+@query()
+def html_extract(spark, sf):
+    b = _t(spark, sf, "pages").select(F.col("page_id").alias("block_id"), F.col("html").alias("text"))
+    return _outcome(markup.apply(b, markup.html_text), b)
+
+
+@query()
+def code_compress(spark, sf):
+    body = F.concat(F.lit("def load_"), F.col("p_partkey"), F.lit('(x):\n    """Loads '), F.col("p_name"), F.lit('.\n    """\n    y = x + '), F.col("p_size"), F.lit("\n    return y\n"))
+    b = _t(spark, sf, "part").select(F.col("p_partkey").alias("block_id"), body.alias("text"))
+    return _outcome(markup.apply(b, lambda t: markup.code(t) or (t, [])), b)
+
+
+# Relevance, vectors, guards.
+
+
+@query(r"""with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from documents), c as (select count(*) as n, avg(len(w)) as mean from w),
+q as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as term from benchmark),
+tf as (select doc_id, term, count(*) as tf, any_value(dl) as dl from (select doc_id, len(w) as dl, unnest(w) as term from w) group by all), df as (select term, count(*) as df from tf group by term),
+s as (select item_id as query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) as score from q join tf using (term) join df using (term), c group by all)
+select query_id, doc_id, round(score, 5) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from s) where rank <= 5""")
+def bm25_topk(spark, sf):
+    q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    scored = relevance.bm25(q, _t(spark, sf, "documents"))
+    return relevance.top(scored, "query_id", 5, F.desc(F.round("score", 9)), F.asc("doc_id")).select("query_id", "doc_id", _r("score", 5).alias("score"), "rank")
+
+
+@query("""with v as (select vec_id, embedding::double[] as e from embeddings), q as (select vec_id as query_id, e from v where vec_id % 20 = 0)
+select query_id, vec_id, round(s, 6) as similarity, rank from (select *, row_number() over (partition by query_id order by s desc, vec_id) as rank from (select query_id, vec_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) as s from q, v)) where rank <= 5""")
+def cosine_topk(spark, sf):
+    v = _t(spark, sf, "embeddings")
+    return relevance.nearest(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, 5).select("query_id", "vec_id", _r("similarity").alias("similarity"), "rank")
+
+
+@query()
+def semcache_lookup(spark, sf):
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 80).alias("prompt"))
+    rows = _t(spark, sf, "embeddings").join(d, "vec_id")
+    e = rows.filter("vec_id % 20 != 0").select(F.col("vec_id").alias("entry_id"), "prompt", F.col("prompt").alias("response"), "embedding", F.col("vec_id").alias("last_used"))
+    p = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe_id"), "prompt", "embedding")
+    return store.cache_lookup(p, e, 0.2).select("probe_id", "entry_id", _r("similarity").alias("similarity"))
+
+
+def _pairs(spark, sf):
+    c = _t(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 60), F.when(F.col("turn") % 2 == 0, " enable it in May 2024").otherwise(" disable it on 3 May")).alias("t"))
+    nxt = c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("t").alias("u"))
+    own = c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", "t", "u")
+    near = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u")), ["conv_id", "turn"]).select("conv_id", (F.col("turn") + 1000).alias("turn"), "t", "u")
+    return own.unionByName(near)
+
+
+@query()
+def lexical_guard_pairs(spark, sf):
+    return _pairs(spark, sf).select("conv_id", "turn", guard.safe(F.col("t"), F.col("u")).alias("safe"))
+
+
+@query(f"""with w as (select conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-z0-9]+$') and not list_contains({list(text.STOPWORDS)}, w))) as w from conversations)
+select a.conv_id, a.turn, b.turn as other, round(case when len(a.w) = 0 or len(b.w) = 0 then 0 else len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) end, 6) as jaccard from w a join w b on a.conv_id = b.conv_id and b.turn > a.turn""")
+def jaccard_turns(spark, sf):
+    w = _t(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(text.content_words(F.col("text"))).alias("w"))
+    b = w.select("conv_id", F.col("turn").alias("other"), F.col("w").alias("v"))
+    return w.join(b, "conv_id").filter("other > turn").select("conv_id", "turn", "other", _r(text.jaccard(F.col("w"), F.col("v"))).alias("jaccard"))
+
+
+@query()
+def shared_context(spark, sf):
+    return store.fold_context(_facts(spark, sf)).select("ctx_id", F.size("items").alias("n"))
+
+
+@query()
+def memory_search(spark, sf):
+    q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    m = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return store.search_memory(q, m).select("query_id", "id", _r("score").alias("score"), "rank")
+
+
+# Budgets, images, prices.
+
+
+@query("select p_size as n, least(p_size, greatest(ceil(0.2 * sqrt(p_size)), least(1, p_size)))::bigint as k, case when p_size = 1 then 1 else round_even(p_size * 5 / 8, 0) end::bigint as head from part")
+def sizer_budget(spark, sf):
+    n = F.col("p_size")
+    return _t(spark, sf, "part").select(n.alias("n"), text.optimal_k(n).alias("k"), text.split_budget(n)["head"].alias("head"))
+
+
+def _pictures(spark, sf):
+    size = lambda m, off: (F.col("p_partkey") * m % 4000 + off).cast("long")
+    p = _t(spark, sf, "part").select("p_partkey", size(37, 1).alias("w"), size(91, 1).alias("h"))
+    return p.crossJoin(spark.createDataFrame([("openai",), ("claude",), ("gemini",)], "provider string"))
+
+
+_PICTURES = "p as (select p_partkey, p_partkey * 37 % 4000 + 1 as w, p_partkey * 91 % 4000 + 1 as h, provider from part, (values ('openai'), ('claude'), ('gemini')) v(provider))"
+_FIT = "case when least(1.0, {e} / greatest({w}, {h})) >= 1 then {x} else greatest(1, round_even({x} * ({e}::double / greatest({w}, {h})), 0)) end"
+
+
+@query(f"""with {_PICTURES}, f as (select *, {_FIT.format(e='2048.0::double', w='w', h='h', x='w')} as ow, {_FIT.format(e='2048.0::double', w='w', h='h', x='h')} as oh, {_FIT.format(e='1568.0::double', w='w', h='h', x='w')} as aw, {_FIT.format(e='1568.0::double', w='w', h='h', x='h')} as ah from p),
+g as (select *, case when least(ow, oh) > 768 then greatest(1, round_even(ow * (768::double / least(ow, oh)), 0)) else ow end as w2, case when least(ow, oh) > 768 then greatest(1, round_even(oh * (768::double / least(ow, oh)), 0)) else oh end as h2 from f)
+select p_partkey, provider, case provider when 'openai' then case when greatest(w, h) <= 512 then 85 else 85 + 170 * ceil(w2 / 512) * ceil(h2 / 512) end
+  when 'claude' then least(ceil(aw * ah / 750), 1600) else 258 * ceil(w / 768) * ceil(h / 768) end::bigint as tokens from g""")
+def image_tokens(spark, sf):
+    return _pictures(spark, sf).select("p_partkey", "provider", images.tokens(F.col("w"), F.col("h"), F.col("provider"), F.lit("auto")).alias("tokens"))
+
+
+@query()
+def image_plan(spark, sf):
+    target = F.when(F.col("p_partkey") % 2 == 0, 300)
+    return _pictures(spark, sf).select("p_partkey", "provider", images.plan(F.col("w"), F.col("h"), F.col("provider"), target, F.lit("auto")).alias("p")).select("p_partkey", "provider", "p.*")
+
+
+def _runs(spark, sf):
+    names = F.array(*map(F.lit, ("gpt-4o", "gpt-4o-mini-2024-07-18", "claude-3-haiku", "gpt-4-turbo", "unheard-of")))
+    o = _t(spark, sf, "orders")
+    return o.select(F.get(names, (F.col("o_orderkey") % 5).cast("int")).alias("model"), (F.col("o_totalprice").cast("long")).alias("orig_tokens"), (F.col("o_totalprice") / 3).cast("long").alias("new_tokens"))
+
+
+@query("""with r as (select ['gpt-4o', 'gpt-4o-mini-2024-07-18', 'claude-3-haiku', 'gpt-4-turbo', 'unheard-of'][o_orderkey % 5 + 1] as model, trunc(o_totalprice)::bigint as a, trunc(o_totalprice / 3)::bigint as b, [2.5, 2.5, 0.25, 30.0, 2.5][o_orderkey % 5 + 1] as p from orders)
+select model, count(*) as n_runs, sum(a)::bigint as orig_tokens, sum(b)::bigint as new_tokens, sum(a - b)::bigint as saved_tokens, round(1 - sum(b) / sum(a), 6) as ratio, round(sum((a - b) / 1000000.0 * p), 4) as saved_usd from r group by model""")
+def run_totals(spark, sf):
+    out = audit.run_totals(_runs(spark, sf), audit.prices(spark), "model")
+    return out.select("model", "n_runs", "orig_tokens", "new_tokens", "saved_tokens", _r("ratio").alias("ratio"), _r("saved_usd", 4).alias("saved_usd"))
+
+
+# Conversations.
+
+
+@query(f"with {MESSAGES}, m as (select *, max(case when role = 'user' and trim(content) <> '' then msg_index end) over (partition by conv_id) as last from messages) select a.conv_id, a.msg_index, case when a.msg_index <> a.last then left(b.content, 512) end as query from m a left join messages b on a.conv_id = b.conv_id and b.msg_index = a.last")
+def query_resolve(spark, sf):
+    return compress.resolve_query(_messages(spark, sf), compress.Config()).select("conv_id", "msg_index", "query")
+
+
+@query(f"with {MESSAGES} select conv_id, case when max(case when role = 'system' then 1 else 0 end) >= 0 then 'openai' end as dialect from messages group by conv_id")
+def format_detect(spark, sf):
+    return chat.dialect(_messages(spark, sf))
+
+
+@query(f"with {MESSAGES} select conv_id, count(*) as n, sum(length(content))::bigint as chars from messages where role <> 'system' group by conv_id")
+def openai_to_anthropic(spark, sf):
+    return chat.to_anthropic(_messages(spark, sf)).groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
+@query(f"with {MESSAGES} select conv_id, msg_index, row_number() over (partition by conv_id order by case when role in ('system', 'developer') then 0 else 1 end, msg_index) - 1 as place from messages")
+def stable_order(spark, sf):
+    return chat.stable_order(_messages(spark, sf)).select("conv_id", "msg_index", "place")
+
+
+@query(f"with {MESSAGES}, s as (select conv_id, string_agg({_chain('content', 5)}, chr(10) order by msg_index) filter (where role in ('system', 'developer')) as p, count(*) filter (where role in ('system', 'developer')) as n_stable from messages group by conv_id) select conv_id, n_stable, {TOKENS.format(x='coalesce(p, chr(0))').replace(chr(39) * 2 + ' then 0', 'chr(0) then 0')} as prefix_tokens from s")
+def prefix_report(spark, sf):
+    return chat.prefix_report(_messages(spark, sf)).select("conv_id", "n_stable", "prefix_tokens")
+
+
+@query(f"with {MESSAGES} select conv_id, msg_index from (select *, row_number() over (partition by conv_id order by msg_index desc) as r from messages where length(content) >= 500) where r <= 4")
+def cache_breakpoints(spark, sf):
+    return chat.cache_breakpoints(_messages(spark, sf), chars=500).filter("breakpoint").select("conv_id", "msg_index")
+
+
+@query()
+def predict_features(spark, sf):
+    return chat.prompt_features(_messages(spark, sf))
+
+
+_PRED = f"""{MESSAGES}, g as (select conv_id, string_agg(content, chr(10) order by msg_index) filter (where content <> '') as full_, coalesce(arg_max(content, msg_index) filter (where role = 'user'), '') as last, coalesce(string_agg(content, chr(10) order by msg_index) filter (where role = 'system'), '') as sys, count(*) as n from messages group by conv_id),
+t as (select *, {TOKENS.format(x='full_')} as pt, {TOKENS.format(x='last')} as lt, {TOKENS.format(x='sys')} as st, length(last) - length(replace(last, '?', '')) as nq from g)"""
+
+
+@query(f"with {_PRED} select conv_id, pt as prompt_tokens, lt as last_user_tokens, st as system_tokens, nq as n_questions, n as n_messages from t")
+def prompt_tokens(spark, sf):
+    f = chat.prompt_features(_messages(spark, sf))
+    return f.select("conv_id", *[F.col(c).cast("long").alias(c) for c in ("prompt_tokens", "last_user_tokens", "system_tokens", "n_questions", "n_messages")])
+
+
+@query()
+def predict_tokens(spark, sf):
+    return chat.predicted(_messages(spark, sf)).withColumn("confidence", _r("confidence"))
+
+
+@query()
+def output_reduction(spark, sf):
+    return chat.reduce_output(_messages(spark, sf)).groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
+# The pipeline and what reads it.
+
+
+@query()
+def compress_conversations(spark, sf):
+    done = compress.compress_messages(_messages(spark, sf))
+    return compress.totals(done, "content_type", "compressor").withColumn("ratio", _r("ratio"))
+
+
+@query()
+def compress_documents(spark, sf):
+    done = compress.compress_documents(_t(spark, sf, "documents"))
+    return compress.totals(done, "content_type", "compressor").withColumn("ratio", _r("ratio"))
+
+
+@query()
+def compress_pages(spark, sf):
+    p = _t(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return compress.totals(compress.compress_documents(p), "content_type", "compressor").withColumn("ratio", _r("ratio"))
+
+
+@query()
+def audit_by_type(spark, sf):
+    return audit.audit(_messages(spark, sf), audit.prices(spark))["by_type"].withColumn("ratio", _r("ratio"))
+
+
+@query("select * from (values ('code-search', true), ('json-cyclic', true), ('json-orders', true), ('sre-log', true)) t(name, faithful)")
+def eval_suite(spark, sf):
+    return audit.evaluate(audit.eval_fixtures(spark)).select("name", "faithful")
+
+
+@query()
+def eval_ratios(spark, sf):
+    return audit.evaluate(audit.eval_fixtures(spark)).withColumn("ratio", _r("ratio"))
+
+
+@query(f"""with {KINDS}, x as (
+  select 'repeated-tool-failure' as kind, 'tool' || (pk % 5) as subject, session_id, 3 as least from ev where event_type = 'error' and pt = 'click'
+  union all select 'user-correction', case when pt = 'click' then '`tool' || (pk % 5) || '`' else 'the current `compress` settings' end || ': step ' || (k % 3), session_id, 2 from ev where event_type = 'purchase' and pt in ('click', 'view')
+  union all select 'user-correction', null, null, 2 where false
+  union all select 'inefficient-compression', 'compress', session_id, 2 from ev where event_type = 'view' and k / 1000 < 0.05 and k * 40.0 >= 1000)
+select kind, subject, count(*) as evidence_count, count(distinct session_id) as n_sessions, round_even(least(0.95, count(*) / (count(*) + 3)), 2) as confidence from x group by kind, subject, least having count(*) >= least""")
+def learn_findings(spark, sf):
+    return audit.findings(_kinds(spark, sf)).select("kind", "subject", "evidence_count", F.size("sessions").alias("n_sessions"), "confidence")
+
+
+@query()
+def learn_rules(spark, sf):
+    return audit.rules_block(audit.findings(_kinds(spark, sf)))
+
+
+# Streams, run over what is there.
+
+
+def _stream(spark, sf, name, make, mode):
+    import tempfile
+    import uuid
+
+    from ..streaming import events
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    # the table is one file: its folder is read with the file's name as the pattern
+    src = spark.readStream.schema(events.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.run(make(src), f"{name}_{uuid.uuid4().hex}", mode, f"{root}/{name}-{uuid.uuid4().hex}")
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by all")
+def stream_totals(spark, sf):
+    from ..streaming import events
+
+    return _stream(spark, sf, "totals", events.totals, "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", _r("value", 4).alias("value"))
+
+
+@query("select substr(sha256(props), 1, 16) as hash from events group by 1")
+def stream_once(spark, sf):
+    from ..streaming import events
+
+    return _stream(spark, sf, "once", lambda e: events.once(e.select("ts", F.col("props").alias("original")), "2 hours"), "append").select("hash")
+
+
+@query()
+def stream_sessions(spark, sf):
+    from ..streaming import events
+
+    return _stream(spark, sf, "sessions", events.sessions, "append").select("user_id", "n", _r("value", 4).alias("value"))

@@ -1 +1 @@
-"""."""
+"""Structured Streaming forms of the session, store and totals operators."""
