@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, keyed
@@ -70,52 +70,69 @@ def _hashes(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-_OUT = ["kind", "_did", "_sub", "s", "e", "w1", "w2"]
-_OUT_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-_OUT_SCHEMA = "kind int, _did long, _sub int, s long, e long, w1 long, w2 long"
+_RANGES = "_did long, _sub int, s long, e long, l int, ctx binary, known binary"
 
 
-def _batch(cols: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _OUT_TYPES, strict=True)], _OUT)
+def _batch(did, sub, s, e, left=None, ctx=None, known=None) -> pa.RecordBatch:
+    n = len(did)
+    cols = [pa.array(did, pa.int64()), pa.array(sub, pa.int32()), pa.array(s, pa.int64()), pa.array(e, pa.int64())]
+    cols += [pa.nulls(n, pa.int32()) if left is None else pa.array(left, pa.int32()), *[pa.nulls(n, pa.binary()) if c is None else pa.array(c, pa.binary()) for c in (ctx, known)]]
+    return pa.RecordBatch.from_arrays(cols, ["_did", "_sub", "s", "e", "l", "ctx", "known"])
+
+
+def _strings(left: np.ndarray, ctx: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """valid (n, BEFORE + 1): whether a string of LENGTH bytes starts at each distance before a suffix; two hashes of each."""
+    pad, width = bytes(BEFORE), BEFORE + LENGTH
+    rows = np.frombuffer(b"".join([(pad[x:] + c).ljust(width, b"\0") for x, c in zip(left.tolist(), ctx, strict=True)]), np.uint8).reshape(-1, width)
+    after = np.fromiter(map(len, ctx), np.int64, len(ctx)) - left
+    at = np.arange(BEFORE + 1)  # where a string starts in the row; it reaches BEFORE - at bytes before the suffix
+    return ((BEFORE - at[None] <= left[:, None]) & (at[None] + LENGTH - BEFORE <= after[:, None]), *_hashes(rows))
 
 
 def compared(group: np.ndarray, open_: np.ndarray, did: np.ndarray, sub: np.ndarray, pos: np.ndarray, left: np.ndarray, ctx: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """What a part of a bucket says: ranges that earlier suffixes of their group cover (kind 0), and, of groups that reach
-    beyond the part (open_), each string that no earlier one there equals (kind 1: its place and 128 bits of its content).
+    """What a part of a bucket says: ranges that earlier suffixes of their group cover, and, of groups that reach beyond
+    the part (open_), each suffix with new bytes around it (with ctx, for the comparison across boundaries).
 
     group: numbers of equal tokens; within one, rows ascend by document and position. left: bytes of ctx before pos.
     """
-    pad, width = bytes(BEFORE), BEFORE + LENGTH
-    rows = np.frombuffer(b"".join((pad[x:] + c).ljust(width, b"\0") for x, c in zip(left.tolist(), ctx, strict=True)), np.uint8).reshape(-1, width)
-    after = np.fromiter(map(len, ctx), np.int64, len(ctx)) - left
-    at = np.arange(BEFORE + 1)  # where a string starts in the row; it reaches BEFORE - at bytes before pos
-    valid = (BEFORE - at[None] <= left[:, None]) & (at[None] + LENGTH - BEFORE <= after[:, None])
-    h1, h2 = _hashes(rows)
+    # suffixes with the same bytes around them as an earlier one of their group are late as a whole
+    seen: set[tuple[int, int, bytes]] = set()
+    fresh = np.fromiter((k not in seen and not seen.add(k) for k in zip(group.tolist(), left.tolist(), ctx, strict=True)), bool, len(ctx))
+    size = np.fromiter(map(len, ctx), np.int64, len(ctx))
+    i = np.flatnonzero(~fresh & (size >= LENGTH))
+    yield _batch(did[i], sub[i], pos[i] - left[i], pos[i] - left[i] + size[i])
+    several = np.bincount(group, fresh)[group] > 1
+    use = np.flatnonzero(fresh & several)
+    every = (did, sub, pos, left)
+    late = np.zeros((len(use), BEFORE + 3), np.int8)
+    if len(use):
+        yield from _own(group[use], did[use], sub[use], pos[use], left[use], [ctx[k] for k in use], late)
+    i = np.flatnonzero(fresh & open_)
+    if len(i):
+        bits = np.zeros((len(ctx), BEFORE + 1), np.int8)
+        bits[use] = late[:, 1:-1]
+        did, sub, pos, left = (c[i] for c in every)
+        yield _batch(did, sub, pos, pos, left, [ctx[k] for k in i], [x.tobytes() for x in np.packbits(bits[i], axis=1)])
+
+
+def _own(group, did, sub, pos, left, ctx: list[bytes], late: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Ranges of the strings that an earlier suffix of the group has too; marks them in late, a column on from their place."""
+    valid, h1, h2 = _strings(left, ctx)
     who, start = np.nonzero(valid)
     a, b = h1[valid], h2[valid]
     key = (a ^ (group[who].astype(np.uint64) * np.uint64(_BASE[1]))) * np.uint64(_BASE[0]) + start.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
     order = np.argsort(key, kind="stable")
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = key[order][1:] != key[order][:-1]
-    first = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     if ((b[order] != b[first]) | (a[order] != a[first]) | (group[who[order]] != group[who[first]])).any():  # keys collide: sort by all
         order = np.lexsort((np.arange(len(a)), b, a, start, group[who]))
         cols = [c[order] for c in (group[who], start, a, b)]
-        fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-    late = np.zeros(valid.shape, bool)
-    late[who[order], start[order]] = ~fresh
-    edge = np.zeros((len(rows), BEFORE + 3), np.int8)
-    edge[:, 1:-1] = late
-    step = np.diff(edge, axis=1)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    late[who[order], start[order] + 1] = ~new
+    step = np.diff(late, axis=1)
     (i, s), (_, e) = np.nonzero(step == 1), np.nonzero(step == -1)
-    begin = pos[i] - BEFORE + s
-    none = np.zeros(len(i), np.int64)
-    yield _batch([none, did[i], sub[i], begin, pos[i] - BEFORE + e - 1 + LENGTH, none, none])
-    if open_.any():
-        keep = open_[who] & ~late[who, start]
-        i, s = who[keep], start[keep]
-        begin = pos[i] - BEFORE + s
-        yield _batch([np.ones(len(i), np.int64), did[i], sub[i], begin, begin + LENGTH, a[keep].view(np.int64), b[keep].view(np.int64)])
+    yield _batch(did[i], sub[i], pos[i] - BEFORE + s, pos[i] - BEFORE + e - 1 + LENGTH)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +140,13 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     first, size, cut = None, 0, False
 
-    def part(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+    def tokens(table: pa.Table) -> list[bytes]:
+        return [c[x : x + LEAD] for x, c in zip(table.column(3).to_pylist(), table.column(4).to_pylist(), strict=True)]
+
+    def part(leads: list[bytes], table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal first, cut
-        lead, did, sub, pos, left, ctx = table.columns
-        leads = lead.to_pylist()
         first = leads[0] if first is None else first
-        new = np.fromiter((x != y for x, y in zip(leads, [None, *leads[:-1]], strict=True)), np.int64, len(leads))
-        group = np.cumsum(new)
+        group = np.cumsum(np.fromiter((x != y for x, y in zip(leads, [None, *leads[:-1]], strict=True)), np.int64, len(leads)))
         n = np.bincount(group)[group]
         open_ = np.zeros(len(leads), bool)
         if leads[0] == first or cut:
@@ -139,8 +156,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             open_ |= group == group[-1]
         use = (n > 1) | open_
         if use.any():
-            own = [c.to_numpy()[use].astype(np.int64) for c in (did, sub, pos, left)]
-            yield from compared(group[use], open_[use], *own, [c for c, u in zip(ctx.to_pylist(), use.tolist(), strict=True) if u])
+            own = [c.to_numpy()[use].astype(np.int64) for c in table.columns[:4]]
+            yield from compared(group[use], open_[use], *own, [c for c, u in zip(table.column(4).to_pylist(), use.tolist(), strict=True) if u])
 
     for b in batches:
         for at in range(0, b.num_rows, PART):
@@ -149,18 +166,32 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size < PART:
                 continue
             table = pa.Table.from_batches(held)
-            leads = table.column(0)
-            end = leads[-1].as_py()
-            keep = next((k for k in range(size - 1, -1, -1) if leads[k].as_py() != end), -1) + 1
-            whole = keep == 0
-            if whole:  # one group fills the part: what it keeps open meets the rest of the group in the shuffle
-                yield from part(table, True)
+            leads = tokens(table)
+            end = leads[-1]
+            keep = next((k for k in range(size - 1, -1, -1) if leads[k] != end), -1) + 1
+            if keep == 0:  # one group fills the part: what it keeps open meets the rest of the group across the boundary
+                yield from part(leads, table, True)
                 held, size, cut = [], 0, True
             else:
-                yield from part(table.slice(0, keep), False)
+                yield from part(leads[:keep], table.slice(0, keep), False)
                 held, size = table.slice(keep).to_batches(), size - keep
     if size:
-        yield from part(pa.Table.from_batches(held), True)
+        table = pa.Table.from_batches(held)
+        yield from part(tokens(table), table, True)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of suffixes that meet across boundaries, each with 128 bits of its content."""
+    for b in batches:
+        for at in range(0, b.num_rows, 2048):
+            did, sub, pos, left, ctx, known = b.slice(at, 2048).columns
+            left = left.to_numpy().astype(np.int64)
+            valid, h1, h2 = _strings(left, ctx.to_pylist())
+            bits = np.frombuffer(b"".join(known.to_pylist()), np.uint8).reshape(len(left), -1)
+            valid &= np.unpackbits(bits, axis=1)[:, : BEFORE + 1] == 0
+            who, start = np.nonzero(valid)
+            cols = [did.to_numpy()[who], sub.to_numpy()[who], pos.to_numpy()[who] - BEFORE + start, h1[valid].view(np.int64), h2[valid].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_did", "_sub", "s", "w1", "w2"])
 
 
 def removed_ranges(packed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -183,26 +214,34 @@ def removed_ranges(packed: DataFrame, scratch: Scratch) -> DataFrame:
                 data, pos = unpack(z, ds), at.as_py()
                 ctx = [data[max(0, p - BEFORE) : p + LENGTH] for p in pos]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([data[p : p + LEAD] for p in pos], pa.binary()), pa.array([did.as_py()] * len(pos), pa.int64()), pa.array([sub.as_py()] * len(pos), pa.int32()), pa.array(pos, pa.int32()), pa.array([min(p, BEFORE) for p in pos], pa.int32()), pa.array(ctx, pa.binary())],
-                    ["lead", "_did", "_sub", "pos", "l", "ctx"],
+                    [pa.array([did.as_py()] * len(pos), pa.int64()), pa.array([sub.as_py()] * len(pos), pa.int32()), pa.array(pos, pa.int32()), pa.array([min(p, BEFORE) for p in pos], pa.int32()), pa.array(ctx, pa.binary())],
+                    ["_did", "_sub", "pos", "l", "ctx"],
                 )
 
     chosen = scratch.save(packed.mapInArrow(anchors, "_did long, _sub int, pos int, h long"), "anchors")
-    repeated = chosen.groupBy("h").count().filter("count > 1").select("h")
+    # a table of its own, so that both sides of the join come from a shuffle and a frequent token's side can be split
+    repeated = scratch.save(chosen.groupBy("h").count().filter("count > 1").select("h"), "repeated")
+    scratch.free_shuffles()
     marks = scratch.save(chosen.join(repeated, "h").groupBy("_did", "_sub").agg(F.collect_list("pos").alias("at")), "marks")
     scratch.drop(chosen)
+    scratch.drop(repeated)
     scratch.free_shuffles()
-    suffixes = scratch.save(packed.join(marks, ["_did", "_sub"]).select("_did", "_sub", "z", "at").mapInArrow(contexts, "lead binary, _did long, _sub int, pos int, l int, ctx binary"), "suffixes")
+    suffixes = scratch.save(packed.join(marks, ["_did", "_sub"]).select("_did", "_sub", "z", "at").mapInArrow(contexts, "_did long, _sub int, pos int, l int, ctx binary"), "suffixes")
     scratch.free_shuffles()
-    by = ["lead", "_did", "_sub", "pos"]
-    said = scratch.save(suffixes.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_buckets, _OUT_SCHEMA), "compared")
+    by = [F.substring("ctx", F.col("l") + 1, F.lit(LEAD)), "_did", "_sub", "pos"]
+    said = scratch.save(suffixes.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_buckets, _RANGES), "compared")
     scratch.drop(suffixes)
     scratch.free_shuffles()
-    side = said.filter("kind = 1")
+
+    # a part tells each content once, so a window holds one row a part at most
     place = F.struct("_did", "_sub", "s")
-    met = side.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    across = side.join(met, ["w1", "w2"]).filter(place > F.col("first"))
-    return said.filter("kind = 0").select("_did", "_sub", "s", "e").unionByName(across.select("_did", "_sub", "s", "e"))
+    late = (place > F.min(place).over(Window.partitionBy("w1", "w2"))).alias("late")
+    side = said.filter("ctx is not null").withColumns({"w1": F.xxhash64("l", "ctx"), "w2": F.xxhash64(F.lit(1), "l", "ctx")})
+    met = scratch.save(side.select("_did", "_sub", "s", "l", "ctx", "known", late), "met")
+    whole = met.filter(F.col("late") & (F.length("ctx") >= LENGTH)).select("_did", "_sub", (F.col("s") - F.col("l")).alias("s"), (F.col("s") - F.col("l") + F.length("ctx")).alias("e"))
+    strings = met.filter("not late").select("_did", "_sub", "s", "l", "ctx", "known").mapInArrow(_opened, "_did long, _sub int, s long, w1 long, w2 long")
+    across = strings.select("_did", "_sub", "s", late).filter("late").select("_did", "_sub", "s", (F.col("s") + LENGTH).alias("e"))
+    return said.filter("ctx is null").select("_did", "_sub", "s", "e").unionByName(whole).unionByName(across)
 
 
 def dedup_substrings(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -216,8 +255,8 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch | None = None) -> DataFra
     found twice are kept, with the bytes around them. Sampled splitters over (token, document, position) range-partition
     them, so a frequent token fills as many buckets as it needs; buckets sort locally. Within a group of equal tokens the
     strings at each distance from the token are sorted by 128 bits of their content, and all but the earliest are late.
-    What a bucket's first and last group leave open is compared across the boundaries in a shuffle by content. No pair
-    of suffixes is formed.
+    What a bucket's first and last group leave open is compared across the boundaries in shuffles by content: first the
+    bytes around a suffix as a whole, then the strings of those that are new. No pair of suffixes is formed.
 
     Null text: empty, nothing removed. Texts under 100 bytes lose nothing. Rows with a null doc_id come before all
     others. Rows that repeat a doc_id and text are one document and get equal results. An empty table gives no rows; other
@@ -235,9 +274,9 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch | None = None) -> DataFra
         ds = zstandard.ZstdDecompressor()
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for z, starts, ends in zip(*b.columns[1:], strict=True):
+            for z, copy, starts, ends in zip(*b.columns[1:], strict=True):
                 data, kept, at, spans, end = ds.decompress(z.as_buffer()), [], 0, 0, -1
-                for s, e in sorted(zip(starts.as_py() or (), ends.as_py() or (), strict=True)):
+                for s, e in [(0, len(data))] if copy.is_valid else sorted(zip(starts.as_py() or (), ends.as_py() or (), strict=True)):
                     if s > end:
                         spans += 1
                         kept.append(data[at:s])
@@ -248,11 +287,16 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch | None = None) -> DataFra
                     col.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.binary())], ["_did", "n_bytes", "n_removed", "n_spans", "kept"])
 
+    # exact copies of 100 bytes or more go as a whole: only the first of each text is sorted
+    hashed = distinct.select("_did", "_sub", F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit(1), "_text").alias("h2"), F.octet_length("_text").alias("n"))
+    firsts = hashed.groupBy("h1", "h2", "n").agg(F.min(F.struct("_did", "_sub")).alias("first"), F.count("*").alias("c")).filter(f"c > 1 and n >= {LENGTH}")
+    copies = scratch.save(hashed.join(firsts, ["h1", "h2", "n"]).filter(F.struct("_did", "_sub") > F.col("first")).select("_did", "_sub", F.lit(True).alias("copy")), "copies")
     schema = "_did long, _sub int, z binary"
-    packed = scratch.save(distinct.select("_did", "_sub", "_text").mapInArrow(pack, schema), "packed")
-    ranges = removed_ranges(packed, scratch).groupBy("_did", "_sub").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    packed = scratch.save(distinct.select("_did", "_sub", "_text").mapInArrow(pack, schema).join(copies, ["_did", "_sub"], "left"), "packed")
+    scratch.free_shuffles()
+    ranges = removed_ranges(packed.filter("copy is null").drop("copy"), scratch).groupBy("_did", "_sub").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
     # keyed() puts a literal where no id repeats: then the packed texts are the rows; else every row takes its document's
     texts = packed if rows.schema["_sub"].nullable is False else rows.select("_did", "_sub").join(packed, ["_did", "_sub"])
-    done = texts.join(ranges, ["_did", "_sub"], "left").select("_did", "z", "s", "e").mapInArrow(cut, "_did long, n_bytes long, n_removed long, n_spans long, kept binary")
+    done = texts.join(ranges, ["_did", "_sub"], "left").select("_did", "z", "copy", "s", "e").mapInArrow(cut, "_did long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.withColumn("doc_id", F.when(F.col("_did") != -(2**63), F.col("_did"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
