@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -21,21 +24,23 @@ MASKED = 62
 #: Most words whose encodings are broadcast (about 20 MB); all others are joined to their documents.
 FREQUENT = 200_000
 #: Words that a task counts before it passes them on.
-HELD = 500_000
-
-#: A word: spaces and what follows them. No piece goes over its end (see Model).
-WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-
+HELD = 200_000
 
 @dataclass
 class Model:
-    """A model's pieces. ids: of texts that may be merged or stand alone; rank: their order of merging (0 first)."""
+    """A model's pieces. ids: of texts that may be merged or stand alone; rank: their order of merging (0 first).
+
+    Words are what no piece reaches beyond: spaces with what follows them, cut again between a letter and a mark that no
+    piece has after a letter.
+    """
 
     ids: dict[str, int]
     rank: dict[str, int]
     byte: list[int]
     unknown: int
     text: list[str | int] = field(default_factory=list)  # of each id: its text, its byte, or '' if it stands for none
+    raw: np.ndarray | None = None
+    word: str = ""  # the pattern of words
 
     @staticmethod
     def load(path: str) -> Model:
@@ -55,7 +60,14 @@ class Model:
             text[i] = t
         for b, i in bytes_.items():
             text[i] = b
-        return Model(ids, {p.id_to_piece(i): k for k, i in enumerate(order)}, [bytes_[b] for b in range(256)] if len(bytes_) == 256 else [], p.unk_id(), text)
+        after = {b for t in ids for a, b in zip(t, t[1:], strict=False) if a.isalpha()}  # what a letter may merge with
+        marks = re.escape("".join(c for c in string.punctuation if c not in after))
+        word = f"{SPACE}*(?:[^\\W\\d_]+(?=[{marks}])|[^{SPACE}\n]+)|{SPACE}+|\n" if marks else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
+        return Model(ids, {p.id_to_piece(i): k for k, i in enumerate(order)}, [bytes_[b] for b in range(256)] if len(bytes_) == 256 else [], p.unk_id(), text, None, word)
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text, a space put before it and spaces written as U+2581; of an empty text none."""
+        return re.findall(self.word, SPACE + text.replace(" ", SPACE)) if text else []
 
     def ids_of(self, word: str, cuts: list[int]) -> list[int]:
         """The ids of a word that is cut at the given ends."""
@@ -68,17 +80,14 @@ class Model:
                 out += [self.byte[b] for b in t.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes are joined to characters, the space put before a text is taken off."""
-        out = b"".join(bytes([t]) if isinstance(t, int) else t.encode() for t in (self.text[i] for i in ids))
+        if self.raw is None:
+            self.raw = np.array([bytes([t]) if isinstance(t, int) else t.encode() for t in self.text], object)
+        out = b"".join(self.raw[ids].tolist())
         return out.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
 
-def words(text: str) -> list[str]:
-    """The words of a text, a space put before it and spaces written as U+2581; of an empty text none."""
-    return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
 def merged_cuts(word: str, rank: dict[str, int]) -> list[int]:
     """The ends of a word's pieces: the pair that gives the first piece in order merges first, the leftmost of equal ones."""
     n = len(word)
@@ -120,14 +129,18 @@ def lattice(vocabulary: DataFrame, model: Model) -> DataFrame:
     spark = vocabulary.sparkSession
     table = spark.createDataFrame(list(model.rank.items()), "piece string, r int")
     longest = max(map(len, model.rank), default=2)
-    n = F.char_length("word")
-    starts = vocabulary.withColumn("len", n).filter((n >= 2) & (n <= MASKED)).select("word", "len", F.explode(F.sequence(F.lit(0), F.col("len") - 2)).alias("s"))
-    spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 2, F.least(F.col("s") + longest, F.col("len")))).alias("e"))
-    hits = spans.select("word", "s", "e", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")).alias("piece")).join(F.broadcast(table), "piece")
+    folded = F.col("len").between(2, MASKED)
+    # the outer forms keep words that have no edge, so that the vocabulary is read once
+    starts = vocabulary.withColumn("len", F.char_length("word")).select("word", "n", "len", F.explode_outer(F.when(folded, F.sequence(F.lit(0), F.col("len") - 2))).alias("s"))
+    ends = F.when(F.col("s").isNotNull(), F.sequence(F.col("s") + 2, F.least(F.col("s") + longest, F.col("len"))))
+    spans = starts.select("word", "n", "s", F.explode_outer(ends).alias("e"))
+    hits = spans.select("word", "n", "s", "e", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")).alias("piece")).join(F.broadcast(table), "piece", "left")
+    # of substrings that are no piece only a word's first stays, for words without edges
+    hits = hits.filter("r is not null or s is null or (s = 0 and e = 2)")
     one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c)
     s, e = F.col("s"), F.col("e")
     edge = F.struct("r", "s", one(s).bitwiseOR(one(e)).alias("ends"), (one(e) - one(s + 1)).alias("inner"))
-    edges = hits.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    edges = hits.groupBy("word").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("r").isNotNull(), edge))).alias("edges"))
 
     def fits(mask, x):
         return (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1)
@@ -137,11 +150,16 @@ def lattice(vocabulary: DataFrame, model: Model) -> DataFrame:
         late = F.exists("edges", lambda y: (y["r"] < x["r"]) & fits(cut, y))
         return F.when(mask.isNull() | ~fits(mask, x), mask).when(late, F.lit(None)).otherwise(cut)
 
-    full = one(F.char_length("word") + 1) - 1
-    masks = edges.select(F.col("word").alias("_word"), F.aggregate("edges", full, fold).alias("folded"), F.lit(True).alias("found"))
-    joined = vocabulary.join(masks, F.col("word") == F.col("_word"), "left")
-    # without an edge every character is a piece of its own
-    return joined.select("word", "n", F.when(F.col("found"), F.col("folded")).when(n <= MASKED, full).alias("mask"))
+    length = F.char_length("word")
+    full = one(length + 1) - 1
+    return edges.select("word", "n", F.when(length <= MASKED, F.aggregate("edges", full, fold)).alias("mask"))
+
+
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that only few texts and ids are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def _cuts(word: str, mask: int | None, rank: dict[str, int]) -> list[int]:
@@ -150,9 +168,11 @@ def _cuts(word: str, mask: int | None, rank: dict[str, int]) -> list[int]:
     return [i for i in range(1, len(word) + 1) if mask >> i & 1]
 
 
-def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, frequent: int = FREQUENT) -> DataFrame:
+def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, frequent: int = FREQUENT, decoded: bool = False) -> DataFrame:
     """(doc_id, text, ids array<int>) of every row of docs: the ids that the model's own library gives for the whole text.
 
+    With `decoded`, the text of the ids follows as the column decoded, by the same worker (see decode()).
+
     Words are counted on the map side; lattice() cuts each distinct word once. The cuts of the most frequent words
     (`frequent` at most) are broadcast, every other word's cuts are joined to the documents that hold it, by word and
     then by document. Null text: no ids (and text stays null); empty text: no ids. U+2581 in a text is a space to the
@@ -172,7 +192,7 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
 
         for b in batches:
             for t in b.column(0):
-                held.update(words(t.as_py()))
+                held.update(model.words(t.as_py()))
                 if len(held) > HELD:
                     yield out()
         yield out()
@@ -190,14 +210,14 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
     rank, known = model.rank, {r["word"]: r["mask"] for r in cut.filter(often).collect()}
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches):
             for did, sub, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                w = [x for x in set(words(t)) if x not in known]
+                w = [x for x in set(model.words(t)) if x not in known]
                 yield pa.RecordBatch.from_arrays([pa.array([did] * len(w), pa.int64()), pa.array([sub] * len(w), pa.int32()), pa.array(w, pa.string())], ["_did", "_sub", "word"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in _small(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([None if t is None else z.compress(t.encode()) for t in b.column(3).to_pylist()], pa.binary())], ["_did", "_sub", "doc_id", "z"])
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,13 +231,18 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
                     memo[word] = got
             return got
 
-        for b in batches:
-            texts, out = [], []
+        for b in _small(batches):
+            texts, out, again = [], [], []
             for data, own in zip(b.column(1), b.column(2), strict=True):
                 texts.append(z.decompress(data.as_buffer()).decode() if data.is_valid else None)
                 masks = {x["word"]: x["mask"] for x in own.as_py() or ()}
-                out.append([i for w in words(texts[-1] or "") for i in of(w, known[w] if w in known else masks[w])])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "text", "ids"])
+                out.append([i for w in model.words(texts[-1] or "") for i in of(w, known[w] if w in known else masks[w])])
+            ends = np.cumsum([0, *map(len, out)])
+            flat = np.fromiter(chain.from_iterable(out), np.int32, ends[-1])
+            if decoded:
+                again = [pa.array([model.decode(flat[a:e]) for a, e in zip(ends, ends[1:], strict=False)], pa.string())]
+            cols = [b.column(0), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *again]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "ids", "decoded"][: len(cols)])
 
     own = (
         distinct.select("_did", "_sub", "_text")
@@ -227,7 +252,7 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
         .agg(F.collect_list(F.struct("word", "mask")).alias("own"))
     )
     texts = rows.select("_did", "_sub", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(packed, "_did long, _sub int, doc_id long, z binary")
-    return texts.join(own, ["_did", "_sub"], "left").select("doc_id", "z", "own").mapInArrow(ids, "doc_id long, text string, ids array<int>")
+    return texts.join(own, ["_did", "_sub"], "left").select("doc_id", "z", "own").mapInArrow(ids, "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
@@ -235,8 +260,8 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("ids")
-        for b in batches:
-            got = pa.array([None if x is None else model.decode(x) for x in b.column(at).to_pylist()], pa.string())
+        for b in _small(batches):
+            got = pa.array([None if not x.is_valid else model.decode(x.values.to_numpy()) for x in b.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*names, "decoded"])
 
     encoded = encoded.drop("decoded")
@@ -246,9 +271,8 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
 
 
 def digest(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_ids, ids_sha256, decoded_sha256, round_trip) of decode(encode())."""
-    joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    """(doc_id, n_ids, ids_hash, decoded_sha256, round_trip) of decode(encode()); ids_hash is Spark's xxhash64 of the array."""
     return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
     )

@@ -37,7 +37,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
     m = pieces.Model.load(model)
-    return pieces.digest(pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), m), m))
+    return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents"), m, decoded=True))
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
