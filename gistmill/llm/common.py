@@ -69,11 +69,13 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     where no id repeats, which a scan of the ids shows; only otherwise are the texts sorted by id.
     """
     rows = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
-    if rows.groupBy("_did").count().filter("count > 1").limit(1).count():
-        rows = rows.withColumn("_sub", (F.dense_rank().over(Window.partitionBy("_did").orderBy("_text")) - 1).cast("int"))
-        return rows, rows.select("_did", "_sub", "_text").distinct()
-    rows = rows.withColumn("_sub", F.lit(0))
-    return rows, rows.select("_did", "_sub", "_text")
+    repeats = rows.groupBy("_did").count().filter("count > 1").limit(1).count() > 0
+    sub = (F.dense_rank().over(Window.partitionBy("_did").orderBy("_text")) - 1).cast("int") if repeats else F.lit(0)
+    rows = rows.withColumn("_sub", sub)
+    distinct = rows.select("_did", "_sub", "_text")
+    distinct = distinct.distinct() if repeats else distinct
+    distinct.repeats = repeats  # whether rows can be more than the distinct documents
+    return rows, distinct
 
 
 def original_id() -> F.Column:

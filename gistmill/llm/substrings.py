@@ -295,8 +295,7 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch | None = None) -> DataFra
     packed = scratch.save(distinct.select("_did", "_sub", "_text").mapInArrow(pack, schema).join(copies, ["_did", "_sub"], "left"), "packed")
     scratch.free_shuffles()
     ranges = removed_ranges(packed.filter("copy is null").drop("copy"), scratch).groupBy("_did", "_sub").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
-    # keyed() puts a literal where no id repeats: then the packed texts are the rows; else every row takes its document's
-    texts = packed if rows.schema["_sub"].nullable is False else rows.select("_did", "_sub").join(packed, ["_did", "_sub"])
+    texts = packed if not distinct.repeats else rows.select("_did", "_sub").join(packed, ["_did", "_sub"])
     done = texts.join(ranges, ["_did", "_sub"], "left").select("_did", "z", "copy", "s", "e").mapInArrow(cut, "_did long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.withColumn("doc_id", F.when(F.col("_did") != -(2**63), F.col("_did"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
