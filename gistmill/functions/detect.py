@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import split_lines, strip
 
@@ -28,7 +29,7 @@ DELIMITERS = (",", ";", "\t", "|")
 TYPES = ("json", "html", "code", "log", "diff", "search", "csv", "markdown", "text")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _parses(texts: pd.Series) -> pd.Series:
     """Whether Python's json accepts a text; null gives false. Built-in parsers are looser or stricter."""
 
@@ -55,7 +56,7 @@ def _constant_fields(sample: Column, d: str) -> Column:
     return (F.size(n) == 1) & (F.get(n, F.lit(0)) >= 2) & ~blank(1) & ~blank(-1)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _quoted_table(samples: pd.Series) -> pd.Series:
     """_constant_fields() under any delimiter for lines with quotes, whose rules only a parser follows; null gives false."""
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Providers' published constants: fixed values.
 OPENAI_BASE, OPENAI_TILE_TOKENS, OPENAI_TILE, OPENAI_EDGE, OPENAI_SHORT = 85, 170, 512, 2048, 768
@@ -104,11 +106,9 @@ def png_gif_size(data: Column) -> Column:
     return F.when(hexed.startswith("89504E470D0A1A0A") & (F.length(hexed) == 48), png).when(hexed.startswith("474946383") & (F.length(hexed) >= 20), gif)
 
 
-@F.pandas_udf("struct<width: int, height: int>")
-def jpeg_size(data):
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
+def jpeg_size(data: pd.Series) -> pd.DataFrame:
     """The size in a JPEG's frame header, found by walking its segments; null for anything else."""
-    import pandas as pd
-
     def of(b):
         if not b or b[:2] != b"\xff\xd8":
             return None, None

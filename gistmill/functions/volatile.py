@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: (kind, pattern, placeholder) in order of precedence: fixed values.
 PATTERNS = (
@@ -35,7 +36,10 @@ def counts(text: Column) -> dict[str, Column]:
     return out
 
 
-@F.pandas_udf("array<struct<kind: string, start: int, end: int, text: string>>")
+_SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(_SPAN))
 def spans(texts: pd.Series) -> pd.Series:
     """Spans by position, with offsets, which no built-in function gives; an overlap goes to the earlier pattern."""
     compiled = [(k, re.compile(p)) for k, p, _ in PATTERNS]

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.markers import text_marker
 from ..functions.text import content_hash, strip
@@ -95,7 +96,7 @@ def traced(lines: list[str]) -> list[bool]:
     return out
 
 
-@F.pandas_udf("array<boolean>")
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
 def tracebacks(lines: pd.Series) -> pd.Series:
     """traced() for arrays of lines; only blocks that hold a trace's first words need go through it."""
     return lines.map(lambda x: None if x is None else traced(list(x)))

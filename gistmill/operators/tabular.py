@@ -7,6 +7,7 @@ import csv
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.detect import DELIMITERS
 from ..functions.markers import PREFIX, marker
@@ -15,7 +16,7 @@ from ..functions.text import content_hash, split_lines, strip
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _quoted(lines: pd.Series) -> pd.Series:
     """Cells of lines with quotes, by Python's csv; null where no delimiter gives a table."""
 
@@ -86,7 +87,7 @@ def outliers(numbers: DataFrame, sizes: DataFrame, head: int = 5, tail: int = 3,
     return best.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap).select("block_id", "idx", "z")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def shown(values: pd.Series) -> pd.Series:
     """A whole number without a point, else four significant digits as Python writes them (Java's %.4g differs)."""
     return values.map(lambda v: None if v is None or v != v else str(int(v)) if v == int(v) and abs(v) < 1e15 else format(v, ".4g"))

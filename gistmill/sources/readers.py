@@ -25,9 +25,11 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     its place in its file. Files are read whole, as an array may span lines; lines that are no JSON fail the read.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
-    is_array, is_one = F.col("value").startswith("["), F.try_parse_json("value").isNotNull()
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    items = F.when(is_array, F.from_json("value", "array<string>")).when(is_one, F.array("value")).otherwise(lines)
+    # an item a line, if each line is a whole object or array; built-in parsers overlook what follows a first value
+    by_line = (F.size(lines) > 1) & F.forall(lines, lambda x: x.rlike(r"^\s*(?:\{.*\}|\[.*\])\s*$") & F.try_parse_json(x).isNotNull())
+    is_array = F.col("value").startswith("[") & ~by_line
+    items = F.when(by_line, lines).when(is_array, F.from_json("value", "array<string>")).otherwise(F.array("value"))
     all_messages = is_array & F.forall(items, lambda x: F.get_json_object(x, "$.role").isNotNull())
     items = F.when(all_messages, F.array("value")).otherwise(items)
     rows = files.select("file", F.posexplode(items).alias("i", "x")).withColumn("x", F.trim("x"))
