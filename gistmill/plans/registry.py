@@ -415,7 +415,7 @@ def log_compress(spark, sf):
 # Search results, diffs, tables.
 
 
-@query(f"""with {SEARCH_HITS}, f as (select block_id, path, count(*) as n_hits, sum(score) as score, min((l_orderkey, l_linenumber)) as first from hits group by all)
+@query(f"""with {SEARCH_HITS}, f as (select block_id, path, count(*) as n_hits, sum(score) as score, min((l_orderkey, l_linenumber, path || ':' || l_orderkey || ':' || content)) as first from hits group by all)
 select block_id, path, n_hits, round(score, 6) as score, row_number() over (partition by block_id order by round(score, 9) desc, first) as rank from f""")
 def search_rank(spark, sf):
     return search.ranked(search.hits(_search_blocks(spark, sf))).select("block_id", "path", "n_hits", _r("score").alias("score"), "rank")

@@ -130,7 +130,9 @@ def test_diff_keeps_churn_and_trims_context(spark):
     t = "\n".join([file(i, 6 if i == 3 else 2, 9 if i == 3 else 1) for i in range(14)])
     new, dropped = out(diff.compress(blocks(spark, t)))[0]
     assert len(new) < 0.8 * len(t) and new.count("diff --git") == 10 and "new 2" in new
-    assert list(stored(new, dropped)) and " context line 2" in new.split("@@")[4] or True
+    assert stored(new, dropped)
+    first = new.split("@@")[2].split("\n")
+    assert first[1:3] == [" context line 7", " context line 8"] and first[3] == "-old 0"
 
 
 def test_table_keeps_outliers_and_adds_statistics(spark):
