@@ -24,7 +24,7 @@ MASKED = 62
 #: Most words whose encodings are broadcast (about 20 MB); all others are joined to their documents.
 FREQUENT = 200_000
 #: Words that a task counts before it passes them on.
-HELD = 200_000
+HELD = 100_000
 
 @dataclass
 class Model:
@@ -62,12 +62,19 @@ class Model:
             text[i] = b
         after = {b for t in ids for a, b in zip(t, t[1:], strict=False) if a.isalpha()}  # what a letter may merge with
         marks = re.escape("".join(c for c in string.punctuation if c not in after))
-        word = f"{SPACE}*(?:[^\\W\\d_]+(?=[{marks}])|[^{SPACE}\n]+)|{SPACE}+|\n" if marks else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
+        word = f"{SPACE}*(?:[^\\W\\d_]++(?![^{SPACE}\n{marks}])|[^{SPACE}\n]+)|{SPACE}+|\n" if marks else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
         return Model(ids, {p.id_to_piece(i): k for k, i in enumerate(order)}, [bytes_[b] for b in range(256)] if len(bytes_) == 256 else [], p.unk_id(), text, None, word)
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text, a space put before it and spaces written as U+2581; of an empty text none."""
-        return re.findall(self.word, SPACE + text.replace(" ", SPACE)) if text else []
+    def chunks(self, text: str) -> list[str]:
+        """What stands between spaces, as keys: each is a run of words after one space, which is left out (further ones are
+        U+2581). A text has a space put before it; an empty one has no chunks."""
+        if "  " in text or SPACE in text or text[:1] == " " or text[-1:] == " ":
+            return [c[1:] for c in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
+        return text.split(" ") if text else []
+
+    def words(self, chunk: str) -> list[str]:
+        """The words of a chunk."""
+        return re.findall(self.word, SPACE + chunk)
 
     def ids_of(self, word: str, cuts: list[int]) -> list[int]:
         """The ids of a word that is cut at the given ends."""
@@ -186,19 +193,24 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
         held: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            found: dict[str, int] = {}
+            for chunk, n in held.items():  # a chunk is cut to words once, however often it occurs
+                for w in model.words(chunk):
+                    found[w] = found.get(w, 0) + n
             held.clear()
-            return b
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
             for t in b.column(0):
-                held.update(model.words(t.as_py()))
+                held.update(model.chunks(t.as_py()))
                 if len(held) > HELD:
                     yield out()
         yield out()
 
     vocabulary = distinct.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     cut = scratch.save(lattice(vocabulary, model), "cuts")
+    del vocabulary
+    scratch.free_shuffles()
     sizes = {r["b"]: r["count"] for r in cut.groupBy(F.floor(F.log2("n") * 8).alias("b")).count().collect()}
     least, total = max(sizes, default=0) + 1, 0
     while least - 1 in sizes or any(b < least for b in sizes):
@@ -210,10 +222,19 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
     rank, known = model.rank, {r["word"]: r["mask"] for r in cut.filter(often).collect()}
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fine: set[str] = set()  # chunks of frequent words alone
         for b in _small(batches):
+            cols: list[list] = [[], [], []]
             for did, sub, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                w = [x for x in set(model.words(t)) if x not in known]
-                yield pa.RecordBatch.from_arrays([pa.array([did] * len(w), pa.int64()), pa.array([sub] * len(w), pa.int32()), pa.array(w, pa.string())], ["_did", "_sub", "word"])
+                own: set[str] = set()
+                for chunk in set(model.chunks(t)).difference(fine):
+                    lost = [w for w in model.words(chunk) if w not in known]
+                    own.update(lost)
+                    if not lost and len(fine) < FREQUENT:
+                        fine.add(chunk)
+                for col, v in zip(cols, ([did] * len(own), [sub] * len(own), own), strict=True):
+                    col.extend(v)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], ["_did", "_sub", "word"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
@@ -224,19 +245,30 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
         z = zstandard.ZstdDecompressor()
         memo: dict[str, list[int]] = {}
 
-        def of(word: str, mask: int | None) -> list[int]:
-            if (got := memo.get(word)) is None:
-                got = model.ids_of(word, _cuts(word, mask, rank))
-                if word in known:
-                    memo[word] = got
-            return got
+        def rest(chunk: str, masks: dict[str, int | None]) -> list[int]:
+            """The ids of a chunk that isn't remembered: if its words are frequent they are from now on."""
+            out, frequent_ = [], True
+            for w in model.words(chunk):
+                if w in known:
+                    out += model.ids_of(w, _cuts(w, known[w], rank))
+                else:
+                    frequent_ = False
+                    out += model.ids_of(w, _cuts(w, masks[w], rank))
+            if frequent_ and len(memo) < FREQUENT:
+                memo[chunk] = out
+            return out
 
         for b in _small(batches):
             texts, out, again = [], [], []
             for data, own in zip(b.column(1), b.column(2), strict=True):
-                texts.append(z.decompress(data.as_buffer()).decode() if data.is_valid else None)
-                masks = {x["word"]: x["mask"] for x in own.as_py() or ()}
-                out.append([i for w in model.words(texts[-1] or "") for i in of(w, known[w] if w in known else masks[w])])
+                text = z.decompress(data.as_buffer()).decode() if data.is_valid else None
+                masks: dict[str, int | None] = {}
+                if own.is_valid:
+                    rare_words = own.values
+                    masks = dict(zip(rare_words.field("word").to_pylist(), rare_words.field("mask").to_pylist(), strict=True))
+                texts.append(text)
+                found = map(memo.get, split := model.chunks(text or ""))
+                out.append(list(chain.from_iterable([rest(w, masks) if x is None else x for w, x in zip(split, found, strict=True)])))
             ends = np.cumsum([0, *map(len, out)])
             flat = np.fromiter(chain.from_iterable(out), np.int32, ends[-1])
             if decoded:
