@@ -17,7 +17,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75)
     words = docs.select("doc_id", identifiers(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
     corpus = words.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     terms = queries.select("query_id", F.explode(F.array_distinct(identifiers(F.col("text")))).alias("term"))
-    tf = words.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    asked = terms.select("term").distinct()  # words that no query asks for go before they are counted and shuffled
+    tf = words.select("doc_id", "dl", F.explode("w").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     found = tf.join(terms, "term").join(df, "term").crossJoin(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
