@@ -64,7 +64,7 @@ def with_previous(events: DataFrame) -> DataFrame:
 
 
 def run(out: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there now into an in-memory table of that name and returns it."""
+    """Runs a stream over what is there now into an in-memory table of that name and returns it: for tests and small reports."""
     q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return out.sparkSession.table(name)
