@@ -33,9 +33,20 @@ def _fit(w: Column, h: Column, edge: int) -> tuple[Column, Column]:
     return _scaled(w, h, F.least(F.lit(1.0), F.lit(edge) / F.greatest(w, h)))
 
 
-def _openai_dims(w: Column, h: Column) -> tuple[Column, Column]:
-    w, h = _fit(w, h, OPENAI_EDGE)
-    return _scaled(w, h, F.least(F.lit(1.0), F.lit(OPENAI_SHORT) / F.least(w, h)))
+def _let(f, **cols: Column) -> Column:
+    """f over a struct of columns: a lambda's variable names a value once, where repeating its expression would grow the plan."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(k) for k, c in cols.items()])), f), F.lit(0))
+
+
+def _openai_dims(w: Column, h: Column) -> Column:
+    """struct<x, y>: fitted to a square of 2048, then the shorter side to 768."""
+    x, y = _fit(w, h, OPENAI_EDGE)
+
+    def short(s: Column) -> Column:
+        a, b = _scaled(s["x"], s["y"], F.least(F.lit(1.0), F.lit(OPENAI_SHORT) / F.least(s["x"], s["y"])))
+        return F.struct(a.cast("long").alias("x"), b.cast("long").alias("y"))
+
+    return _let(short, x=x, y=y)
 
 
 def _tiles(w: Column, h: Column, px: int) -> Column:
@@ -44,18 +55,19 @@ def _tiles(w: Column, h: Column, px: int) -> Column:
 
 def tokens(w: Column, h: Column, prov: Column, detail: Column) -> Column:
     """Input tokens of a w x h image; null for an unknown provider, a side under 1 or an unknown detail."""
-    w, h = w.cast("long"), h.cast("long")
-    low = (detail == "low") | ((detail == "auto") & (F.greatest(w, h) <= OPENAI_TILE))
-    ow, oh = _openai_dims(w, h)
-    aw, ah = _fit(w, h, ANTHROPIC_EDGE)
-    known = provider(prov)
-    cost = (
-        F.when((known == "openai") & low, OPENAI_BASE)
-        .when(known == "openai", OPENAI_BASE + OPENAI_TILE_TOKENS * _tiles(ow, oh, OPENAI_TILE))
-        .when(known == "anthropic", F.least(F.ceil(aw * ah / ANTHROPIC_PX), F.lit(ANTHROPIC_CAP)))
-        .when(known == "google", GOOGLE_TOKENS * _tiles(w, h, GOOGLE_TILE))
-    )
-    return F.when((w >= 1) & (h >= 1) & detail.isin("auto", "low", "high"), cost).cast("long")
+
+    def cost(s: Column) -> Column:
+        low = (s["detail"] == "low") | ((s["detail"] == "auto") & (F.greatest(s["w"], s["h"]) <= OPENAI_TILE))
+        aw, ah = _fit(s["w"], s["h"], ANTHROPIC_EDGE)
+        n = (
+            F.when((s["known"] == "openai") & low, OPENAI_BASE)
+            .when(s["known"] == "openai", OPENAI_BASE + OPENAI_TILE_TOKENS * _let(lambda d: _tiles(d["d"]["x"], d["d"]["y"], OPENAI_TILE), d=_openai_dims(s["w"], s["h"])))
+            .when(s["known"] == "anthropic", F.least(F.ceil(aw * ah / ANTHROPIC_PX), F.lit(ANTHROPIC_CAP)))
+            .when(s["known"] == "google", GOOGLE_TOKENS * _tiles(s["w"], s["h"], GOOGLE_TILE))
+        )
+        return F.when((s["w"] >= 1) & (s["h"] >= 1) & s["detail"].isin("auto", "low", "high"), n).cast("long")
+
+    return _let(cost, w=w.cast("long"), h=h.cast("long"), known=provider(prov), detail=detail)
 
 
 def plan(w: Column, h: Column, prov: Column, target: Column, detail: Column) -> Column:
@@ -64,36 +76,45 @@ def plan(w: Column, h: Column, prov: Column, target: Column, detail: Column) ->
     Without a target, an image over its provider's sweet spot is scaled down to it. With one, the largest of nineteen
     scales (95 % to 5 %) that fits is taken; else openai falls back to low detail and others to the smallest scale.
     """
-    w, h, known = w.cast("long"), h.cast("long"), provider(prov)
-    before = tokens(w, h, known, detail)
-    fixed = F.when((known == "openai") & (detail == "auto"), F.when(F.greatest(w, h) <= OPENAI_TILE, "low").otherwise("high")).otherwise(detail)
-    ow, oh = _openai_dims(w, h)
-    aw, ah = _scaled(w, h, F.least(F.lit(1.0), F.lit(ANTHROPIC_EDGE) / F.greatest(w, h), F.sqrt(F.lit(ANTHROPIC_PIXELS) / (w * h))))
-    gw, gh = _fit(w, h, GOOGLE_EDGE)
-    sw = F.when(known == "openai", ow).when(known == "anthropic", aw).otherwise(gw)
-    sh = F.when(known == "openai", oh).when(known == "anthropic", ah).otherwise(gh)
-
-    def made(strategy: str, x: Column, y: Column, after: Column) -> Column:
-        return F.struct(F.lit(strategy).alias("strategy"), x.cast("long").alias("width"), y.cast("long").alias("height"), before.alias("before"), after.cast("long").alias("after"))
-
-    def step(i: Column) -> Column:
-        x, y = _scaled(w, h, i / 20)
-        return F.struct(x.alias("x"), y.alias("y"), tokens(x, y, known, fixed).alias("after"))
-
-    useful = F.filter(F.transform(F.sequence(F.lit(19), F.lit(1), F.lit(-1)), step), lambda s: F.least(s["x"], s["y"]) >= LEAST_SIDE)
-    fits = F.get(F.filter(useful, lambda s: s["after"] <= target), F.lit(0))
-    last = F.get(useful, F.size(useful) - 1)
-    same = made("passthrough", w, h, before)
-    return F.when(before.isNotNull(), (
-        F.when((known == "openai") & (fixed == "low"), same)
-        .when(target.isNull() & (sw == w) & (sh == h), same)
-        .when(target.isNull(), made("downscale", sw, sh, tokens(sw, sh, known, fixed)))
-        .when(before <= target, same)
-        .when(fits.isNotNull(), made("downscale", fits["x"], fits["y"], fits["after"]))
-        .when(known == "openai", made("detail-low", w, h, F.lit(OPENAI_BASE)))
-        .when(last["after"] < before, made("downscale", last["x"], last["y"], last["after"]))
-        .otherwise(same)
-    ))
+
+    def made(v: Column, strategy: str, x: Column, y: Column, after: Column) -> Column:
+        return F.struct(F.lit(strategy).alias("strategy"), x.cast("long").alias("width"), y.cast("long").alias("height"), v["before"].alias("before"), after.cast("long").alias("after"))
+
+    def sized(v: Column, x: Column, y: Column) -> Column:
+        return _let(lambda d: F.struct(d["x"].alias("x"), d["y"].alias("y"), tokens(d["x"], d["y"], v["known"], v["fixed"]).alias("after")), x=x.cast("long"), y=y.cast("long"))
+
+    def sweet(v: Column) -> Column:
+        w, h = v["w"], v["h"]
+        aw, ah = _scaled(w, h, F.least(F.lit(1.0), F.lit(ANTHROPIC_EDGE) / F.greatest(w, h), F.sqrt(F.lit(ANTHROPIC_PIXELS) / (w * h))))
+        gw, gh = _fit(w, h, GOOGLE_EDGE)
+        pair = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
+        dims = F.when(v["known"] == "openai", _openai_dims(w, h)).when(v["known"] == "anthropic", pair(aw, ah)).otherwise(pair(gw, gh))
+        return _let(lambda d: F.when((d["d"]["x"] == w) & (d["d"]["y"] == h), made(v, "passthrough", w, h, v["before"])).otherwise(
+            _let(lambda e: made(v, "downscale", e["e"]["x"], e["e"]["y"], e["e"]["after"]), e=sized(v, d["d"]["x"], d["d"]["y"]))), d=dims)
+
+    def budget(v: Column) -> Column:
+        w, h = v["w"], v["h"]
+
+        def choose(u: Column) -> Column:
+            fits, last = F.get(F.filter(u["u"], lambda s: s["after"] <= v["target"]), F.lit(0)), F.get(u["u"], F.size(u["u"]) - 1)
+            return _let(lambda c: F.when(c["fits"].isNotNull(), made(v, "downscale", c["fits"]["x"], c["fits"]["y"], c["fits"]["after"]))
+                .when(v["known"] == "openai", made(v, "detail-low", w, h, F.lit(OPENAI_BASE)))
+                .when(c["last"]["after"] < v["before"], made(v, "downscale", c["last"]["x"], c["last"]["y"], c["last"]["after"]))
+                .otherwise(made(v, "passthrough", w, h, v["before"])), fits=fits, last=last)
+
+        steps = F.transform(F.sequence(F.lit(19), F.lit(1), F.lit(-1)), lambda i: sized(v, *_scaled(w, h, i / 20)))
+        return _let(choose, u=F.filter(steps, lambda s: F.least(s["x"], s["y"]) >= LEAST_SIDE))
+
+    def decide(v: Column) -> Column:
+        same = made(v, "passthrough", v["w"], v["h"], v["before"])
+        return F.when(v["before"].isNotNull(), F.when(((v["known"] == "openai") & (v["fixed"] == "low")) | (v["before"] <= v["target"]), same).when(v["target"].isNull(), sweet(v)).otherwise(budget(v)))
+
+    def priced(v: Column) -> Column:
+        fixed = F.when((v["known"] == "openai") & (v["detail"] == "auto"), F.when(F.greatest(v["w"], v["h"]) <= OPENAI_TILE, "low").otherwise("high")).otherwise(v["detail"])
+        before = tokens(v["w"], v["h"], v["known"], v["detail"])
+        return _let(decide, w=v["w"], h=v["h"], known=v["known"], fixed=fixed, target=v["target"], before=before)
+
+    return _let(priced, w=w.cast("long"), h=h.cast("long"), known=provider(prov), detail=detail, target=target)
 
 
 def png_gif_size(data: Column) -> Column:

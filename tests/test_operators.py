@@ -246,3 +246,49 @@ def test_readers(spark, tmp_path):
     (logs_ / "x.jsonl").write_text('{"ts": 1, "session_id": "s", "kind": "tool_call", "payload": {"tool": "t"}}\nnot json\n{"no": 1}\n')
     assert [r["kind"] for r in readers.read_sessions(spark, str(logs_)).collect()] == ["tool_call"]
     assert readers.read_sessions(spark, str(tmp_path / "missing")).count() == 0
+
+
+def slow_plan(w, h, p, target):
+    import math
+
+    def scale(x, y, s):
+        return (x, y) if s >= 1 else (max(1, round(x * s)), max(1, round(y * s)))
+
+    def openai(x, y):
+        x, y = scale(x, y, min(1.0, 2048 / max(x, y)))
+        return scale(x, y, min(1.0, 768 / min(x, y)))
+
+    def cost(x, y, detail):
+        if p == "openai":
+            if detail == "low" or (detail == "auto" and max(x, y) <= 512):
+                return 85
+            x, y = openai(x, y)
+            return 85 + 170 * math.ceil(x / 512) * math.ceil(y / 512)
+        if p == "anthropic":
+            x, y = scale(x, y, min(1.0, 1568 / max(x, y)))
+            return min(math.ceil(x * y / 750), 1600)
+        return 258 * math.ceil(x / 768) * math.ceil(y / 768)
+
+    before, fixed = cost(w, h, "auto"), "auto"
+    if p == "openai":
+        fixed = "low" if max(w, h) <= 512 else "high"
+    if fixed == "low" or (target and before <= target):
+        return "passthrough", w, h, before
+    if not target:
+        best = openai(w, h) if p == "openai" else scale(w, h, min(1.0, 1568 / max(w, h), math.sqrt(1_150_000 / (w * h)))) if p == "anthropic" else scale(w, h, min(1.0, 1536 / max(w, h)))
+        return ("passthrough", w, h, before) if best == (w, h) else ("downscale", *best, cost(*best, fixed))
+    steps = [scale(w, h, i / 20) for i in range(19, 0, -1)]
+    steps = [(*s, cost(*s, fixed)) for s in steps if min(s) >= 16]
+    fits = [s for s in steps if s[2] <= target]
+    if fits:
+        return ("downscale", *fits[0])
+    if p == "openai":
+        return "detail-low", w, h, 85
+    return ("downscale", *steps[-1]) if steps and steps[-1][2] < before else ("passthrough", w, h, before)
+
+
+def test_image_plans_equal_a_plain_search(spark):
+    rows = [(37 * i % 4000 + 1, 91 * i % 4000 + 1, p, t) for i in range(1, 60) for p in ("openai", "anthropic", "google") for t in (None, 300, 90)]
+    df = spark.createDataFrame(rows, "w int, h int, p string, t int").select("*", images.plan(F.col("w"), F.col("h"), F.col("p"), F.col("t"), F.lit("auto")).alias("x"))
+    for r in df.collect():
+        assert (r["x"]["strategy"], r["x"]["width"], r["x"]["height"], r["x"]["after"]) == slow_plan(r["w"], r["h"], r["p"], r["t"]), r
