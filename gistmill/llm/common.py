@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,14 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, distinct
 
 
+def trim() -> None:
+    """Gives the memory that a finished Python task has freed back to the machine: idle workers are kept for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(Exception):  # other systems' libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def original_id() -> F.Column:
     return F.when(F.col("_did") != NO_ID, F.col("_did")).alias("doc_id")
 

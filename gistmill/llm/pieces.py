@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 import string
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed
+from .common import Scratch, keyed, trim
 
 SPACE = "▁"
 #: Words of up to so many characters are folded over a mask of 64 boundaries; longer ones merge in a heap.
@@ -206,6 +206,7 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
                 if len(held) > HELD:
                     yield out()
         yield out()
+        trim()
 
     vocabulary = distinct.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     cut = scratch.save(lattice(vocabulary, model), "cuts")
@@ -235,18 +236,21 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
                 for col, v in zip(cols, ([did] * len(own), [sub] * len(own), own), strict=True):
                     col.extend(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], ["_did", "_sub", "word"])
+        fine.clear()
+        trim()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in _small(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([None if t is None else z.compress(t.encode()) for t in b.column(3).to_pylist()], pa.binary())], ["_did", "_sub", "doc_id", "z"])
+        trim()
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        memo: dict[str, list[int]] = {}
+        memo: dict[str, bytes] = {}
 
-        def rest(chunk: str, masks: dict[str, int | None]) -> list[int]:
-            """The ids of a chunk that isn't remembered: if its words are frequent they are from now on."""
+        def rest(chunk: str, masks: dict[str, int | None]) -> bytes:
+            """The ids (4 bytes each) of a chunk that isn't remembered: if its words are frequent they are from now on."""
             out, frequent_ = [], True
             for w in model.words(chunk):
                 if w in known:
@@ -254,9 +258,10 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
                 else:
                     frequent_ = False
                     out += model.ids_of(w, _cuts(w, masks[w], rank))
+            data = array("i", out).tobytes()
             if frequent_ and len(memo) < FREQUENT:
-                memo[chunk] = out
-            return out
+                memo[chunk] = data
+            return data
 
         for b in _small(batches):
             texts, out, again = [], [], []
@@ -268,13 +273,15 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
                     masks = dict(zip(rare_words.field("word").to_pylist(), rare_words.field("mask").to_pylist(), strict=True))
                 texts.append(text)
                 found = map(memo.get, split := model.chunks(text or ""))
-                out.append(list(chain.from_iterable([rest(w, masks) if x is None else x for w, x in zip(split, found, strict=True)])))
-            ends = np.cumsum([0, *map(len, out)])
-            flat = np.fromiter(chain.from_iterable(out), np.int32, ends[-1])
+                out.append(b"".join([rest(w, masks) if x is None else x for w, x in zip(split, found, strict=True)]))
+            ends = np.cumsum([0, *map(len, out)]) // 4
+            flat = np.frombuffer(b"".join(out), np.int32)
             if decoded:
                 again = [pa.array([model.decode(flat[a:e]) for a, e in zip(ends, ends[1:], strict=False)], pa.string())]
             cols = [b.column(0), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *again]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "ids", "decoded"][: len(cols)])
+        memo.clear()
+        trim()
 
     own = (
         distinct.select("_did", "_sub", "_text")

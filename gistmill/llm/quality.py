@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import trim
+
 SYMBOLS = "#*$%&|<>"
 SPACES = "\x20\t\n\x0b\x0c\r"
 WINDOW = 8
@@ -96,6 +98,7 @@ def measured(docs: DataFrame) -> DataFrame:
             patterns = [sum(v * 3**k for k, v in enumerate(votes(*r))) for r in rows]
             cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(patterns, pa.int64())], ["doc_id", *names, "pattern"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {', '.join(f'{n} long' for n in names)}, pattern long")
 
@@ -159,5 +162,6 @@ def kept_rows(docs: DataFrame, least: float = 0.5) -> DataFrame:
         for b in batches:
             rows = [measures(x.as_py() or "") for x in b.column(at)]
             yield b.filter(pa.array([r[0] >= 20 and 100 * r[4] <= 30 * r[0] and sum(v * 3**k for k, v in enumerate(votes(*r))) in good for r in rows], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
