@@ -97,7 +97,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, scrat
 
 
 def _oracle() -> str:
-    """DuckDB SQL for op4. A page's links are followed recursively; none of the given tables has any."""
+    """DuckDB SQL for op4 where no page has links, as in the given tables: it doesn't follow any."""
     parse = "case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end"
     case = "case " + " ".join(
         f"when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then '{h}{p}|{v}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
