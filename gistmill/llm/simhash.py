@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicate groups by a byte-position inverted index with count filtering."""
+"""SimHash fingerprints and near-duplicate groups: by a byte-position inverted index with count filtering, or by shingle similarity."""
 
 from __future__ import annotations
 
@@ -20,19 +20,29 @@ SHARED = BYTES - RADIUS
 SHORT = 16
 
 
-def fingerprint(data: bytes, words: int = 3) -> int:
-    """The 64-bit SimHash of a UTF-8 text as a signed integer: a bit is 1 if set in over half the shingles' hashes."""
+def shingle_hashes(data: bytes, words: int) -> np.ndarray:
+    """64-bit hashes of all runs of so many words of a UTF-8 text; of fewer words the hash of them all; of none no hash."""
     w = data.lower().split()  # of bytes: lower-cases A-Z and splits at [\x20\x09-\x0D] only
     if not w:
-        return 0
+        return np.array([], np.uint64)
     text = b" ".join(w)
     if len(w) < words:
-        h = np.array([xxhash.xxh64_intdigest(text, 42)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-        first = [0, *ends[: len(w) - words].tolist()]
-        last = (ends[words - 1 :] - 1).tolist()
-        h = np.fromiter(map(xxhash.xxh64_intdigest, (text[a:b] for a, b in zip(first, last, strict=True)), repeat(42)), np.uint64, len(first))
+        return np.array([xxhash.xxh64_intdigest(text, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    first = [0, *ends[: len(w) - words].tolist()]
+    last = (ends[words - 1 :] - 1).tolist()
+    return np.fromiter(map(xxhash.xxh64_intdigest, (text[a:b] for a, b in zip(first, last, strict=True)), repeat(42)), np.uint64, len(first))
+
+
+def fingerprint(data: bytes, words: int = 3) -> int:
+    """The 64-bit SimHash of a UTF-8 text as a signed integer: a bit is 1 if set in over half the shingles' hashes."""
+    return simhash(shingle_hashes(data, words))
+
+
+def simhash(h: np.ndarray) -> int:
+    """The signed SimHash of an array of hashes, zero of none."""
+    if not len(h):
+        return 0
     lanes, one = np.zeros((8, 8), np.int64), np.uint64(0x0101010101010101)
     pad = np.zeros(-len(h) % 255, np.uint64)
     blocks = np.concatenate([h, pad]).reshape(-1, 255)  # a byte counts up to 255 hashes
@@ -131,3 +141,132 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
         fps.join(labelled.withColumnRenamed("fp", "fp2"), F.col("fp") == F.col("fp2"), "left")
         .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     )
+
+
+#: Documents whose shingles are counted to learn which are common, and how many of the commonest are remembered.
+SAMPLED, COMMON = 5_000, 200_000
+#: Up to so many ids of sets to compare are broadcast (8 bytes each); more are joined by a shuffle.
+WANTED = 1_000_000
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, c, n, sh) of every row: SimHash, a hash that names the set of shingles, its size, and the set as sorted hashes."""
+
+    def run(batches):
+        for b in batches:
+            fps, names, sets = [], [], []
+            for t in b.column(1):
+                h = shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", words)
+                u = np.unique(h)
+                fps.append(simhash(h))
+                names.append(_signed(xxhash.xxh64_intdigest(u.tobytes(), 42)))
+                sets.append(u.view(np.int64))
+            sizes = [len(u) for u in sets]
+            at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            sh = pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.array([], np.int64), *sets])))
+            cols = [b.column(0), pa.array(fps, pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), sh]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "c", "n", "sh"])
+        trim()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, c long, n int, sh array<long>")
+
+
+def least_overlap(share: float, n):
+    """The least whole number of n shingles that is a share of them; a hair less, so that rounding loses none."""
+    return np.ceil(share * n - 1e-9).astype(int)
+
+
+def postings(sets: DataFrame, common: dict[int, int], least: float) -> DataFrame:
+    """(s, c, n, p): the rarest shingles of each set, with their place p in the order from rare to common.
+
+    Two sets of similarity `least` share a shingle among the first n - least * n + 1 of each, whatever the order.
+    """
+    keys = np.array(sorted(common), np.int64)
+    counts = np.array([common[k] for k in keys.tolist()], np.int64)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for c, n, sh in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                s = sh.values.to_numpy()
+                often = np.zeros(n, np.int64)
+                if len(keys):
+                    i = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                    often = np.where(keys[i] == s, counts[i], 0)
+                k = n - int(least_overlap(least, np.int64(n))) + 1
+                s = s[np.lexsort((s, often))[:k]]
+                out.append((s, np.full(len(s), c), np.full(len(s), n), np.arange(len(s))))
+            if out:
+                s, c, n, p = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(p, pa.int32())], ["s", "c", "n", "p"])
+        trim()
+
+    return sets.select("c", "n", "sh").mapInArrow(run, "s long, c long, n int, p int")
+
+
+def similar_sets(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(a, b): edges between the c of sets (c, n, sh) that give the components of all pairs of similarity `least`; rows may repeat.
+
+    Similar sets meet in the list of a rare shingle (see postings). All pairs of a short list are compared by
+    their whole sets; in a long list first those next to each other in size. Then pairs of long lists are compared whose
+    sets aren't connected yet, so that a large group of near copies, once joined, gives no pairs. No list is cut.
+    """
+    total = sets.count()
+    sample = sets.filter(F.pmod(F.xxhash64("c"), F.lit(max(1, total // SAMPLED))) == 0)
+    often = sample.select(F.explode("sh").alias("s")).groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(COMMON)
+    common = {r["s"]: r["count"] for r in often.collect()}
+    x = F.struct("n", "c", "p")
+    lists = postings(sets, common, least).groupBy("s").agg(F.collect_set(x).alias("m")).filter(F.size("m") > 1).withColumn("m", F.array_sort("m"))
+    lists = scratch.save(lists, "lists")
+
+    def could(x, y):
+        """Sizes allow it, and so do the shingles left after the shared one; x is the smaller set."""
+        need = F.ceil(least / (1 + least) * (x["n"] + y["n"]) - 1e-9)
+        return (x["n"] >= least * y["n"] - 1e-9) & (F.least(x["n"] - x["p"], y["n"] - y["p"]) >= need)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.save(pairs.distinct(), "pairs")
+        ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "ids")
+        few = F.broadcast(ids) if ids.count() <= WANTED else ids
+        wanted = scratch.save(sets.join(few, "c", "left_semi").groupBy("c").agg(F.first("n").alias("n"), F.first("sh").alias("sh")), "wanted")
+        left, right = (wanted.select(F.col("c").alias(k), F.col("n").alias("n" + k), F.col("sh").alias("sh" + k)) for k in "ab")
+        both = F.size(F.array_intersect("sha", "shb"))
+        met = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.alias("both"))
+        out = scratch.save(met.filter(F.col("both") >= least * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("a", "b"), "similar")
+        for x in (pairs, ids, wanted):
+            scratch.drop(x)
+        return out
+
+    m, reach = F.col("m"), F.when(F.size("m") <= SHORT, SHORT).otherwise(1)
+    pairs = F.flatten(F.transform(m, lambda x, i: F.transform(F.slice(m, i + 2, reach), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    first = similar(lists.select(F.explode(F.filter(pairs, lambda q: could(q["x"], q["y"]))).alias("q")).select(F.col("q.x.c").alias("a"), F.col("q.y.c").alias("b")))
+    roots = connected_components(first, scratch)
+    rows = lists.filter(F.size("m") > SHORT).select("s", F.explode("m").alias("x"))
+    rows = rows.join(roots, F.col("x.c") == roots.node, "left").select("s", "x", F.coalesce("root", "x.c").alias("root"))
+    open_ = rows.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("s")
+    rows = scratch.save(rows.join(open_, "s", "left_semi"), "open")
+    other = rows.select("s", F.col("x").alias("y"), F.col("root").alias("root2"))
+    meet = (F.col("root") != F.col("root2")) & (F.struct("x.n", "x.c") < F.struct("y.n", "y.c")) & could(F.col("x"), F.col("y"))
+    second = similar(rows.join(other, "s").filter(meet).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
+    return first.unionByName(second)
+
+
+def near_copies(docs: DataFrame, scratch: Scratch | None = None, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of docs (doc_id, text), linked by similarity of shingles.
+
+    Documents link if the Jaccard similarity of their sets of `words`-word shingles is `least` or more; component_id is
+    the smallest doc_id reachable. Words, short and empty texts, null ids, repeats and empty tables are as in
+    near_duplicates(). Such texts differ in about 10 bits of a SimHash and may in over 20, and blocks for that radius
+    would hold a sixth of the corpus each; so candidates meet by their rarest shingles, which loses none, and are
+    compared exactly. Equal 64-bit hashes count as equal shingles and as equal sets.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    sets = scratch.save(shingle_sets(docs, words), "sets")
+    rows = scratch.save(sets.select("doc_id", "fp", "c"), "rows")
+    nodes = scratch.save(rows.groupBy("c").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "classes")
+    edges = similar_sets(sets.filter("n > 0 and doc_id is not null").select("c", "n", "sh"), least, scratch)
+    scratch.drop(sets)
+    a, b = (nodes.select(F.col("c").alias(k), F.col("rep").alias("r" + k)) for k in "ab")
+    roots = connected_components(edges.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch)
+    labelled = nodes.join(roots, nodes.rep == roots.node, "left").select("c", F.coalesce("root", "rep").alias("component_id"))
+    return rows.join(labelled, "c", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
