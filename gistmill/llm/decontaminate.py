@@ -57,19 +57,28 @@ def similarity(a, b) -> F.Column:
 def matches(distinct: DataFrame, benchmark: DataFrame, scratch: Scratch, radius: int = RADIUS, least: float = LEAST) -> DataFrame:
     """(_did, _sub, item_id, similarity): the benchmark items that a document contains, with the best window's similarity.
 
-    Windows: a window as similar as asked shares a shingle with its item, so windows of the item's size are laid where a
-    shared shingle puts the item's start; positions without one need no fingerprint. Index: fingerprints of windows and
-    items are cut into radius + 1 blocks; pairs of a window and its item that agree on a block are within reach by the
-    pigeonhole principle and are then compared bit by bit. Verification: weighted similarity of the shingles.
+    Windows: they have the item's size and start anywhere, also before the document's start or near its end, where they
+    are shorter. A window as similar as asked holds a share of `least` of its item's shingles, so only documents
+    and places with so many shared shingles (in whatever order) can have one. Any such window is at most as similar as
+    one that starts at a shared shingle or, where it would start before the document, ends at one: moving it there loses
+    none and makes it no longer. So these windows are fingerprinted and the others need none. Index: fingerprints of
+    windows and items are cut into radius + 1 blocks; pairs of a window and its item that agree on a block are within
+    reach by the pigeonhole principle and are then compared bit by bit. Verification: weighted similarity of the shingles.
     """
     texts = benchmark.filter("item_id is not null and text is not null").select("item_id", F.col("text").alias("_text"))
     items = scratch.save(hashed(texts, "item_id").withColumnRenamed("sh", "ish").distinct(), "items").filter("size(ish) > 0")
-    seeds = scratch.save(items.select("item_id", F.size("ish").alias("n_ish"), F.posexplode("ish").alias("q", "s")), "seeds")
+    seeds = scratch.save(items.select("item_id", F.size("ish").alias("n_ish"), F.explode("ish").alias("s")).distinct(), "seeds")
     small = seeds.count() <= BROADCAST
     keep = F.broadcast if small else lambda x: x
     # the outer form, as a plain explode infers a filter on the array's size that is pushed to the scan and computes it anew
     hits = hashed(distinct, "_did", "_sub").select("_did", "_sub", F.posexplode_outer("sh").alias("p", "s")).join(keep(seeds), "s")
-    starts = scratch.save(hits.select("_did", "_sub", "item_id", (F.col("p") - F.col("q")).alias("start"), "n_ish").distinct(), "starts")
+    need = F.ceil(least * F.col("n_ish") - 1e-9).cast("int")
+    places = hits.groupBy("_did", "_sub", "item_id", "n_ish").agg(F.array_sort(F.collect_set("p")).alias("ps")).filter(F.size("ps") >= need)
+    at, n = F.col("ps"), F.col("n_ish")
+    from_hit = F.filter(at, lambda p, i: F.get(at, i + need - 1) < p + n)
+    to_hit = F.transform(F.filter(at, lambda p, i: (i + 1 >= need) & (p + 1 < n)), lambda p: p + 1 - n)
+    starts = places.select("_did", "_sub", "item_id", "n_ish", F.explode(F.array_distinct(F.concat(from_hit, to_hit))).alias("start"))
+    starts = scratch.save(starts, "starts")
 
     marked = starts.groupBy("_did", "_sub").agg(F.collect_list(F.struct("item_id", "start", "n_ish")).alias("at"))
     begin, stop = F.greatest(F.col("at.start"), F.lit(0)), F.least(F.col("at.start") + F.col("at.n_ish"), F.size("sh"))
@@ -102,8 +111,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None
     """docs with contaminated (boolean), n_items and items (sorted item_ids, comma-joined) added.
 
     A document is contaminated by an item if a window of it with as many five-word shingles as the item (fewer where the
-    document ends), laid so that a shared shingle falls where the item has it, has a weighted Jaccard similarity of
-    `least` or more. Words are runs of letters, marks and digits in lower case. An item of fewer than five words matches
+    document begins or ends), at any start, has a weighted Jaccard similarity of `least` or more. Words are runs of letters, marks and digits in lower case. An item of fewer than five words matches
     only a document of just these words; one without words, id or text matches none. Equal items under different ids are
     all named. Null or empty text: not contaminated. Rows that repeat get equal results, also with a null doc_id. An
     empty table of documents gives no rows, an empty benchmark contaminates nothing. Columns of docs stay, but for those
