@@ -19,8 +19,8 @@ def _ranked(suffixes: DataFrame, keys: list[str]) -> DataFrame:
     return repeated.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id())
 
 
-def suffix_levels(distinct: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """Level k: (_did, _sub, line, rank, bytes, late) of the suffixes whose first 2**k lines occur elsewhere too.
+def suffix_levels(distinct: DataFrame, scratch: Scratch, longest: int) -> list[DataFrame]:
+    """Level k: (_did, _sub, line, rank, bytes, late) of the suffixes whose first 2**k (up to longest) lines occur elsewhere too.
 
     Suffixes with one rank form an interval of the suffix array with a common prefix of 2**k lines at least; late is
     false for the interval's first suffix in the order of (doc_id, line) and true for its later copies. Prefix doubling:
@@ -38,6 +38,8 @@ def suffix_levels(distinct: DataFrame, scratch: Scratch) -> list[DataFrame]:
             return levels
         step = 2 ** len(levels)
         levels.append(level)
+        if 2 * step > longest:
+            return levels
         ahead = Window.partitionBy("_did", "_sub").orderBy("line").rangeBetween(step, step)
         pairs = level.select(
             "_did", "_sub", "line", F.col("rank").alias("r1"), F.max("rank").over(ahead).alias("r2"), (F.col("bytes") + 1 + F.max("bytes").over(ahead)).alias("bytes")
@@ -45,29 +47,65 @@ def suffix_levels(distinct: DataFrame, scratch: Scratch) -> list[DataFrame]:
         keys = ["r1", "r2"]
 
 
+def least_runs(lines: DataFrame, min_bytes: int) -> DataFrame:
+    """(_did, _sub, s, e): of the repeated lines, the shortest runs of min_bytes or more from each line on and up to each line."""
+    place = ["_did", "_sub", "island"]
+    row = F.row_number().over(Window.partitionBy("_did", "_sub").orderBy("line"))
+    rows = lines.select("_did", "_sub", "line", "bytes").withColumn("island", F.col("line") - row)  # lines that follow on each other
+    rows = rows.withColumn("stop", F.sum(F.col("bytes") + 1).over(Window.partitionBy(*place).orderBy("line"))).withColumn("begin", F.col("stop") - F.col("bytes") - 1)
+    on = Window.partitionBy(*place).orderBy("begin").rangeBetween(0, min_bytes)
+    upto = Window.partitionBy(*place).orderBy("stop").rangeBetween(-min_bytes, 0)
+    rows = rows.select("_did", "_sub", "line", "begin", "stop", F.max("line").over(on).alias("last"), F.max("stop").over(on).alias("last_stop"), F.min("line").over(upto).alias("first"), F.min("begin").over(upto).alias("first_begin"))
+    ways = [
+        F.when(F.col("last_stop") - F.col("begin") - 1 >= min_bytes, F.struct(F.col("line").alias("s"), F.col("last").alias("e"))),
+        F.when(F.col("stop") - F.col("first_begin") - 1 >= min_bytes, F.struct(F.col("first").alias("s"), F.col("line").alias("e"))),
+    ]
+    runs = rows.select("_did", "_sub", F.explode(F.array_distinct(F.array_compact(F.array(*ways)))).alias("r"))
+    return runs.select("_did", "_sub", F.col("r.s").alias("s"), (F.col("r.e") + 1).alias("e")).distinct()
+
+
 def late_runs(distinct: DataFrame, min_bytes: int, scratch: Scratch) -> DataFrame:
-    """(_did, _sub, runs): the line ranges to remove from each document that has any, sorted and disjoint."""
+    """(_did, _sub, runs): the line ranges to remove from each document that has any, sorted and disjoint.
+
+    These are the lines of all runs of min_bytes or more, of any number of lines, that also start earlier. A part of such
+    a run starts earlier too, so each of its lines lies in a part of it that is the shortest one of min_bytes from its
+    first line on or up to its last (from the line on, else up to the line, else from the run's start on). Only these
+    shortest runs need names. They have min_bytes + 1 lines at most; the name of a run of m lines is m and the ranks of the
+    2**k lines (2**k <= m < 2**(k+1)) at its start and at its end. Equal runs are the shortest at each of their places.
+    """
     from .common import merged
 
-    parts = [
-        level.filter(F.col("late") & (F.col("bytes") >= min_bytes)).select("_did", "_sub", F.struct(F.col("line").cast("long").alias("s"), (F.col("line") + 2**k).cast("long").alias("e")).alias("r"))
-        for k, level in enumerate(suffix_levels(distinct, scratch))
-    ]
-    if not parts:
+    levels = suffix_levels(distinct, scratch, min_bytes + 1)
+    if not levels:
         return distinct.limit(0).select("_did", "_sub", F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)").alias("runs"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found.groupBy("_did", "_sub").agg(merged(F.collect_list("r")).alias("runs"))
+    ranks = None
+    for k, level in enumerate(levels):
+        part = level.select("_did", "_sub", F.lit(k).alias("k"), F.col("line").alias("at"), "rank")
+        ranks = part if ranks is None else ranks.unionByName(part)
+    m = F.col("e") - F.col("s")
+    k = sum((m >= 2**j).cast("int") for j in range(1, (min_bytes + 1).bit_length())) + F.lit(0)
+    runs = scratch.save(least_runs(levels[0], min_bytes).withColumns({"m": m, "k": k}), "runs")
+    half = F.expr("cast(shiftleft(1, k) as int)")
+    named = (
+        runs.join(ranks.withColumnsRenamed({"at": "s", "rank": "r1"}), ["_did", "_sub", "k", "s"])
+        .withColumn("t", F.col("e") - half)
+        .join(ranks.withColumnsRenamed({"at": "t", "rank": "r2"}), ["_did", "_sub", "k", "t"])
+    )
+    named = scratch.save(named.select("_did", "_sub", "s", "e", "m", "r1", "r2"), "named")
+    at = F.struct("_did", "_sub", "s")
+    first = named.groupBy("m", "r1", "r2").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1").drop("n")
+    late = named.join(first, ["m", "r1", "r2"]).filter(at > F.col("first"))
+    r = F.struct(F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+    return late.groupBy("_did", "_sub").agg(merged(F.collect_list(r)).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_bytes: int = 40, scratch: Scratch | None = None) -> DataFrame:
     """docs with later copies of repeated line runs taken out of text, and n_lines, n_removed and n_runs added.
 
-    A line is removed if it lies in a run of 2**k consecutive lines (k = 0, 1, 2, ...) of its document that holds
-    min_bytes UTF-8 bytes or more (newlines between them included) and that also starts earlier: in a document with a
-    smaller doc_id, or earlier in the same one. The longest repeated run at any place is covered by two runs of a power
-    of two lines, so maximal repeated runs go as a whole; first copies stay. n_runs counts the maximal removed runs.
+    A line is removed if it lies in a run of consecutive lines, of any number, of its document that holds min_bytes
+    UTF-8 bytes or more (newlines between them included) and that also starts earlier: in a document with a smaller
+    doc_id, or earlier in the same one. So maximal repeated runs of min_bytes go as a whole; first copies stay. n_runs
+    counts the maximal removed runs.
     Lines are split at \\n alone and compared byte by byte (as 128-bit hashes). A null text has no lines and stays null;
     an empty one has one empty line. Rows with a null doc_id come before all others. Rows that repeat a doc_id and text
     are one document and get the same result; other rows with one doc_id are separate documents in the order of their
