@@ -131,7 +131,7 @@ cells as (select block_id, idx, n, 0 as col, c0 as value from rows_ union all se
 
 
 def _facts(spark, sf):
-    return _t(spark, sf, "conversations").select(F.col("conv_id").alias("ctx_id"), F.col("turn").alias("seq"), F.substring("text", 1, 200).alias("item"))
+    return _t(spark, sf, "conversations").select(F.col("conv_id").alias("ctx_id"), F.col("turn").alias("seq"), F.col("text").alias("item"))
 
 
 def _kinds(spark, sf):
@@ -556,7 +556,7 @@ def semcache_lookup(spark, sf):
 
 
 def _pairs(spark, sf):
-    c = _t(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 60), F.when(F.col("turn") % 2 == 0, " enable it in May 2024").otherwise(" disable it on 3 May")).alias("t"))
+    c = _t(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", F.when(F.col("turn") % 2 == 0, " enable it in May 2024").otherwise(" disable it on 3 May")).alias("t"))
     nxt = c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("t").alias("u"))
     own = c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", "t", "u")
     near = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u")), ["conv_id", "turn"]).select("conv_id", (F.col("turn") + 1000).alias("turn"), "t", "u")
