@@ -548,11 +548,11 @@ def cosine_topk(spark, sf):
 
 @query()
 def semcache_lookup(spark, sf):
-    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 80).alias("prompt"))
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("prompt"))
     rows = _t(spark, sf, "embeddings").join(d, "vec_id")
-    e = rows.filter("vec_id % 20 != 0").select(F.col("vec_id").alias("entry_id"), "prompt", F.col("prompt").alias("response"), "embedding", F.col("vec_id").alias("last_used"))
+    e = rows.select(F.col("vec_id").alias("entry_id"), "prompt", F.col("prompt").alias("response"), "embedding", F.col("vec_id").alias("last_used"))
     p = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe_id"), "prompt", "embedding")
-    return store.cache_lookup(p, e, 0.2).select("probe_id", "entry_id", _r("similarity").alias("similarity"))
+    return store.cache_lookup(p, e, 0.2, others=True).select("probe_id", "entry_id", _r("similarity").alias("similarity"))
 
 
 def _pairs(spark, sf):

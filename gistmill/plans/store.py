@@ -47,19 +47,26 @@ def search_memory(queries: DataFrame, memory: DataFrame, k: int = 5) -> DataFram
 
 
 
-def cache_lookup(probes: DataFrame, entries: DataFrame, threshold: float = 0.96) -> DataFrame:
+def cache_lookup(probes: DataFrame, entries: DataFrame, threshold: float = 0.96, others: bool = False) -> DataFrame:
     """(probe_id, entry_id, response, similarity): for each probe (probe_id, prompt, embedding) the answer of an entry (entry_id,
     prompt, response, embedding, last_used) that may be served; probes without one are left out.
 
     An equal prompt answers at once (similarity 1): an equi-join by hash. The rest are compared by cosine with all entries in
     blocks of the probes, a stated query set; only pairs at the threshold meet the lexical guard. The most similar one is
-    served, of equal ones the one used last.
+    served, of equal ones the one used last. With others, probes are entries themselves, and the entry with a probe's own id
+    doesn't answer it.
     """
     p = probes.withColumn("_k", F.sha2("prompt", 256))
     e = entries.withColumn("_k", F.sha2("prompt", 256))
-    latest = e.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("last_used"), F.desc("entry_id")))).filter("_n = 1")
-    exact = p.select("probe_id", "_k").join(latest.select("_k", "entry_id", "response"), "_k").select("probe_id", "entry_id", "response", F.lit(1.0).alias("similarity"))
-    rest = p.join(latest.select("_k"), "_k", "left_anti").select("probe_id", F.col("prompt").alias("pp"), F.col("embedding").cast("array<double>").alias("pe"))
+    order = [F.desc("last_used"), F.desc("entry_id")]
+    # of equal prompts the one used last, and with others the one before, for the probe that is the last itself
+    latest = e.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(*order))).filter(F.col("_n") <= (2 if others else 1))
+    equal = p.select("probe_id", "_k").join(latest.select("_k", "entry_id", "response", "last_used"), "_k")
+    if others:
+        equal = top(equal.filter("probe_id != entry_id"), "probe_id", 1, *order)
+    exact = equal.select("probe_id", "entry_id", "response", F.lit(1.0).alias("similarity"))
+    rest = p.join(exact.select("probe_id"), "probe_id", "left_anti") if others else p.join(latest.select("_k"), "_k", "left_anti")
+    rest = rest.select("probe_id", F.col("prompt").alias("pp"), F.col("embedding").cast("array<double>").alias("pe"))
     rest = rest.filter(dot(F.col("pe"), F.col("pe")) > 0)
     n = rest.count()
     blocks = max(1, math.ceil(n / 10_000))
@@ -68,8 +75,9 @@ def cache_lookup(probes: DataFrame, entries: DataFrame, threshold: float = 0.96)
     for i in range(blocks):
         part = rest.filter(F.pmod(F.xxhash64("probe_id"), F.lit(blocks)) == i) if blocks > 1 else rest
         pairs = own.crossJoin(F.broadcast(part)).withColumn("similarity", cosine(F.col("pe"), F.col("ee"))).filter(F.col("similarity") >= threshold)
+        pairs = pairs.filter("probe_id != entry_id") if others else pairs
         good = pairs.filter(guard.safe(F.col("pp"), F.col("ep")))
-        out = out.unionByName(top(good, "probe_id", 1, F.desc("similarity"), F.desc("last_used"), F.desc("entry_id")).select("probe_id", "entry_id", "response", "similarity"))
+        out = out.unionByName(top(good, "probe_id", 1, F.desc("similarity"), *order).select("probe_id", "entry_id", "response", "similarity"))
     return out
 
 
