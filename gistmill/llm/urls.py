@@ -40,32 +40,68 @@ def rule_for(host, path, rules: Sequence[tuple[str, str, str]]) -> F.Column:
     return chosen
 
 
+def _without_dots(path) -> F.Column:
+    """A path that begins with / without its segments . and .. (RFC 3986, 5.2.4)."""
+    steps = F.split(F.substring(path, 2, 2**31 - 1), "/")
+    empty = F.expr("cast(array() as array<string>)")
+
+    def step(acc, x):
+        up = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(x == "..", up).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+
+    ends = F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(empty)
+    clean = F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(steps, empty, step), ends), "/"))
+    return F.when(path.contains("/."), clean).otherwise(path)
+
+
 def _node(url) -> F.Column:
-    """What names a page whatever its scheme and fragment: host, path and query."""
+    """What names a page whatever its scheme and fragment: host, path (without dot segments) and query."""
     host, path = host_and_path(url)
     query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
-    return F.concat(host, F.when(path == "", "/").otherwise(path), query)
+    return F.concat(host, F.when(path == "", "/").otherwise(_without_dots(path)), query)
+
+
+def resolved(url, t) -> F.Column:
+    """The URL that reference t means on the page url (RFC 3986, 5.2); null if it has another scheme than with ://, or the page has none."""
+    scheme, base = F.regexp_extract(url, r"^[^:/?#]*:", 0), F.regexp_extract(url, r"^[^:/?#]*://[^/?#]*", 0)
+    own = F.regexp_extract(url, r"^[^:/?#]*://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+    path, tail = F.regexp_extract(t, r"^[^?#]*", 0), F.regexp_extract(t, r"^[^?#]*(.*)", 1)
+    full = F.regexp_extract(t, r"^([A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", 0)
+    rest = F.regexp_extract(t, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
+    host = F.when(full.startswith("//"), F.concat(scheme, full)).otherwise(full)
+    joined = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(own == "", "/").otherwise(F.regexp_replace(own, r"[^/]*$", "")), path))
+    return (
+        F.when(full.startswith("//") & (base == ""), F.lit(None))
+        .when(full != "", F.concat(host, _without_dots(rest), tail))
+        .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (base == ""), F.lit(None))
+        .when(path != "", F.concat(base, _without_dots(joined), tail))
+        .when(t.startswith("?"), F.concat(base, own, tail))
+        .otherwise(F.concat(base, own, query, tail))
+    )
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
-    """(url, target) of canonical links and of refresh redirects in a page's HTML; targets are made absolute."""
-    attr = r"""(?is)\b{}\s*=\s*["']?([^"'>\s]+)"""
+    """(url, target) of canonical links and of refresh redirects in a page's HTML; targets are resolved against the page's URL."""
+    attr = r"""(?is)(?<![\w-]){}\s*=\s*(?:"\s*([^">]*)|'\s*([^'>]*)|([^\s"'>]+))"""
+
+    def value(name: str) -> F.Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract("tag", attr.format(name), i), F.lit("")) for i in (1, 2, 3)])
+
+    canonical = r"""(?is)(?<![\w-])rel\s*=\s*(?:"(?:[^">]*\s)?canonical[\s"]|'(?:[^'>]*\s)?canonical[\s']|canonical(?=[\s/>]))"""
     tags = F.filter(
         F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)),
-        lambda t: t.rlike(r"""(?is)\brel\s*=\s*["']?canonical\b""") | t.rlike(r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""),
-    )
-    target = F.coalesce(
-        F.nullif(F.regexp_extract("tag", attr.format("href"), 1), F.lit("")),
-        F.nullif(F.regexp_extract("tag", r"""(?is)\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'>\s]+)""", 1), F.lit("")),
+        lambda t: t.rlike(canonical) | t.rlike(r"""(?is)(?<![\w-])http-equiv\s*=\s*["']?\s*refresh\b"""),
     )
-    scheme = F.regexp_extract("url", r"^[^:/?#]*:", 0)
-    base = F.regexp_extract("url", r"^[^:/?#]*://[^/?#]*", 0)
-    absolute = F.when(F.col("t").contains("://"), F.col("t")).when(F.col("t").startswith("//"), F.concat(scheme, F.col("t"))).when(F.col("t").startswith("/"), F.concat(base, F.col("t")))
+    content = value("content")
+    named = F.regexp_extract(content, r"""(?is)(?:^|[;,\s])url\s*=\s*["']?\s*([^"'\s]+)""", 1)
+    bare = F.regexp_extract(content, r"""(?is)^[\d.]+\s*[;,]\s*(?!url\s*=)["']?\s*([^"'\s]+)""", 1)
+    target = F.coalesce(F.nullif(F.regexp_extract(value("href"), r"^\S+", 0), F.lit("")), F.nullif(named, F.lit("")), F.nullif(bare, F.lit("")))
     return (
         pages.filter(F.col("html").rlike(r"(?i)canonical|http-equiv") & F.col("url").isNotNull())
         .select("url", F.explode(tags).alias("tag"))
         .select("url", target.alias("t"))
-        .select("url", absolute.alias("target"))
+        .select("url", resolved(F.col("url"), F.col("t")).alias("target"))
         .filter("target is not null")
     )
 
