@@ -4,25 +4,32 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import ctypes
-import gc
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside the operators; it sorts before every id.
 NO_ID = -(2**63)
+#: Session settings that the operators put in the place of Spark's defaults (never of a value that the user chose).
+#: Batches of texts that go to Python are bounded by bytes, as a batch counted in rows grows with the texts.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+#: Removes the shuffle files of a statement when it ends: what it wrote stands in the shared folder.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named in spark.checkpoint.dir.
+
+    Where that is unset, a master that runs on this machine alone gets a temporary folder, as in tests; on a cluster
+    executors would each write to a disk of their own, so ValueError is raised.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="gistmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}"
     return root.rstrip("/")
 
 
@@ -33,12 +40,20 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/gistmill-{uuid.uuid4().hex}"
         self.count = 0
+        for key, (default, value) in SETTINGS.items():
+            if spark.conf.get(key, default) == default:
+                spark.conf.set(key, value)
         atexit.register(self.clear)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -57,39 +72,37 @@ class Scratch:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    def free_shuffles(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs with _did, _sub and _text added, and the distinct (_did, _sub, _text).
+    """(row, _did, _sub) of the rows of docs, whose columns are packed in row, and the distinct (_did, _sub, _text).
 
-    _did is doc_id with nulls as NO_ID, a null text is empty. _sub tells apart rows that share a doc_id: rows with equal
-    texts are the same document and share a _sub; others are numbered in the order of their texts. It is 0 for all
-    where no id repeats, which a scan of the ids shows; only otherwise are the texts sorted by id.
+    Packed columns can't clash with inner names, whatever they are called. _did is doc_id with nulls as NO_ID, a null text
+    is empty. _sub tells apart rows that share a doc_id: rows with equal texts are the same document and share a _sub;
+    others are numbered in the order of their texts. It is 0 for all where no id repeats, which a scan of the ids shows;
+    only otherwise are the texts sorted by id.
     """
-    rows = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
-    repeats = rows.groupBy("_did").count().filter("count > 1").limit(1).count() > 0
-    sub = (F.dense_rank().over(Window.partitionBy("_did").orderBy("_text")) - 1).cast("int") if repeats else F.lit(0)
-    rows = rows.withColumn("_sub", sub)
-    distinct = rows.select("_did", "_sub", "_text")
-    distinct = distinct.distinct() if repeats else distinct
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    repeats = docs.groupBy(did.alias("k")).count().filter("count > 1").limit(1).count() > 0
+    if repeats:
+        sub = F.dense_rank().over(Window.partitionBy("_did").orderBy("_text")) - 1
+        rows = docs.select(row, did.alias("_did"), whole_text(F.col("text")).alias("_text")).withColumn("_sub", sub.cast("int"))
+        distinct = rows.select("_did", "_sub", "_text").distinct()
+        rows = rows.select("row", "_did", "_sub")
+    else:
+        rows = docs.select(row, did.alias("_did"), F.lit(0).alias("_sub"))
+        distinct = docs.select(did.alias("_did"), F.lit(0).alias("_sub"), whole_text(F.col("text")).alias("_text"))
     distinct.repeats = repeats  # whether rows can be more than the distinct documents
     return rows, distinct
 
 
-def trim() -> None:
-    """Gives the memory that a finished Python task has freed back to the machine: idle workers are kept for later tasks."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(Exception):  # other systems' libraries have no such call
-        ctypes.CDLL(None).malloc_trim(0)
+def whole_text(text) -> F.Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def original_id() -> F.Column:
-    return F.when(F.col("_did") != NO_ID, F.col("_did")).alias("doc_id")
+def columns_of(docs: DataFrame, **replaced: F.Column) -> list[F.Column]:
+    """The columns of docs out of row, those named in `replaced` with their new values."""
+    return [replaced.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
 
 
 def merged(ranges) -> F.Column:

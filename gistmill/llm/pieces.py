@@ -16,15 +16,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed, trim
+from .common import Scratch, keyed
 
 SPACE = "▁"
 #: Words of up to so many characters are folded over a mask of 64 boundaries; longer ones merge in a heap.
 MASKED = 62
-#: Most words whose encodings are broadcast (about 20 MB); all others are joined to their documents.
+#: Most words whose ids are broadcast (about 20 MB), and most chunks that a task remembers; other words' ids are joined
+#: to their documents.
 FREQUENT = 200_000
 #: Words that a task counts before it passes them on.
-HELD = 100_000
+HELD = 50_000
 
 @dataclass
 class Model:
@@ -87,6 +88,11 @@ class Model:
                 out += [self.byte[b] for b in t.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
         return out
 
+    @property
+    def code(self) -> str:
+        """The type of packed ids, of 2 bytes where they fit."""
+        return "H" if len(self.text) <= 1 << 16 else "i"
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes are joined to characters, the space put before a text is taken off."""
         if self.raw is None:
@@ -169,128 +175,147 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
-def _cuts(word: str, mask: int | None, rank: dict[str, int]) -> list[int]:
-    if mask is None:
-        return merged_cuts(word, rank)
-    return [i for i in range(1, len(word) + 1) if mask >> i & 1]
+def spelled(cuts: DataFrame, model: Model) -> DataFrame:
+    """(word, n, ids): the ids of each word of lattice(), packed with model.code. A word without a mask merges in a heap."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for word, mask in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                ends = merged_cuts(word, model.rank) if mask is None else [i for i in range(1, len(word) + 1) if mask >> i & 1]
+                out.append(array(model.code, model.ids_of(word, ends)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["word", "n", "ids"])
 
-def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, frequent: int = FREQUENT, decoded: bool = False) -> DataFrame:
-    """(doc_id, text, ids array<int>) of every row of docs: the ids that the model's own library gives for the whole text.
+    return cuts.mapInArrow(run, "word string, n long, ids binary")
 
-    With `decoded`, the text of the ids follows as the column decoded, by the same worker (see decode()).
 
-    Words are counted on the map side; lattice() cuts each distinct word once. The cuts of the most frequent words
-    (`frequent` at most) are broadcast, every other word's cuts are joined to the documents that hold it, by word and
-    then by document. Null text: no ids (and text stays null); empty text: no ids. U+2581 in a text is a space to the
-    model and comes back as one. Rows that repeat, also with a null doc_id, get equal results. An empty table gives no
-    rows; other columns are ignored.
-    """
-    scratch = scratch or Scratch(docs.sparkSession)
-    rows, distinct = keyed(docs.select("doc_id", "text"))
+def counted(texts: DataFrame, model: Model) -> DataFrame:
+    """(word, n): the words of all texts (one column) and how often they occur."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             found: dict[str, int] = {}
             for chunk, n in held.items():  # a chunk is cut to words once, however often it occurs
                 for w in model.words(chunk):
                     found[w] = found.get(w, 0) + n
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
 
-        for b in batches:
+        for b in _small(batches):
             for t in b.column(0):
                 held.update(model.chunks(t.as_py()))
                 if len(held) > HELD:
-                    yield out()
-        yield out()
-        trim()
-
-    vocabulary = distinct.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    cut = scratch.save(lattice(vocabulary, model), "cuts")
-    del vocabulary
-    scratch.free_shuffles()
-    sizes = {r["b"]: r["count"] for r in cut.groupBy(F.floor(F.log2("n") * 8).alias("b")).count().collect()}
+                    yield from out()
+        yield from out()
+
+    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(words: DataFrame, most: int) -> F.Column:
+    """Whether a row of words (n) is one of the `most` most frequent: a threshold on n, found from counts by eighths of powers of two."""
+    of = F.floor(F.log2("n") * 8)
+    sizes = {r["b"]: r["count"] for r in words.groupBy(of.alias("b")).count().collect()}
     least, total = max(sizes, default=0) + 1, 0
-    while least - 1 in sizes or any(b < least for b in sizes):
-        if total + sizes.get(least - 1, 0) > frequent:
+    for b in sorted(sizes, reverse=True):
+        if total + sizes[b] > most:
             break
-        least -= 1
-        total += sizes.get(least, 0)
-    often = F.floor(F.log2("n") * 8) >= least
-    rank, known = model.rank, {r["word"]: r["mask"] for r in cut.filter(often).collect()}
+        least, total = b, total + sizes[b]
+    return of >= least
+
+
+def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, frequent: int = FREQUENT, decoded: bool = False) -> DataFrame:
+    """(doc_id, text, ids array<int>) of every row of docs: the ids that the model's own library gives for the whole text.
+
+    With `decoded`, the text of the ids follows as the column decoded, by the same worker (see decode()).
+
+    Words are counted on the map side; lattice() cuts each distinct word once, and spelled() gives it its ids. The ids of
+    the most frequent words (`frequent` at most) are broadcast. A document numbers its other words in the order in which
+    they first occur; the ids of these are joined by word and travel to the document under their numbers. Null text: no
+    ids (and text stays null); empty text: no ids. U+2581 in a text is a space to the model and comes back as one. Rows
+    that repeat, also with a null doc_id, get equal results. An empty table gives no rows; other columns are ignored.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows, distinct = keyed(docs.select("doc_id", "text"))
+    cut = scratch.save(spelled(lattice(counted(distinct.select("_text"), model), model), model), "cuts")
+    often = most_frequent(cut, frequent)
+    known: dict[str, bytes] = {r["word"]: bytes(r["ids"]) for r in cut.filter(often).collect()}
+    words = frozenset(known)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fine: set[str] = set()  # chunks of frequent words alone
         for b in _small(batches):
-            cols: list[list] = [[], [], []]
+            dids, subs, numbers, found = array("q"), array("i"), array("i"), []
             for did, sub, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own: set[str] = set()
-                for chunk in set(model.chunks(t)).difference(fine):
-                    lost = [w for w in model.words(chunk) if w not in known]
-                    own.update(lost)
-                    if not lost and len(fine) < FREQUENT:
+                own: dict[str, None] = {}
+                for chunk in dict.fromkeys(model.chunks(t)):
+                    if chunk in fine:
+                        continue
+                    lost = [w for w in model.words(chunk) if w not in words]
+                    if lost:
+                        own.update(dict.fromkeys(lost))
+                    elif len(fine) < FREQUENT:
                         fine.add(chunk)
-                for col, v in zip(cols, ([did] * len(own), [sub] * len(own), own), strict=True):
-                    col.extend(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], ["_did", "_sub", "word"])
-        fine.clear()
-        trim()
+                dids.extend([did] * len(own))
+                subs.extend([sub] * len(own))
+                numbers.extend(range(len(own)))
+                found.extend(own)
+            cols = [pa.array(np.frombuffer(c, t)) for c, t in ((dids, np.int64), (subs, np.int32), (numbers, np.int32))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.string())], ["_did", "_sub", "i", "word"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in _small(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([None if t is None else z.compress(t.encode()) for t in b.column(3).to_pylist()], pa.binary())], ["_did", "_sub", "doc_id", "z"])
-        trim()
+            texts = [z.compress(t.as_buffer()) if t.is_valid else None for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(texts, pa.binary())], ["_did", "_sub", "doc_id", "z"])
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        memo: dict[str, bytes] = {}
-
-        def rest(chunk: str, masks: dict[str, int | None]) -> bytes:
-            """The ids (4 bytes each) of a chunk that isn't remembered: if its words are frequent they are from now on."""
-            out, frequent_ = [], True
-            for w in model.words(chunk):
-                if w in known:
-                    out += model.ids_of(w, _cuts(w, known[w], rank))
-                else:
-                    frequent_ = False
-                    out += model.ids_of(w, _cuts(w, masks[w], rank))
-            data = array("i", out).tobytes()
-            if frequent_ and len(memo) < FREQUENT:
-                memo[chunk] = data
-            return data
+        memo: dict[str, bytes] = {}  # of chunks of frequent words alone
+
+        def whole(chunks: list[str], numbers: np.ndarray, own: list[bytes]) -> bytes:
+            """The ids of a text; own: those of its words that aren't frequent, under their numbers."""
+            rare_words: dict[str, bytes] = {}
+            in_order = iter([own[k] for k in np.argsort(numbers).tolist()])
+            out = list(map(memo.get, chunks))
+            for at, x in enumerate(out):
+                if x is None:
+                    chunk, lost = chunks[at], False
+                    parts = []
+                    for w in model.words(chunk):
+                        if (got := known.get(w)) is None:
+                            lost = True
+                            if (got := rare_words.get(w)) is None:
+                                got = rare_words[w] = next(in_order)
+                        parts.append(got)
+                    out[at] = data = b"".join(parts)
+                    if not lost and len(memo) < FREQUENT:
+                        memo[chunk] = data
+            return b"".join(out)
 
         for b in _small(batches):
-            texts, out, again = [], [], []
-            for data, own in zip(b.column(1), b.column(2), strict=True):
-                text = z.decompress(data.as_buffer()).decode() if data.is_valid else None
-                masks: dict[str, int | None] = {}
-                if own.is_valid:
-                    rare_words = own.values
-                    masks = dict(zip(rare_words.field("word").to_pylist(), rare_words.field("mask").to_pylist(), strict=True))
-                texts.append(text)
-                found = map(memo.get, split := model.chunks(text or ""))
-                out.append(b"".join([rest(w, masks) if x is None else x for w, x in zip(split, found, strict=True)]))
-            ends = np.cumsum([0, *map(len, out)]) // 4
-            flat = np.frombuffer(b"".join(out), np.int32)
-            if decoded:
-                again = [pa.array([model.decode(flat[a:e]) for a, e in zip(ends, ends[1:], strict=False)], pa.string())]
+            texts = [z.decompress(t.as_buffer()).decode() if t.is_valid else None for t in b.column(1)]
+            every = b.column(2).flatten()
+            numbers, own = every.field("i").to_numpy(), every.field("ids").to_pylist()
+            ends = np.cumsum([0, *(n or 0 for n in b.column(2).value_lengths().to_pylist())]).tolist()
+            out = [whole(model.chunks(t or ""), numbers[a:e], own[a:e]) for t, a, e in zip(texts, ends, ends[1:], strict=False)]
+            flat = np.frombuffer(b"".join(out), model.code).astype(np.int32)
+            ends = np.cumsum([0, *map(len, out)]) // np.dtype(model.code).itemsize
+            again = [pa.array([model.decode(flat[a:e]) for a, e in zip(ends, ends[1:], strict=False)], pa.string())] if decoded else []
             cols = [b.column(0), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *again]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "ids", "decoded"][: len(cols)])
-        memo.clear()
-        trim()
 
     own = (
         distinct.select("_did", "_sub", "_text")
-        .mapInArrow(rare, "_did long, _sub int, word string")
-        .join(cut.filter(~often).select("word", "mask"), "word")
+        .mapInArrow(rare, "_did long, _sub int, i int, word string")
+        .join(cut.filter(~often).select("word", "ids"), "word")
+        .select("_did", "_sub", "i", "ids")
+        .repartition("_did", "_sub")  # rows are smaller than lists of one
         .groupBy("_did", "_sub")
-        .agg(F.collect_list(F.struct("word", "mask")).alias("own"))
+        .agg(F.collect_list(F.struct("i", "ids")).alias("own"))
     )
-    texts = rows.select("_did", "_sub", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(packed, "_did long, _sub int, doc_id long, z binary")
+    texts = rows.select("_did", "_sub", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")).mapInArrow(packed, "_did long, _sub int, doc_id long, z binary")
     return texts.join(own, ["_did", "_sub"], "left").select("doc_id", "z", "own").mapInArrow(ids, "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
 
 
