@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, trim
+from .common import Scratch, columns_of
 from .graph import connected_components
 
-#: Bytes of a fingerprint, and how many of them two fingerprints that differ in RADIUS bits must share.
-BYTES, RADIUS = 8, 2
-SHARED = BYTES - RADIUS
+#: Bytes of a fingerprint, bits in which linked ones may differ, and (position, byte) pairs that a term is made of.
+BYTES, RADIUS, TERM = 8, 2, 5
+#: Terms that two linked fingerprints share at least: they agree on BYTES - RADIUS positions or more.
+SHARED = comb(BYTES - RADIUS, TERM)
 #: Posting lists up to this length are tallied pair by pair.
 SHORT = 16
 
@@ -60,7 +63,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
-        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
@@ -69,56 +71,56 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _masks() -> list[tuple[int, list[int]]]:
-    """For each choice of SHARED byte positions: the mask of their bits, and the single bits of the others."""
-    out = []
-    for free in combinations(range(BYTES), RADIUS):
-        mask = sum(0xFF << 8 * p for p in range(BYTES) if p not in free)
-        out.append((_signed(mask), [_signed(1 << 8 * p + b) for p in free for b in range(8)]))
-    return out
+def _paired(m: F.Column, reach) -> F.Column:
+    """All {x, y} of an array in which y stands up to `reach` places after x."""
+    return F.flatten(F.transform(m, lambda x, i: F.transform(F.slice(m, i + 2, reach), lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """(a, b): edges between reps of classes (fp, rep) that give the same components as all pairs within RADIUS bits.
+def links(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): edges between distinct fingerprints (column fp) that give the components of all pairs within RADIUS bits.
 
-    Two fingerprints that differ in two bits share at least 6 of their 8 positional bytes. The index posts each one
-    under every choice of 6 (position, byte) terms, so a pair that reaches that guaranteed minimum meets in a list, and
-    a list holds at most 65,536 distinct fingerprints (16 bits are free), whatever the size of the corpus. Lists under
-    single terms would hold 1/256 of the corpus each. In a short list every pair's shared positional bytes are tallied,
-    pairs with fewer than 6 dropped and the rest verified by their differing bits. In a long list each fingerprint is
-    posted again under itself and its 16 one-bit changes: two meet there exactly when they differ in 2 bits or fewer,
-    at most 17 meet under one term, and they are linked to the least; no list's pairs are emitted.
+    The index posts each fingerprint under every choice of 5 of its 8 (position, byte) pairs, 56 terms in all. Two
+    fingerprints that differ in two bits agree on 6 positions or more and so share 6 terms at least, others by chance one.
+    Short lists: each gives its pairs, the terms that a pair shares are tallied over all lists, pairs under the
+    guaranteed minimum are dropped, and the rest verified by their differing bits. Lists under single bytes would hold
+    1/256 of the corpus each.
+    Long lists give no pairs: their members are posted again under themselves and their 64 one-bit changes, where two
+    meet exactly if they differ in 2 bits or fewer, 65 at most under one term, and are linked to the least. A pair that
+    shares a long list has both members there; any other pair shares short lists alone, so its tally is complete.
     """
-    masks = _masks()
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, (m, _) in enumerate(masks)]))
-    posted = (
-        classes.select(keys.alias("k"), F.struct("fp", "rep").alias("x"))
-        .groupBy("k")
-        .agg(F.collect_list("x").alias("m"))
-        .filter(F.size("m") > 1)
-    )
-
-    def tally(p):
-        x = p["x"]["fp"].bitwiseXOR(p["y"]["fp"])
-        shared = sum((F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(BYTES))
-        return (shared >= SHARED) & (F.bit_count(x) <= RADIUS)
+    spark = classes.sparkSession
+    masks = [_signed(sum(0xFF << 8 * p for p in at)) for at in combinations(range(BYTES), TERM)]
+    terms = F.array(*[F.struct(F.lit(i).cast("byte").alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)])
+    posted = classes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("fp", F.explode(terms).alias("k")).select("k.i", "k.v", "fp")
+    lists = posted.withColumn("n", F.count("*").over(Window.partitionBy("i", "v"))).filter("n > 1")
+    lists = scratch.save(lists, "lists")
 
     m = F.col("m")
-    pairs = F.flatten(F.transform(m, lambda x, i: F.transform(F.slice(m, i + 2, F.lit(SHORT)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    short = posted.filter(F.size("m") <= SHORT).select(F.explode(F.filter(pairs, tally)).alias("p")).select(F.col("p.x.rep").alias("a"), F.col("p.y.rep").alias("b"))
+    met = lists.filter(F.col("n") <= SHORT).groupBy("i", "v").agg(F.array_sort(F.collect_list("fp")).alias("m"))
+    tallied = met.select(F.explode(_paired(m, F.lit(SHORT))).alias("p")).groupBy(F.col("p.x").alias("a"), F.col("p.y").alias("b")).agg(F.count("*").alias("shared"))
+    pairs = tallied.filter((F.col("shared") >= SHARED) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b")
 
-    free = F.element_at(F.array(*[F.array(*[F.lit(b) for b in [0, *bits]]) for _, bits in masks]), F.col("k.i") + 1)
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(64)])
     near = (
-        posted.filter(F.size("m") > SHORT)
-        .select("k", F.explode("m").alias("x"))
-        .select("k", "x", F.explode(free).alias("flip"))
-        .groupBy("k", F.col("x.fp").bitwiseXOR(F.col("flip")).alias("t"))
-        .agg(F.collect_set("x.rep").alias("r"))
-        .filter(F.size("r") > 1)
-        .select(F.explode("r").alias("a"), F.array_min("r").alias("b"))
+        lists.filter(F.col("n") > SHORT)
+        .select("fp")
+        .distinct()
+        .select("fp", F.explode(flips).alias("flip"))
+        .groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("t"))
+        .agg(F.collect_list("fp").alias("m"))
+        .filter(F.size("m") > 1)
+        .select(F.explode("m").alias("a"), F.array_min("m").alias("b"))
         .filter("a != b")
     )
-    return short.unionByName(near)
+    return pairs.unionByName(near)
+
+
+def _components(nodes: DataFrame, edges: DataFrame, key: str, scratch: Scratch, *least: str) -> DataFrame:
+    """(key, least): of each node of nodes (key, least) the least values in its component under edges (a, b)."""
+    roots = connected_components(edges, scratch)
+    rooted = scratch.save(nodes.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key)), "rooted")
+    found = rooted.groupBy("root").agg(*[F.min(c).alias(c) for c in least])
+    return rooted.select(key, "root").join(found, "root").drop("root")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -127,20 +129,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     Texts are lower-cased in A-Z; words are `[^\\x20\\x09-\\x0D]+`, shingles three words (a shorter text: all its
     words; none: fingerprint zero, linked like any other). Fingerprints link at 2 or fewer differing bits;
     component_id is the smallest doc_id reachable. Exact copies meet in their fingerprint's class first, so only
-    distinct fingerprints are compared. A row with a null doc_id gets the component of its fingerprint's class, null if
-    no row of that class has an id. Rows that repeat an id each get a result. An empty table gives no rows; other
-    columns are ignored.
+    distinct fingerprints are compared. Rows with a null doc_id link like others, so chains go through them, and get
+    their component's smallest id, null if it has none. Rows that repeat an id each get a result. An empty table gives no
+    rows; other columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     fps = scratch.save(fingerprints(docs), "fingerprints")
-    nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "classes")
-    edges = links(nodes)
-    roots = connected_components(edges, scratch)
-    labelled = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return (
-        fps.join(labelled.withColumnRenamed("fp", "fp2"), F.col("fp") == F.col("fp2"), "left")
-        .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    )
+    nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("component_id")), "classes")
+    labelled = _components(nodes, links(nodes.select("fp"), scratch), "fp", scratch, "component_id")
+    return fps.join(labelled, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Documents whose shingles are counted to learn which are common, and how many of the commonest are remembered.
@@ -149,8 +146,13 @@ SAMPLED, COMMON = 5_000, 200_000
 WANTED = 1_000_000
 
 
+def row_key() -> F.Column:
+    """{k1, k2}: 128 bits that stand for a row's doc_id and text."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"))
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, c, n, sh) of every row: SimHash, a hash that names the set of shingles, its size, and the set as sorted hashes."""
+    """(doc_id, k1, k2, fp, c, n, sh) of every row: its key, SimHash, a hash that names the set of shingles, its size, and the set as sorted hashes."""
 
     def run(batches):
         for b in batches:
@@ -164,11 +166,11 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             sizes = [len(u) for u in sets]
             at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             sh = pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.array([], np.int64), *sets])))
-            cols = [b.column(0), pa.array(fps, pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), sh]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "c", "n", "sh"])
-        trim()
+            cols = [b.column(0), b.column(2), b.column(3), pa.array(fps, pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), sh]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k1", "k2", "fp", "c", "n", "sh"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, c long, n int, sh array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("k")).select("doc_id", "text", "k.k1", "k.k2")
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long, c long, n int, sh array<long>")
 
 
 def least_overlap(share: float, n):
@@ -199,7 +201,6 @@ def postings(sets: DataFrame, common: dict[int, int], least: float) -> DataFrame
             if out:
                 s, c, n, p = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(p, pa.int32())], ["s", "c", "n", "p"])
-        trim()
 
     return sets.select("c", "n", "sh").mapInArrow(run, "s long, c long, n int, p int")
 
@@ -238,8 +239,7 @@ def similar_sets(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
         return out
 
     m, reach = F.col("m"), F.when(F.size("m") <= SHORT, SHORT).otherwise(1)
-    pairs = F.flatten(F.transform(m, lambda x, i: F.transform(F.slice(m, i + 2, reach), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    first = similar(lists.select(F.explode(F.filter(pairs, lambda q: could(q["x"], q["y"]))).alias("q")).select(F.col("q.x.c").alias("a"), F.col("q.y.c").alias("b")))
+    first = similar(lists.select(F.explode(F.filter(_paired(m, reach), lambda q: could(q["x"], q["y"]))).alias("q")).select(F.col("q.x.c").alias("a"), F.col("q.y.c").alias("b")))
     roots = connected_components(first, scratch)
     rows = lists.filter(F.size("m") > SHORT).select("s", F.explode("m").alias("x"))
     rows = rows.join(roots, F.col("x.c") == roots.node, "left").select("s", "x", F.coalesce("root", "x.c").alias("root"))
@@ -251,6 +251,17 @@ def similar_sets(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     return first.unionByName(second)
 
 
+def _labelled(docs: DataFrame, scratch: Scratch, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, k1, k2, fp, c), and of each c its component's smallest doc_id and first row: (c, component_id, first)."""
+    sets = scratch.save(shingle_sets(docs, words), "sets")
+    rows = scratch.save(sets.select("doc_id", "k1", "k2", "fp", "c"), "rows")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+    nodes = scratch.save(rows.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(first).alias("first")), "classes")
+    edges = similar_sets(sets.filter("n > 0").select("c", "n", "sh"), least, scratch)
+    scratch.drop(sets)
+    return rows, _components(nodes, edges, "c", scratch, "component_id", "first")
+
+
 def near_copies(docs: DataFrame, scratch: Scratch | None = None, words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs (doc_id, text), linked by similarity of shingles.
 
@@ -260,13 +271,24 @@ def near_copies(docs: DataFrame, scratch: Scratch | None = None, words: int = 5,
     would hold a sixth of the corpus each; so candidates meet by their rarest shingles, which loses none, and are
     compared exactly. Equal 64-bit hashes count as equal shingles and as equal sets.
     """
-    scratch = scratch or Scratch(docs.sparkSession)
-    sets = scratch.save(shingle_sets(docs, words), "sets")
-    rows = scratch.save(sets.select("doc_id", "fp", "c"), "rows")
-    nodes = scratch.save(rows.groupBy("c").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "classes")
-    edges = similar_sets(sets.filter("n > 0 and doc_id is not null").select("c", "n", "sh"), least, scratch)
-    scratch.drop(sets)
-    a, b = (nodes.select(F.col("c").alias(k), F.col("rep").alias("r" + k)) for k in "ab")
-    roots = connected_components(edges.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch)
-    labelled = nodes.join(roots, nodes.rep == roots.node, "left").select("c", F.coalesce("root", "rep").alias("component_id"))
+    rows, labelled = _labelled(docs, scratch or Scratch(docs.sparkSession), words, least)
     return rows.join(labelled, "c", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_copies(docs: DataFrame, scratch: Scratch | None = None, words: int = 5, least: float = 0.8) -> DataFrame:
+    """One row, with all its columns, of each group of near_copies(): that with the smallest doc_id (none: after all others).
+
+    Rows with one doc_id and different texts are different documents. Of rows that are equal in doc_id and text one stays,
+    that with the least hash of its columns. An empty table gives no rows.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows, labelled = _labelled(docs, scratch, words, least)
+    first = scratch.save(labelled.select("first.k1", "first.k2").distinct(), "first")
+    repeated = scratch.save(rows.join(first, ["k1", "k2"], "left_semi").groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2"), "repeated")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kept = docs.select(row, row_key().alias("k")).select("row", "k.k1", "k.k2").join(first, ["k1", "k2"], "left_semi")
+    if repeated.limit(1).count():
+        by = F.xxhash64(*[F.col("row").getField(f.name) for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)])
+        once = kept.join(repeated, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min_by("row", by).alias("row"))
+        kept = kept.join(repeated, ["k1", "k2"], "left_anti").unionByName(once)
+    return kept.select(*columns_of(docs))
