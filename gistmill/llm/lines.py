@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed
+from .common import Scratch, columns_of, keyed, merged, whole_text
 
 
 def _ranked(suffixes: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,8 +73,6 @@ def late_runs(distinct: DataFrame, min_bytes: int, scratch: Scratch) -> DataFram
     shortest runs need names. They have min_bytes + 1 lines at most; the name of a run of m lines is m and the ranks of the
     2**k lines (2**k <= m < 2**(k+1)) at its start and at its end. Equal runs are the shortest at each of their places.
     """
-    from .common import merged
-
     levels = suffix_levels(distinct, scratch, min_bytes + 1)
     if not levels:
         return distinct.limit(0).select("_did", "_sub", F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)").alias("runs"))
@@ -112,45 +110,32 @@ def dedup_lines(docs: DataFrame, min_bytes: int = 40, scratch: Scratch | None =
     texts. An empty table gives no rows. Columns of docs stay, but for those named like the added ones.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    rows, distinct = keyed(docs.drop("n_lines", "n_removed", "n_runs"))
+    docs = docs.drop("n_lines", "n_removed", "n_runs")
+    rows, distinct = keyed(docs)
     runs = late_runs(distinct, min_bytes, scratch)
-    lines = F.split("_text", "\n")
+    text = F.col("row.text")
+    lines = F.split(whole_text(text), "\n")
     kept = F.filter(lines, lambda _, i: ~F.exists("runs", lambda r: (i >= r["s"]) & (i < r["e"])))
-    text = F.when(F.col("text").isNull() | F.col("runs").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
+    left = F.when(text.isNull() | F.col("runs").isNull(), text).otherwise(F.concat_ws("\n", kept))
     removed = F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["e"] - r["s"]), F.lit(0).cast("long"))
-    joined = rows.join(runs.hint("shuffle_hash"), ["_did", "_sub"], "left")
-    return joined.withColumns(
-        {
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
-            "n_removed": removed,
-            "n_runs": F.coalesce(F.size("runs"), F.lit(0)).cast("long"),
-            "text": text,
-        }
-    ).drop("_did", "_sub", "_text", "runs")
-
-
-def _oracle(min_bytes: int = 40, levels: int = 14) -> str:
-    """DuckDB SQL for op2: names of runs of 2**k lines by joining those of half their length."""
-    ctes = [
-        "l as materialized (select doc_id, u.line, md5(u.l) as id, strlen(u.l) as b from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents) d, "
-        "unnest(ls) with ordinality as u(l, line))",
-        "g0 as materialized (select *, count(*) over w as n, row_number() over (w order by doc_id, line) as rn from l window w as (partition by id))",
-        "k0 as materialized (select * from g0 where n > 1)",
-    ]
-    for k in range(levels):
-        ctes += [
-            f"p{k + 1} as (select a.doc_id, a.line, md5(a.id || b.id) as id, a.b + b.b + 1 as b from k{k} a join k{k} b on a.doc_id = b.doc_id and b.line = a.line + {2**k})",
-            f"k{k + 1} as materialized (select * from (select *, count(*) over w as n, row_number() over (w order by doc_id, line) as rn from p{k + 1} window w as (partition by id)) where n > 1)",
-        ]
-    gone = " union all ".join(f"select doc_id, unnest(range(line, line + {2**k})) as line from k{k} where rn > 1 and b >= {min_bytes}" for k in range(levels + 1))
-    return f"""with {", ".join(ctes)},
-gone as (select distinct doc_id, line from ({gone})),
-marked as (select l.doc_id, l.line, g.line is not null as out, coalesce(lag(g.line is not null) over (partition by l.doc_id order by l.line), false) as before
-  from l left join gone g on l.doc_id = g.doc_id and l.line = g.line),
-texts as (select d.doc_id, u.line, u.l from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents) d, unnest(ls) with ordinality as u(l, line))
-select m.doc_id, count(*) as n_lines, count(*) filter (where out) as n_removed, count(*) filter (where out and not before) as n_runs,
-  sha256(coalesce(string_agg(t.l, chr(10) order by m.line) filter (where not out), '')) as kept_sha256
-from marked m join texts t on m.doc_id = t.doc_id and m.line = t.line group by m.doc_id"""
+    return rows.join(runs.hint("shuffle_hash"), ["_did", "_sub"], "left").select(
+        *columns_of(docs, text=left),
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        removed.alias("n_removed"),
+        F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_runs"),
+    )
 
 
-ORACLE = _oracle()
+#: DuckDB SQL for op2, from the definition: equal lines of two documents on one diagonal form their common runs.
+ORACLE = """with l as materialized (select doc_id, u.line, u.l, strlen(u.l) as b
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents) d, unnest(ls) with ordinality as u(l, line)),
+same as (select a.doc_id, a.line, a.b, e.doc_id as doc2, a.line - e.line as diagonal
+  from l a join l e on a.l = e.l and (e.doc_id < a.doc_id or (e.doc_id = a.doc_id and e.line < a.line))),
+islands as (select *, line - row_number() over (partition by doc_id, doc2, diagonal order by line) as island from same),
+runs as (select doc_id, min(line) as s, max(line) as e from islands group by doc_id, doc2, diagonal, island having sum(b) + count(*) - 1 >= 40),
+gone as (select distinct doc_id, unnest(range(s, e + 1)) as line from (select distinct doc_id, s, e from runs)),
+marked as (select l.*, g.line is not null as out, coalesce(lag(g.line is not null) over (partition by l.doc_id order by l.line), false) as before
+  from l left join gone g on l.doc_id = g.doc_id and l.line = g.line),
+counts as (select doc_id, count(*) as n, count(*) filter (where out) as n_removed, count(*) filter (where out and not before) as n_runs,
+  sha256(coalesce(string_agg(l, chr(10) order by line) filter (where not out), '')) as kept_sha256 from marked group by doc_id)
+select c.doc_id, case when d.text is null then 0 else n end as n_lines, n_removed, n_runs, kept_sha256 from counts c join documents d using (doc_id)"""
