@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed
+from .common import Scratch, columns_of, keyed
 
 #: Words of a shingle, least similarity, and bits in which fingerprints of similar windows may differ.
 WORDS, LEAST, RADIUS = 5, 0.8, 23
@@ -62,8 +62,9 @@ def matches(distinct: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
     and places with so many shared shingles (in whatever order) can have one. Any such window is at most as similar as
     one that starts at a shared shingle or, where it would start before the document, ends at one: moving it there loses
     none and makes it no longer. So these windows are fingerprinted and the others need none. Index: fingerprints of
-    windows and items are cut into radius + 1 blocks; pairs of a window and its item that agree on a block are within
-    reach by the pigeonhole principle and are then compared bit by bit. Verification: weighted similarity of the shingles.
+    windows and items are cut into radius + 1 blocks; a window finds the items of its size that agree with it on a block,
+    among which are all within the radius by the pigeonhole principle, and these are then compared bit by bit. Distinct
+    fingerprints meet, so copies of a window cost nothing here. Verification: weighted similarity of the shingles.
     """
     texts = benchmark.filter("item_id is not null and text is not null").select("item_id", F.col("text").alias("_text"))
     items = scratch.save(hashed(texts, "item_id").withColumnRenamed("sh", "ish").distinct(), "items").filter("size(ish) > 0")
@@ -77,15 +78,15 @@ def matches(distinct: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
     at, n = F.col("ps"), F.col("n_ish")
     from_hit = F.filter(at, lambda p, i: F.get(at, i + need - 1) < p + n)
     to_hit = F.transform(F.filter(at, lambda p, i: (i + 1 >= need) & (p + 1 < n)), lambda p: p + 1 - n)
-    starts = places.select("_did", "_sub", "item_id", "n_ish", F.explode(F.array_distinct(F.concat(from_hit, to_hit))).alias("start"))
-    starts = scratch.save(starts, "starts")
+    starts = places.select("_did", "_sub", "n_ish", F.explode(F.array_distinct(F.concat(from_hit, to_hit))).alias("start"))
+    starts = scratch.save(starts.distinct(), "starts")
 
-    marked = starts.groupBy("_did", "_sub").agg(F.collect_list(F.struct("item_id", "start", "n_ish")).alias("at"))
+    marked = starts.groupBy("_did", "_sub").agg(F.collect_list(F.struct("start", "n_ish")).alias("at"))
     begin, stop = F.greatest(F.col("at.start"), F.lit(0)), F.least(F.col("at.start") + F.col("at.n_ish"), F.size("sh"))
     windows = (
         hashed(distinct.join(marked.hint("shuffle_hash"), ["_did", "_sub"]), "_did", "_sub", "at")
         .select("_did", "_sub", "sh", F.explode("at").alias("at"))
-        .select("_did", "_sub", F.col("at.item_id").alias("item_id"), F.slice("sh", begin + 1, stop - begin).alias("wsh"))
+        .select("_did", "_sub", F.col("at.n_ish").alias("n"), F.slice("sh", begin + 1, stop - begin).alias("wsh"))
         .select("*", simhash(F.col("wsh")).alias("wfp"))
     )
     windows = scratch.save(windows.distinct(), "windows")
@@ -94,16 +95,11 @@ def matches(distinct: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
         parts = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.col(fp), a).bitwiseAND(F.lit(m)).alias("v")) for i, (a, m) in enumerate(blocks(radius))]
         return F.explode(F.array(*parts)).alias("block")
 
-    prints = scratch.save(items.select("item_id", "ish", simhash(F.col("ish")).alias("ifp")), "prints")
-    index = prints.select("item_id", "ish", "ifp", posted("ifp"))
-    near = (
-        windows.select("_did", "_sub", "item_id", "wsh", "wfp", posted("wfp"))
-        .join(index, ["item_id", "block"])
-        .filter(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= radius)
-        .drop("block")
-        .distinct()
-    )
-    scored = near.select("_did", "_sub", "item_id", similarity(F.col("ish"), F.col("wsh")).alias("similarity"))
+    prints = scratch.save(items.select("item_id", "ish", F.size("ish").alias("n"), simhash(F.col("ish")).alias("ifp")), "prints")
+    index = prints.select("item_id", "n", "ifp", posted("ifp"))
+    met = windows.select("n", "wfp", posted("wfp")).distinct().join(index, ["n", "block"])
+    near = met.filter(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= radius).select("n", "wfp", "item_id").distinct()
+    scored = windows.join(near, ["n", "wfp"]).join(prints.select("item_id", "ish"), "item_id").select("_did", "_sub", "item_id", similarity(F.col("ish"), F.col("wsh")).alias("similarity"))
     return scored.filter(F.col("similarity") >= least).groupBy("_did", "_sub", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
@@ -118,17 +114,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None
     named like the added ones. Similar windows differ in about 10 of 64 bits; the radius of 23 keeps any that could pass.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    rows, distinct = keyed(docs.drop("contaminated", "n_items", "items"))
-    found = matches(distinct, benchmark, scratch, radius, least).groupBy("_did", "_sub").agg(F.array_sort(F.collect_set("item_id")).alias("_items"))
+    docs = docs.drop("contaminated", "n_items", "items")
+    rows, distinct = keyed(docs)
+    found = matches(distinct, benchmark, scratch, radius, least).groupBy("_did", "_sub").agg(F.array_sort(F.collect_set("item_id")).alias("found"))
     found = scratch.save(found, "found")
-    joined = rows.join(found.hint("shuffle_hash"), ["_did", "_sub"], "left")
-    return joined.withColumns(
-        {
-            "contaminated": F.col("_items").isNotNull(),
-            "n_items": F.coalesce(F.size("_items"), F.lit(0)).cast("long"),
-            "items": F.coalesce(F.array_join(F.transform("_items", lambda x: x.cast("string")), ","), F.lit("")),
-        }
-    ).drop("_did", "_sub", "_text", "_items")
+    return rows.join(found.hint("shuffle_hash"), ["_did", "_sub"], "left").select(
+        *columns_of(docs),
+        F.col("found").isNotNull().alias("contaminated"),
+        F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(F.array_join(F.transform("found", lambda x: x.cast("string")), ","), F.lit("")).alias("items"),
+    )
 
 
 ORACLE = r"""with dw as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') as w from documents),
