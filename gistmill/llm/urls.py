@@ -55,10 +55,10 @@ def _without_dots(path) -> F.Column:
 
 
 def _node(url) -> F.Column:
-    """What names a page whatever its scheme and fragment: host, path (without dot segments) and query."""
+    """What names a page whatever its scheme and fragment: host, path (without dot segments) and query; null without ://."""
     host, path = host_and_path(url)
     query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
-    return F.concat(host, F.when(path == "", "/").otherwise(_without_dots(path)), query)
+    return F.when(F.instr(url, "://") > 0, F.concat(host, F.when(path == "", "/").otherwise(_without_dots(path)), query))
 
 
 def resolved(url, t) -> F.Column:
@@ -100,7 +100,7 @@ def alias_links(pages: DataFrame) -> DataFrame:
     return (
         pages.filter(F.col("html").rlike(r"(?i)canonical|http-equiv") & F.col("url").isNotNull())
         .select("url", F.explode(tags).alias("tag"))
-        .select("url", target.alias("t"))
+        .select("url", F.regexp_replace(target, "&(?:amp|#38|#[xX]26);", "&").alias("t"))
         .select("url", resolved(F.col("url"), F.col("t")).alias("target"))
         .filter("target is not null")
     )
@@ -114,7 +114,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, scrat
     if a redirect or canonical link joins it, over any number of steps and in either direction, to a URL that a rule
     blocks, else allowed. Rules are a bounded parameter and are compared in the scan itself; only the URLs of pages are
     shuffled, to meet the nodes of blocked components. A hub that very many pages link to is never gathered. Null url,
-    or one without ://: host and path are empty, no rule, allow. Null html: no links. Rows that repeat get equal
+    or one without ://: host and path are empty, no rule, no links, allow. Null html: no links. Rows that repeat get equal
     results. An empty table gives no rows; other columns are ignored.
     """
     scratch = scratch or Scratch(pages.sparkSession)
