@@ -30,56 +30,97 @@ WORDS = (
     "changeme default example sample dummy none null true false this that the and for with from your here value string name text please enter is of in"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
+#: Words that are learnt from the corpus at most, and their letters.
+LEARNT, SHORTEST, SPAN = 20_000, 3, 16
+#: What stands for a letter in a guess: fixed values. A 1 stands for i or l.
+LEET = str.maketrans("@4830$57!1", "aabeosstii")
+LEET_L = str.maketrans("@4830$57!1", "aabeosstil")
 #: Rows of a keyboard, as pairs of neighbours: a walk along them costs little.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 NEXT = {(a, b) for r in ROWS for a, b in zip(r, r[1:], strict=False)}
 NEXT |= {(b, a) for a, b in NEXT}
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
-#: A value is a secret if guessing it takes 10 to this power of tries or more; longest word and date.
-STRONG, SPAN = 10.0, 12
+#: A value is a secret if guessing it takes 10 to this power of tries or more.
+STRONG = 10.0
 
 
 def _class_size(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
 
 
-def guess_cost(value: str) -> float:
+def learn_words(docs: DataFrame, most: int = LEARNT) -> dict[str, int]:
+    """The rank of each word in the order in which guesses try them: WORDS, then the `most` most frequent words of all texts.
+
+    Learnt words are runs of 3 to 16 letters a-z, counted over whole texts; ties go by name. Words of one letter repeated
+    are left out, as repeats have a cost of their own. Nothing but the `most` words goes to the driver.
+    """
+    word = F.explode(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+")).alias("word")
+    counted = docs.select(word).filter(F.length("word").between(SHORTEST, SPAN)).groupBy("word").count()
+    counted = counted.filter(~F.col("word").rlike(r"^(.)\1*$")).orderBy(F.desc("count"), "word").limit(most)
+    rank = dict(RANK)
+    for r in counted.collect():
+        rank.setdefault(r["word"], len(rank) + 1)
+    return rank
+
+
+def _patterns(word: str) -> int:
+    """How many ways of setting capitals are tried up to this word's own: none, the first or all, else any so many."""
+    up, n = sum(map(str.isupper, word)), len(word)
+    if up == 0:
+        return 1
+    if up == n or (up == 1 and word[0].isupper()):
+        return 2
+    return 2 + sum(math.comb(n, k) for k in range(1, min(up, n - up) + 1))
+
+
+def guess_cost(value: str, rank: dict[str, int] = RANK) -> float:
     """log10 of the guesses for the cheapest segmentation of value into words, dates, repeats, keyboard walks and brute force.
 
-    best[i] is the least cost of the first i characters. A span costs: a word its rank (twice if it has capitals); a date
-    365 * 119; a repeat of one character its class times its length; a walk along a keyboard row 50 starts times 2 for
-    each step; anything else its characters' classes multiplied. Each span adds a factor of 2 for where it ends. Spans of
-    words and dates are bounded, repeats and walks are followed while they last, so the cost is linear in the length.
+    best[i] is the least cost of the first i characters. A span costs: a word its rank, times the patterns of capitals
+    tried before its own, times 2 for each letter that a sign or digit stands for; a date 365 * 119 (a year 119); a repeat of three or
+    more of one character its class times its length; a walk of three or more keys along a keyboard row 50 starts times 2
+    for each step; any other character its class. Spans but single characters cost a factor of 2 more.
+
+    The cost is linear in the length. Words and dates are bounded. A walk's cost grows by a constant a step, so the best
+    start so far is carried along. A repeat starts within SPAN of its run's start: inside a run there are no words or
+    dates, and a split of one costs more than the longer repeat.
     """
     n, low = len(value), value.lower()
-    inf = float("inf")
-    best = [0.0] + [inf] * n
+    if len(low) != n:  # a letter whose lower case is longer: letter by letter
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in value)
+    forms = [low]
+    for table in (LEET, LEET_L):
+        if (form := low.translate(table)) not in forms:
+            forms.append(form)
+    best = [0.0] + [math.inf] * n
+    two, step = math.log10(2), math.log10(2)
     run = walk = 0  # length of the repeat and of the walk that end here
-    brute = [math.log10(_class_size(c)) for c in value]
+    carried = math.inf  # of the walk: the least best[j] - j * step of its starts j
     for i in range(1, n + 1):
-        c = low[i - 1]
+        c, brute = low[i - 1], math.log10(_class_size(value[i - 1]))
         run = run + 1 if i > 1 and value[i - 2] == value[i - 1] else 1
         walk = walk + 1 if i > 1 and (low[i - 2], c) in NEXT else 1
-        now = best[i - 1] + brute[i - 1]
-        for k in range(min(run, i), 2, -1) if run > 2 else ():
-            now = min(now, best[i - k] + brute[i - 1] + math.log10(k * 2))
-            if k < run - SPAN:
-                break
-        for k in range(min(walk, i), 2, -1) if walk > 2 else ():
-            now = min(now, best[i - k] + math.log10(100) + (k - 1) * math.log10(2))
-            if k < walk - SPAN:
-                break
+        now = best[i - 1] + brute
+        for k in range(run, max(2, run - SPAN - 1), -1):
+            now = min(now, best[i - k] + brute + math.log10(2 * k))
+        if walk == 1:
+            carried = math.inf
+        elif walk >= 3:
+            carried = min(carried, best[i - 3] - (i - 3) * step)
+            now = min(now, carried + (i - 1) * step + math.log10(50) + two)
         for k in range(2, min(SPAN, i) + 1):
-            if (r := RANK.get(low[i - k : i])) is not None:
-                now = min(now, best[i - k] + math.log10(r * (2 if value[i - k : i] != low[i - k : i] else 1) * 2))
+            for form in forms:
+                if (r := rank.get(form[i - k : i])) is not None:
+                    signs = sum(a != b for a, b in zip(form[i - k : i], low[i - k : i], strict=True))
+                    now = min(now, best[i - k] + math.log10(r * _patterns(value[i - k : i])) + (signs + 1) * two)
         for k in (4, 8, 10):
             if k <= i and DATE.fullmatch(value, i - k, i):
-                now = min(now, best[i - k] + math.log10(365 * 119 * 2 if k > 4 else 119 * 2))
+                now = min(now, best[i - k] + math.log10(365 * 119 if k > 4 else 119) + two)
         best[i] = now
     return best[n]
 
 
-def spans(text: str, strong: float = STRONG) -> list[tuple[int, int, str]]:
+def spans(text: str, strong: float = STRONG, rank: dict[str, int] = RANK) -> list[tuple[int, int, str]]:
     """(start, end, kind) of a text's secrets by start, then kind: code points, end exclusive."""
     found = []
     folded = text.lower()
@@ -92,25 +133,27 @@ def spans(text: str, strong: float = STRONG) -> list[tuple[int, int, str]]:
         for m in CONTEXT.finditer(text):
             g = m.lastindex
             prose = m[1] and m[g].isalpha()  # "the password is required"
-            if not prose and guess_cost(m[g]) >= strong:
+            if not prose and guess_cost(m[g], rank) >= strong:
                 found.append((m.start(g), m.end(g), "guess"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def scan(docs: DataFrame, strong: float = STRONG) -> DataFrame:
+def scan(docs: DataFrame, strong: float = STRONG, rank: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, found array<struct<start, end, kind>>) of every row of docs (doc_id, text).
 
     assign, access and hex are fixed patterns, leftmost and non-overlapping for each kind. guess: the value that follows
     a credential's name, where the cheapest way to guess it (guess_cost()) takes 10**strong tries or more, so that a
-    placeholder made of words, dates, repeats or keyboard walks isn't reported. Positions are code points of the whole
+    placeholder made of words, dates, repeats or keyboard walks isn't reported; words are those of the corpus itself (see
+    learn_words()) unless `rank` is given. Positions are code points of the whole
     text, end exclusive. A null or empty text has none. Rows that repeat get equal results. An empty table gives no rows;
     other columns are ignored. Texts are scanned row by row, so memory is bounded by a batch.
     """
+    rank = learn_words(docs) if rank is None else rank
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[{"start": s, "end": e, "kind": k} for s, e, k in spans(x.as_py() or "", strong)] for x in b.column(1)]
+            found = [[{"start": s, "end": e, "kind": k} for s, e, k in spans(x.as_py() or "", strong, rank)] for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["doc_id", "found"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, found array<struct<start: long, end: long, kind: string>>")
