@@ -80,11 +80,16 @@ def _batch(did, sub, s, e, left=None, ctx=None, known=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, ["_did", "_sub", "s", "e", "l", "ctx", "known"])
 
 
-def _strings(left: np.ndarray, ctx: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """valid (n, BEFORE + 1): whether a string of LENGTH bytes starts at each distance before a suffix; two hashes of each."""
+def _rows(left: np.ndarray, ctx: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes around suffixes in rows of BEFORE + LENGTH, padded with zeros; how many bytes follow from each suffix on."""
     pad, width = bytes(BEFORE), BEFORE + LENGTH
     rows = np.frombuffer(b"".join([(pad[x:] + c).ljust(width, b"\0") for x, c in zip(left.tolist(), ctx, strict=True)]), np.uint8).reshape(-1, width)
-    after = np.fromiter(map(len, ctx), np.int64, len(ctx)) - left
+    return rows, np.fromiter(map(len, ctx), np.int64, len(ctx)) - left
+
+
+def _strings(left: np.ndarray, ctx: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """valid (n, BEFORE + 1): whether a string of LENGTH bytes starts at each distance before a suffix; two hashes of each."""
+    rows, after = _rows(left, ctx)
     at = np.arange(BEFORE + 1)  # where a string starts in the row; it reaches BEFORE - at bytes before the suffix
     return ((BEFORE - at[None] <= left[:, None]) & (at[None] + LENGTH - BEFORE <= after[:, None]), *_hashes(rows))
 
@@ -115,21 +120,69 @@ def compared(group: np.ndarray, open_: np.ndarray, did: np.ndarray, sub: np.ndar
         yield _batch(did, sub, pos, pos, left, [ctx[k] for k in i], [x.tobytes() for x in np.packbits(bits[i], axis=1)])
 
 
+def multikey_quicksort(words: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order of rows by group (ascending already) and then by their words, from the first column on.
+
+    Three-way partitioning, of all open segments at once: a segment's rows are put below, at or above its middle row's
+    word. What is equal goes on with the next word, the rest with the same one, until a segment has one row or no word.
+    """
+    order = np.arange(len(group))
+    seg, depth = group.copy(), np.zeros(len(group), np.int64)
+    open_ = np.arange(len(group))  # places in order that aren't final
+    while len(open_):
+        s = seg[open_]
+        start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        size = np.diff(np.r_[start, len(s)])
+        depth_, rows = depth[open_], order[open_]
+        word = words[rows, np.minimum(depth_, words.shape[1] - 1)]
+        pivot = np.repeat(word[start + size // 2], size)
+        side = np.where(word < pivot, 0, np.where(word == pivot, 1, 2))
+        part = np.repeat(np.arange(len(start)), size) * 3 + side
+        by = np.argsort(part, kind="stable")
+        order[open_], part = rows[by], part[by]
+        seg[open_] = part  # segments are compared only among open places
+        depth[open_] = depth_[by] + (side[by] == 1)
+        single = np.repeat(np.diff(np.r_[at := np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]) == 1, np.diff(np.r_[at, len(part)]))
+        open_ = open_[~single & (depth[open_] < words.shape[1])]
+    return order
+
+
+def _classes(rows: np.ndarray, group: np.ndarray, lengths: range) -> Iterator[np.ndarray]:
+    """For each length the classes of rows (bytes, from the token outwards) that begin with equal bytes of that length.
+
+    Rows are sorted by multikey quicksort, and each is compared with its neighbour in that order: a class ends where the
+    length common to neighbours is less.
+    """
+    width = -rows.shape[1] % 8
+    words = np.pad(rows, ((0, 0), (0, width))).view(">u8").astype(np.uint64) if rows.shape[1] else np.zeros((len(rows), 1), np.uint64)
+    order = multikey_quicksort(np.ascontiguousarray(words), group)
+    by = rows[order]
+    differ = by[1:] != by[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1]) if rows.shape[1] else np.zeros(len(rows) - 1, np.int64)
+    common = np.r_[-1, np.where(group[order][1:] != group[order][:-1], -1, common)]
+    out = np.empty(len(rows), np.int64)
+    for n in lengths:
+        out[order] = np.cumsum(common < n)
+        yield out
+
+
 def _own(group, did, sub, pos, left, ctx: list[bytes], late: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Ranges of the strings that an earlier suffix of the group has too; marks them in late, a column on from their place."""
-    valid, h1, h2 = _strings(left, ctx)
-    who, start = np.nonzero(valid)
-    a, b = h1[valid], h2[valid]
-    key = (a ^ (group[who].astype(np.uint64) * np.uint64(_BASE[1]))) * np.uint64(_BASE[0]) + start.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-    order = np.argsort(key, kind="stable")
-    new = np.ones(len(order), bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    if ((b[order] != b[first]) | (a[order] != a[first]) | (group[who[order]] != group[who[first]])).any():  # keys collide: sort by all
-        order = np.lexsort((np.arange(len(a)), b, a, start, group[who]))
-        cols = [c[order] for c in (group[who], start, a, b)]
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-    late[who[order], start[order] + 1] = ~new
+    """Ranges of the strings that an earlier suffix of the group has too; marks them in late, a column on from their place.
+
+    A string that starts d bytes before a suffix is another's too if LENGTH - d bytes after and d bytes before are equal:
+    if the two are of one class in the order of suffixes and of one in the order of what goes before, read backwards.
+    """
+    rows, after = _rows(left, ctx)
+    ahead = _classes(rows[:, BEFORE:], group, range(LENGTH, LENGTH - BEFORE - 1, -1))
+    behind = _classes(np.ascontiguousarray(rows[:, BEFORE - 1 :: -1]), group, range(BEFORE + 1))
+    for d, (a, b) in enumerate(zip(ahead, behind, strict=True)):
+        use = np.flatnonzero((left >= d) & (after >= LENGTH - d))
+        if len(use) < 2:
+            continue
+        key = a[use] * (len(left) + 1) + b[use]
+        by = np.argsort(key, kind="stable")  # equal ones stay in the order of their places: the first is the earliest
+        again = np.r_[False, key[by][1:] == key[by][:-1]]
+        late[use[by[again]], BEFORE - d + 1] = 1
     step = np.diff(late, axis=1)
     (i, s), (_, e) = np.nonzero(step == 1), np.nonzero(step == -1)
     yield _batch(did[i], sub[i], pos[i] - BEFORE + s, pos[i] - BEFORE + e - 1 + LENGTH)
@@ -221,17 +274,13 @@ def removed_ranges(packed: DataFrame, scratch: Scratch) -> DataFrame:
     chosen = scratch.save(packed.mapInArrow(anchors, "_did long, _sub int, pos int, h long"), "anchors")
     # a table of its own, so that both sides of the join come from a shuffle and a frequent token's side can be split
     repeated = scratch.save(chosen.groupBy("h").count().filter("count > 1").select("h"), "repeated")
-    scratch.free_shuffles()
     marks = scratch.save(chosen.join(repeated, "h").groupBy("_did", "_sub").agg(F.collect_list("pos").alias("at")), "marks")
     scratch.drop(chosen)
     scratch.drop(repeated)
-    scratch.free_shuffles()
     suffixes = scratch.save(packed.join(marks, ["_did", "_sub"]).select("_did", "_sub", "z", "at").mapInArrow(contexts, "_did long, _sub int, pos int, l int, ctx binary"), "suffixes")
-    scratch.free_shuffles()
     by = [F.substring("ctx", F.col("l") + 1, F.lit(LEAD)), "_did", "_sub", "pos"]
     said = scratch.save(suffixes.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_buckets, _RANGES), "compared")
     scratch.drop(suffixes)
-    scratch.free_shuffles()
 
     # a part tells each content once, so a window holds one row a part at most
     place = F.struct("_did", "_sub", "s")
@@ -253,8 +302,9 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch | None = None) -> DataFra
 
     Suffixes are sampled at tokens (24 bytes) that every string around them would choose, and only those with a token
     found twice are kept, with the bytes around them. Sampled splitters over (token, document, position) range-partition
-    them, so a frequent token fills as many buckets as it needs; buckets sort locally. Within a group of equal tokens the
-    strings at each distance from the token are sorted by 128 bits of their content, and all but the earliest are late.
+    them, so a frequent token fills as many buckets as it needs. Within a bucket, suffixes of equal tokens are sorted by a
+    multikey quicksort, as is what stands before them; the lengths common to neighbours in the two orders say which strings
+    around the token are equal, and all but the earliest of them are late.
     What a bucket's first and last group leave open is compared across the boundaries in shuffles by content: first the
     bytes around a suffix as a whole, then the strings of those that are new. No pair of suffixes is formed.
 
@@ -290,10 +340,10 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch | None = None) -> DataFra
     # exact copies of 100 bytes or more go as a whole: only the first of each text is sorted
     hashed = distinct.select("_did", "_sub", F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit(1), "_text").alias("h2"), F.octet_length("_text").alias("n"))
     firsts = hashed.groupBy("h1", "h2", "n").agg(F.min(F.struct("_did", "_sub")).alias("first"), F.count("*").alias("c")).filter(f"c > 1 and n >= {LENGTH}")
+    firsts = scratch.save(firsts, "firsts")  # a table of its own, so that the many rows of one text can be split
     copies = scratch.save(hashed.join(firsts, ["h1", "h2", "n"]).filter(F.struct("_did", "_sub") > F.col("first")).select("_did", "_sub", F.lit(True).alias("copy")), "copies")
     schema = "_did long, _sub int, z binary"
     packed = scratch.save(distinct.select("_did", "_sub", "_text").mapInArrow(pack, schema).join(copies, ["_did", "_sub"], "left"), "packed")
-    scratch.free_shuffles()
     ranges = removed_ranges(packed.filter("copy is null").drop("copy"), scratch).groupBy("_did", "_sub").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
     texts = packed if not distinct.repeats else rows.select("_did", "_sub").join(packed, ["_did", "_sub"])
     done = texts.join(ranges, ["_did", "_sub"], "left").select("_did", "z", "copy", "s", "e").mapInArrow(cut, "_did long, n_bytes long, n_removed long, n_spans long, kept binary")
