@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import trim
+from .common import Scratch
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\x20\t\n\x0b\x0c\r"
@@ -98,7 +98,6 @@ def measured(docs: DataFrame) -> DataFrame:
             patterns = [sum(v * 3**k for k, v in enumerate(votes(*r))) for r in rows]
             cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(patterns, pa.int64())], ["doc_id", *names, "pattern"])
-        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {', '.join(f'{n} long' for n in names)}, pattern long")
 
@@ -131,7 +130,7 @@ def estimate(counts: dict[int, int], rules: int = RULES, rounds: int = 100) -> d
     return dict(zip(patterns, post.tolist(), strict=True))
 
 
-def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def quality(docs: DataFrame, least: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, posterior, kept), a row for each row.
 
     Eight rules (words, symbols, words of signs, letters, repeated lines, repeated 8-word windows, capitals, length of words) vote good or bad or
@@ -139,9 +138,9 @@ def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
     over these counts estimates each rule's accuracy, and a document is kept if its posterior probability of good
     reaches `least` and it doesn't fail the base rules (n_words < 20, or 100 * n_repeat_words > 30 * n_words).
     A null text counts as empty: zero words, fails. Ties and repeated rows get equal results. An empty table gives no
-    rows; other columns are ignored. Texts are measured row by row, so memory is bounded by a batch of texts.
+    rows; other columns are ignored. Texts are measured once, row by row, and their measures written to the shared folder.
     """
-    m = measured(docs)
+    m = (scratch or Scratch(docs.sparkSession)).save(measured(docs), "measures")
     found = {r["pattern"]: r["count"] for r in m.groupBy("pattern").count().collect()}
     rows = [(p, round(x, 12)) for p, x in estimate(found).items()]
     table = docs.sparkSession.createDataFrame(rows, "pattern long, posterior double")  # 3**8 rows at most
@@ -152,16 +151,25 @@ def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
     )
 
 
-def kept_rows(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that quality() keeps. Texts stay in place: nothing is shuffled but counts."""
-    found = {r["pattern"]: r["count"] for r in measured(docs).groupBy("pattern").count().collect()}
-    good = {p for p, x in estimate(found).items() if round(x, 12) >= least}
+def kept_rows(docs: DataFrame, least: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, that quality() keeps.
+
+    Rows are measured once and written with their vote patterns to the shared folder; nothing is shuffled but counts.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
     at = docs.columns.index("text")
+    mark = next(c for c in ("pattern" + "_" * k for k in range(len(docs.columns) + 1)) if c not in docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [measures(x.as_py() or "") for x in b.column(at)]
-            yield b.filter(pa.array([r[0] >= 20 and 100 * r[4] <= 30 * r[0] and sum(v * 3**k for k, v in enumerate(votes(*r))) in good for r in rows], pa.bool_()))
-        trim()
-
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+            patterns = [(sum(v * 3**k for k, v in enumerate(votes(*r))), r[0] < 20 or 100 * r[4] > 30 * r[0]) for r in rows]
+            # rows that fail the base rules vote, but are negative, as they can't be kept
+            own = pa.array([-1 - p if failed else p for p, failed in patterns], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, own], [*b.schema.names, mark])
+
+    marked = scratch.save(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(mark, T.IntegerType())])), "measured")
+    pattern = F.when(F.col(mark) < 0, -1 - F.col(mark)).otherwise(F.col(mark))
+    found = {r["p"]: r["count"] for r in marked.groupBy(pattern.alias("p")).count().collect()}
+    good = [p for p, x in estimate(found).items() if round(x, 12) >= least]
+    return marked.filter(F.col(mark).isin(good)).select(*[F.col(f"`{c}`") for c in docs.columns])
