@@ -25,7 +25,7 @@ MASKED = 62
 #: to their documents.
 FREQUENT = 200_000
 #: Words that a task counts before it passes them on.
-HELD = 50_000
+HELD = 100_000
 
 @dataclass
 class Model:
@@ -42,6 +42,7 @@ class Model:
     text: list[str | int] = field(default_factory=list)  # of each id: its text, its byte, or '' if it stands for none
     raw: np.ndarray | None = None
     word: str = ""  # the pattern of words
+    marks: frozenset[str] = frozenset()  # marks that no piece has after a letter
 
     @staticmethod
     def load(path: str) -> Model:
@@ -62,9 +63,10 @@ class Model:
         for b, i in bytes_.items():
             text[i] = b
         after = {b for t in ids for a, b in zip(t, t[1:], strict=False) if a.isalpha()}  # what a letter may merge with
-        marks = re.escape("".join(c for c in string.punctuation if c not in after))
+        free = frozenset(c for c in string.punctuation if c not in after)
+        marks = re.escape("".join(sorted(free)))
         word = f"{SPACE}*(?:[^\\W\\d_]++(?![^{SPACE}\n{marks}])|[^{SPACE}\n]+)|{SPACE}+|\n" if marks else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
-        return Model(ids, {p.id_to_piece(i): k for k, i in enumerate(order)}, [bytes_[b] for b in range(256)] if len(bytes_) == 256 else [], p.unk_id(), text, None, word)
+        return Model(ids, {p.id_to_piece(i): k for k, i in enumerate(order)}, [bytes_[b] for b in range(256)] if len(bytes_) == 256 else [], p.unk_id(), text, None, word, free)
 
     def chunks(self, text: str) -> list[str]:
         """What stands between spaces, as keys: each is a run of words after one space, which is left out (further ones are
@@ -74,7 +76,12 @@ class Model:
         return text.split(" ") if text else []
 
     def words(self, chunk: str) -> list[str]:
-        """The words of a chunk."""
+        """The words of a chunk, as self.word finds them. Letters alone, or with one mark behind them, need no search."""
+        if self.marks:
+            if chunk.isalpha():
+                return [SPACE + chunk]
+            if chunk[-1:] in self.marks and (body := chunk[:-1]).isalpha():
+                return [SPACE + body, chunk[-1]]
         return re.findall(self.word, SPACE + chunk)
 
     def ids_of(self, word: str, cuts: list[int]) -> list[int]:
@@ -306,15 +313,11 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
             cols = [b.column(0), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *again]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "ids", "decoded"][: len(cols)])
 
-    own = (
-        distinct.select("_did", "_sub", "_text")
-        .mapInArrow(rare, "_did long, _sub int, i int, word string")
-        .join(cut.filter(~often).select("word", "ids"), "word")
-        .select("_did", "_sub", "i", "ids")
-        .repartition("_did", "_sub")  # rows are smaller than lists of one
-        .groupBy("_did", "_sub")
-        .agg(F.collect_list(F.struct("i", "ids")).alias("own"))
-    )
+    found = distinct.select("_did", "_sub", "_text").mapInArrow(rare, "_did long, _sub int, i int, word string")
+    met = scratch.save(found.join(cut.filter(~often).select("word", "ids"), "word").select("_did", "_sub", "i", "ids"), "rare")
+    scratch.drop(cut)
+    # dealt out as rows, which are smaller than lists of one
+    own = met.repartition("_did", "_sub").groupBy("_did", "_sub").agg(F.collect_list(F.struct("i", "ids")).alias("own"))
     texts = rows.select("_did", "_sub", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")).mapInArrow(packed, "_did long, _sub int, doc_id long, z binary")
     return texts.join(own, ["_did", "_sub"], "left").select("doc_id", "z", "own").mapInArrow(ids, "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
 
