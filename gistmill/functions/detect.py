@@ -1,4 +1,4 @@
-"""Classification of a text block into nine content types, as one column."""
+"""Classification of text blocks into nine content types, in projections of built-in functions."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import csv
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,46 +71,57 @@ def _quoted_table(samples: pd.Series) -> pd.Series:
     return samples.map(lambda lines: lines is not None and any(table([str(x) for x in lines], d) for d in DELIMITERS)).astype(bool)
 
 
-def is_table(lines: Column) -> Column:
-    """Three lines or more that share a delimiter; of over 40 lines the first and last 20 are looked at."""
-    n = F.size(lines)
-    sample = F.when(n <= 40, lines).otherwise(F.concat(F.slice(lines, 1, 20), F.slice(lines, F.greatest(n - 19, F.lit(1)), F.lit(20))))
-    able = (n >= 3) & ~F.ltrim(F.get(lines, F.lit(0))).rlike(r"^[{\[]")
-    quoted = F.exists(sample, lambda x: F.contains(x, F.lit('"')))
-    plain = _constant_fields(sample, DELIMITERS[0])
-    for d in DELIMITERS[1:]:
-        plain = plain | _constant_fields(sample, d)
-    return able & F.when(quoted, _quoted_table(F.when(able & quoted, sample))).otherwise(plain)
-
-
-def detect(text: Column) -> Column:
-    """struct<content_type, confidence>: the first class in order whose signals a text shows. A null text is empty.
-
-    Cheap tests stand first and CASE evaluates lazily; the Python tests get only the few texts that could pass.
-    """
-    text = F.coalesce(text, F.lit(""))
-    lines, front = split_lines(text), F.ltrim(F.regexp_replace(text, r"^[\s\x1c-\x1f\x85\p{Z}]+", ""))
-    n = F.size(lines)
-    hits = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    tags = F.transform(F.regexp_extract_all(F.substring(front, 1, 2048), F.lit(HTML_TAG), F.lit(1)), F.lower)
-    known = F.size(F.array_intersect(F.array_distinct(tags), F.array(*map(F.lit, HTML_TAGS))))
-    log, search, md, symbols = hits(LOG_LINE), hits(SEARCH_HIT), hits(MARKDOWN), hits(SYMBOL)
-    score = hits(KEYWORD) + 0.5 * symbols
+def _decided(c: dict[str, Column]) -> Column:
+    """struct<content_type, confidence>: the first class in order whose signals hold."""
+    n = c["n"]
+    score = c["keywords"] + 0.5 * c["symbols"]
     density = score / F.greatest(n, F.lit(1))
 
     def is_(kind: str, confidence) -> Column:
         return F.struct(F.lit(kind).alias("content_type"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).cast("double").alias("confidence"))
 
     return (
-        F.when(strip(text) == "", is_("text", 1.0))
-        .when(is_json(text), is_("json", 0.99))
-        .when(front.startswith("<") & front.rlike(HTML_DOC), is_("html", 0.97))
-        .when(front.startswith("<") & (known >= 3), is_("html", 0.85))
-        .when(text.rlike(DIFF), is_("diff", 0.95))
-        .when((n >= 2) & (log / n >= 0.4), is_("log", F.least(F.lit(0.95), 0.6 + log / n)))
-        .when(is_table(lines), is_("csv", F.least(F.lit(0.9), 0.6 + n / 50)))
-        .when((n >= 3) & (search / n >= 0.5), is_("search", F.least(F.lit(0.9), 0.55 + search / n)))
-        .when((score >= 3) & (density >= 0.8) & (score >= md) & ((n >= 2) | (symbols >= 2)), is_("code", F.least(F.lit(0.9), 0.5 + density / 4)))
-        .when(md >= 2, is_("markdown", F.least(F.lit(0.85), 0.5 + md / n)))
+        F.when(c["blank"], is_("text", 1.0))
+        .when(c["json"], is_("json", 0.99))
+        .when(c["html"], is_("html", 0.97))
+        .when(c["tags"] >= 3, is_("html", 0.85))
+        .when(c["diff"], is_("diff", 0.95))
+        .when((n >= 2) & (c["log"] / n >= 0.4), is_("log", F.least(F.lit(0.95), 0.6 + c["log"] / n)))
+        .when(c["table"], is_("csv", F.least(F.lit(0.9), 0.6 + n / 50)))
+        .when((n >= 3) & (c["search"] / n >= 0.5), is_("search", F.least(F.lit(0.9), 0.55 + c["search"] / n)))
+        .when((score >= 3) & (density >= 0.8) & (score >= c["markdown"]) & ((n >= 2) | (c["symbols"] >= 2)), is_("code", F.least(F.lit(0.9), 0.5 + density / 4)))
+        .when(c["markdown"] >= 2, is_("markdown", F.least(F.lit(0.85), 0.5 + c["markdown"] / n)))
         .otherwise(is_("text", 0.6))
     )
+
+
+def detected(texts: DataFrame, text: str = "text") -> DataFrame:
+    """texts with detected, a struct<content_type, confidence> of the column `text`. A null text is empty.
+
+    Each signal is a column of its own, computed once: what several signals need (lines, the text after leading space)
+    in one projection, the counts in the next, then the decision. Python gets only texts that begin like JSON, and lines
+    with quotes. Of over 40 lines the first and last 20 tell whether a text is a table.
+    """
+    keep = [F.col(f"`{c}`") for c in texts.columns if c != "detected"]
+    t = F.coalesce(F.col(text), F.lit(""))
+    lines = texts.select(*keep, t.alias("__t"), split_lines(t).alias("__ls"), F.regexp_replace(t, r"^[\s\x1c-\x1f\x85\p{Z}]+", "").alias("__front"))
+    t, ls, front, n = F.col("__t"), F.col("__ls"), F.col("__front"), F.size("__ls")
+    sample = F.when(n <= 40, ls).otherwise(F.concat(F.slice(ls, 1, 20), F.slice(ls, F.greatest(n - 19, F.lit(1)), F.lit(20))))
+    able = (n >= 3) & ~F.ltrim(F.get(ls, F.lit(0))).rlike(r"^[{\[]")
+    hits = lambda pattern: F.regexp_count(t, F.lit(pattern))
+    tags = F.transform(F.regexp_extract_all(F.substring(front, 1, 2048), F.lit(HTML_TAG), F.lit(1)), F.lower)
+    known = F.size(F.array_intersect(F.array_distinct(tags), F.array(*map(F.lit, HTML_TAGS))))
+    signals = {
+        "n": n, "blank": front == "", "json": is_json(t), "html": front.startswith("<") & front.rlike(HTML_DOC),
+        "tags": F.when(front.startswith("<"), known).otherwise(0), "diff": t.rlike(DIFF), "log": hits(LOG_LINE), "search": hits(SEARCH_HIT),
+        "markdown": hits(MARKDOWN), "symbols": hits(SYMBOL), "keywords": hits(KEYWORD), "sample": F.when(able, sample),
+    }
+    counted = lines.select(*keep, *[c.alias(f"__{k}") for k, c in signals.items()])
+    quoted = F.exists("__sample", lambda x: F.contains(x, F.lit('"')))
+    counted = counted.withColumn("__quoted", F.coalesce(quoted, F.lit(False)))
+    plain = _constant_fields(F.col("__sample"), DELIMITERS[0])
+    for d in DELIMITERS[1:]:
+        plain = plain | _constant_fields(F.col("__sample"), d)
+    table = F.when(F.col("__quoted"), _quoted_table(F.when(F.col("__quoted"), F.col("__sample")))).when(F.col("__sample").isNotNull(), plain).otherwise(False)
+    counted = counted.withColumn("__table", F.coalesce(table, F.lit(False)))
+    return counted.select(*keep, _decided({k: F.col(f"__{k}") for k in [*signals, "table"] if k != "sample"}).alias("detected"))

@@ -50,28 +50,41 @@ def guard_words(text: Column) -> Column:
     return _words(F.regexp_replace(plain(text), "n['’]t\\b", " not"))
 
 
-def _begins(words: Column, stems: tuple[str, ...]) -> Column:
-    """Whether a word starts with one of the stems."""
-    pattern = "^(?:" + "|".join(stems) + ")"
-    return F.exists(words, lambda v: v.rlike(pattern))
-
-
-def swapped(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """One text has only the one side of a pair, the other only the other side."""
-    return (ax & by & ~ay & ~bx) | (ay & bx & ~ax & ~by)
-
-
-def safe(a: Column, b: Column, wa: Column | None = None, wb: Column | None = None) -> Column:
-    """Numbers and dates are the same, no negation and no half of an antonym pair is on one side only.
-
-    wa and wb: guard_words() of a and b where these are columns already.
-    """
-    wa, wb = guard_words(a) if wa is None else wa, guard_words(b) if wb is None else wb
-    ok = numeric_tokens(a) == numeric_tokens(b)
-    for w in NEGATIONS:
-        ok = ok & (F.array_contains(wa, w) == F.array_contains(wb, w))
-    for x, y in ANTONYMS:
-        ok = ok & ~swapped(*(F.array_contains(words, side) for words in (wa, wb) for side in (x, y)))
-    for x, y in STEMS:
-        ok = ok & ~swapped(*(_begins(words, side) for words in (wa, wb) for side in (x, y)))
-    return ok
+def features(text: Column) -> Column:
+    """struct<numbers, words>: all that safe() needs of a text: make it a column where a text meets many others."""
+    return F.struct(numeric_tokens(text).alias("numbers"), _tags(text).alias("words"))
+
+
+#: Bits of negations, and of the one side of all pairs of opposites; the bit above such a bit is the pair's other side.
+NEGATED = (1 << len(NEGATIONS)) - 1
+ONE_SIDE = sum(1 << len(NEGATIONS) + 2 * k for k in range(len(ANTONYMS) + len(STEMS)))
+
+
+def _tags(text: Column) -> Column:
+    """A bit for each negation and each side of a pair of opposites that the words of a text hold."""
+    exact = [*NEGATIONS, *(side for pair in ANTONYMS for side in pair)]
+    begun = [side for pair in STEMS for side in pair]
+
+    def bits(w: Column) -> Column:
+        own = F.lit(0).cast("long")
+        for k, word in enumerate(exact):
+            own = own.bitwiseOR(F.when(w == word, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+        for k, stems in enumerate(begun, len(exact)):
+            own = own.bitwiseOR(F.when(w.rlike(f"^(?:{'|'.join(stems)})"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+        return own
+
+    return F.aggregate(guard_words(text), F.lit(0).cast("long"), lambda found, w: found.bitwiseOR(bits(w)))
+
+
+def safe_features(a: Column, b: Column) -> Column:
+    """safe() of two features()."""
+    x, y = a["words"], b["words"]
+    one, other = (lambda w: w.bitwiseAND(F.lit(ONE_SIDE))), (lambda w: F.shiftright(w, 1).bitwiseAND(F.lit(ONE_SIDE)))
+    only = lambda p, q: p.bitwiseAND(F.bitwise_not(q))
+    crossed = only(one(x), other(x)).bitwiseAND(only(other(y), one(y))).bitwiseOR(only(other(x), one(x)).bitwiseAND(only(one(y), other(y))))
+    return (a["numbers"] == b["numbers"]) & (x.bitwiseXOR(y).bitwiseAND(F.lit(NEGATED)) == 0) & (crossed == 0)
+
+
+def safe(a: Column, b: Column) -> Column:
+    """Numbers and dates are the same, no negation is on one side only, and no pair of opposites is split between the texts."""
+    return safe_features(features(a), features(b))

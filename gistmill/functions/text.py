@@ -21,6 +21,17 @@ STOPWORDS = (
     "not only own same so than too very can will just should would now"
 ).split()
 
+#: English words that don't anchor a query, apostrophes left out: fixed values.
+ANCHOR_STOPWORDS = (
+    "a about above after again against all am an and any are arent as at be because been before being below between both but by cant cannot could couldnt "
+    "did didnt do does doesnt doing dont down during each few for from further had hadnt has hasnt have havent having he hed hell hes her here heres hers "
+    "herself him himself his how hows i id ill im ive if in into is isnt it its itself lets me more most mustnt my myself no nor not of off on once only or "
+    "other ought our ours ourselves out over own same shant she shed shell shes should shouldnt so some such than that thats the their theirs them "
+    "themselves then there theres these they theyd theyll theyre theyve this those through to too under until up very was wasnt we wed well were weve "
+    "werent what whats when whens where wheres which while who whos whom why whys with wont would wouldnt you youd youll youre youve your yours yourself "
+    "yourselves"
+).split()
+
 
 def token_count(text: Column) -> Column:
     """Estimated tokens: the mean of length / 4 and the number of words and marks, rounded half to even; 0 for an empty text, else 1 at least."""
@@ -43,6 +54,13 @@ def identifiers(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[A-Za-z0-9_]+"), F.lit(0))
 
 
+def anchors(query: Column) -> Column:
+    """The identifiers of a query that aren't stop words; all of them if none is left."""
+    found = identifiers(query)
+    content = F.array_except(found, F.array(*map(F.lit, ANCHOR_STOPWORDS)))
+    return F.when(F.size(content) > 0, content).otherwise(found)
+
+
 def content_words(text: Column) -> Column:
     """Lower-case ASCII words that stand alone and aren't stop words, in order, repeats kept."""
     found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![{WORD}])[a-zA-Z0-9]+(?![{WORD}])"), F.lit(0))

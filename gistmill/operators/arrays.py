@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import identifiers
+from ..functions.text import anchors, identifiers
 
 #: Hints in names of fields and words that mark an error: fixed values.
 ID_HINT = "id|uuid|key|pk|_id|guid"
@@ -30,8 +30,8 @@ def is_error(json_text: Column) -> Column:
 
 
 def matches_query(json_text: Column, query: Column) -> Column:
-    """Whether an item shares an identifier with the query."""
-    return F.arrays_overlap(identifiers(json_text), identifiers(query))
+    """Whether an item shares an identifier with the query's anchors."""
+    return F.arrays_overlap(identifiers(json_text), anchors(query))
 
 
 def anomalies(items: DataFrame, key: str, value: str, idx: str = "idx", sigmas: float = 2.0, shift: float = 0.15) -> DataFrame:

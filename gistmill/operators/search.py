@@ -13,11 +13,12 @@ HIT = r"(?s)^((?:[A-Za-z]:[\\/])?.*?)([:-])(\d+)\2(.*)$"
 DEFINITION = r"\b(?:def|class|function|func|fn|interface|struct|impl|type|const|let|var)\b|=\s|=>|:=|public|private|export"
 
 
-def hit(line: Column) -> Column:
-    """struct<path, lineno, content, is_match>; null for a line that is no hit."""
-    part = lambda g: F.regexp_extract(line, HIT, g)
-    made = F.struct(part(1).alias("path"), part(3).cast("long").alias("lineno"), part(4).alias("content"), (part(2) == ":").alias("is_match"))
-    return F.when(line.rlike(HIT) & (part(1) != ""), made)
+def parts(line: Column) -> Column:
+    """array<path, sign, line number, content> of a hit; an array of one for any other line. The pattern is searched once;
+    only lines that hold a NUL, which stands between the parts, search it for each part."""
+    each = F.array(*[F.regexp_extract(line, HIT, g) for g in (1, 2, 3, 4)])
+    once = F.split(F.regexp_replace(line, HIT, "$1\0$2\0$3\0$4"), "\0", 4)
+    return F.when(~F.contains(line, F.lit("\0")), once).when(line.rlike(HIT), each).otherwise(F.array(line))
 
 
 def score(h: Column) -> Column:
@@ -29,7 +30,10 @@ def score(h: Column) -> Column:
 def hits(blocks: DataFrame) -> DataFrame:
     """(block_id, idx, path, lineno, content, is_match, score) of blocks (block_id, text)."""
     rows = blocks.select("block_id", F.posexplode(F.split("text", "\n", -1)).alias("idx", "line")).filter(strip(F.col("line")) != "")
-    return rows.select("block_id", "idx", hit(F.col("line")).alias("h")).filter("h is not null").select("block_id", "idx", "h.*", score(F.col("h")).alias("score"))
+    rows = rows.select("block_id", "idx", parts(F.col("line")).alias("p")).filter((F.size("p") == 4) & (F.get("p", F.lit(0)) != ""))
+    part = lambda i: F.get("p", F.lit(i))
+    h = F.struct(part(0).alias("path"), part(2).cast("long").alias("lineno"), part(3).alias("content"), (part(1) == ":").alias("is_match"))
+    return rows.select("block_id", "idx", h.alias("h")).select("block_id", "idx", "h.*", score(F.col("h")).alias("score"))
 
 
 def ranked(found: DataFrame, queries: DataFrame | None = None) -> DataFrame:

@@ -35,20 +35,21 @@ def _quoted(lines: pd.Series) -> pd.Series:
     return lines.map(of)
 
 
-def split_cells(lines: Column, d: str) -> Column:
-    return F.transform(lines, lambda x: F.split(x, "\\" + d if d == "|" else d, -1))
-
-
 def cells(lines: Column) -> Column:
-    """array<array<string>>: each line's cells under the delimiter that gives the most, if all lines have as many (2 or more); else null."""
-    best = F.lit(None).cast("array<array<string>>")
-    for d in reversed(DELIMITERS):
-        made = split_cells(lines, d)
-        n = F.size(F.get(made, F.lit(0)))
-        fits = F.size(F.array_distinct(F.transform(made, F.size))) == 1
-        best = F.when(fits & (n >= 2) & (n >= F.coalesce(F.size(F.get(best, F.lit(0))), F.lit(0))), made).otherwise(best)
+    """array<array<string>>: each line's cells under the delimiter that gives the most, if all lines have as many (2 or more); else null.
+
+    Delimiters are counted first, and only the chosen one (of equal ones the first) splits the lines.
+    """
+    def width(d: str) -> Column:
+        n = F.array_distinct(F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit("")))))
+        return F.when(F.size(n) == 1, F.get(n, F.lit(0)) + 1).otherwise(0)
+
+    patterns = F.array(*[F.lit("\\" + d if d == "|" else d) for d in DELIMITERS])
+    chosen = F.transform(F.array(F.array(*map(width, DELIMITERS))), lambda w: F.when(F.array_max(w) >= 2, F.element_at(patterns, F.array_position(w, F.array_max(w)).cast("int"))))
+    plain = F.flatten(F.transform(chosen, lambda d: F.transform(lines, lambda x: F.split(x, d, -1))))
+    found = F.when(F.forall(plain, lambda x: x.isNotNull()), plain)
     quoted = F.exists(lines, lambda x: F.contains(x, F.lit('"')))
-    return F.when(quoted, _quoted(F.when(quoted, lines))).otherwise(best)
+    return F.when(quoted, _quoted(F.when(quoted, lines))).otherwise(found)
 
 
 def number(cell: Column) -> Column:

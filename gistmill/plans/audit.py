@@ -105,12 +105,12 @@ def findings(events: DataFrame, failures: int = 3, corrections: int = 2, ineffic
     which = F.when((F.col("kind") == "tool_call") & F.col("_f"), tool(own)).when((F.col("kind") == "outcome") & F.col("_f") & after_call & ~F.col("_p.counted"), tool(prev))
     status = F.lower(F.trim(F.coalesce(own["status"], F.lit(""))))
     said = F.nullif(F.trim(F.coalesce(own["correction"], F.lit(""))), F.lit(""))
-    action = F.when(after_call, F.concat(F.lit("`"), tool(prev), F.lit("`"))).otherwise("the current `compress` settings")
+    action = F.when(after_call, F.concat(F.lit("`"), tool(prev), F.lit("`"))).otherwise("the `compress` settings of the session")
     corrected = (F.col("kind") == "outcome") & status.isin(*CORRECTED) & F.col("_p.kind").isin("tool_call", "compress")
     wasted = (F.col("kind") == "compress") & (own["ratio"] < low_ratio) & (own["orig_tokens"] >= large)
-    rule_f = F.concat(F.lit("Check `"), which, F.lit("` preconditions (inputs, paths, permissions) before calling it; verify the failure mode from past sessions is handled."))
-    rule_c = F.concat(F.lit("Do "), said, F.lit(" instead of "), action, F.lit("."))
-    rule_w = F.lit(f"Tune the compression settings for large payloads (lower the least size, crush harder, or allow more compressors): compression saved under {low_ratio:.0%} on payloads of {large}+ tokens.")
+    rule_f = F.concat(F.lit("Before a call of `"), which, F.lit("`, see that its inputs, paths and permissions are in order: it has failed again and again."))
+    rule_c = F.concat(F.lit("Prefer "), said, F.lit(" over "), action, F.lit("."))
+    rule_w = F.lit(f"Payloads of {large} tokens and more shrink by less than {low_ratio:.0%}: give them other compression settings.")
     one = lambda cond, kind, subject, rule, least: F.when(cond, F.struct(F.lit(kind).alias("kind"), subject.alias("subject"), rule.alias("rule"), F.lit(least).alias("least")))
     found = F.array_compact(F.array(
         one(which.isNotNull(), "repeated-tool-failure", which, rule_f, failures),

@@ -76,10 +76,10 @@ def prefix_report(messages: DataFrame, provider: str = "openai") -> DataFrame:
     tokens = token_count(F.col("_p"))
     least = LEAST_PREFIX[provider]
     out = out.withColumn("prefix_tokens", tokens).withColumn("cacheable", F.col("prefix_tokens") >= least)
-    hint = [F.when(F.col("hoisted"), "hoisted system message(s) ahead of conversation turns to keep the prefix stable")]
-    hint += [F.when(F.col(k) > 0, F.concat(F.lit(f"move volatile {k} out of system prompt ("), F.col(k).cast("string"), F.lit(" span(s) normalized to keep the prefix byte-stable)"))) for k in sorted(spans)]
-    hint += [F.when(F.col("n_stable") == 0, "no system message found; put stable instructions and tool definitions in a system message to enable prefix caching")]
-    hint += [F.when(~F.col("cacheable"), F.concat(F.lit("stable prefix is "), F.col("prefix_tokens").cast("string"), F.lit(f" tokens, below the ~{least}-token minimum for {provider} prompt caching; move more stable context (tool definitions, few-shot examples) into the system prompt")))]
+    hint = [F.when(F.col("hoisted"), "a system message stood after other turns and was put first")]
+    hint += [F.when(F.col(k) > 0, F.concat(F.lit("system messages hold "), F.col(k).cast("string"), F.lit(f" changing {k} value(s): say them in a later message"))) for k in sorted(spans)]
+    hint += [F.when(F.col("n_stable") == 0, "there is no system message: fixed instructions and tools belong in one")]
+    hint += [F.when(~F.col("cacheable"), F.concat(F.lit("the fixed prefix has "), F.col("prefix_tokens").cast("string"), F.lit(f" tokens and {provider} caches from {least} on: put more of what stays the same in front")))]
     return out.withColumn("hints", F.array_compact(F.array(*hint))).drop("_p")
 
 

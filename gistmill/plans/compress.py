@@ -6,10 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.detect import detect
+from ..functions.detect import detected
 from ..functions.markers import find_markers
 from ..functions.text import strip, token_count
 from ..operators import diff, logs, markup, prose, search, tabular
@@ -93,7 +93,7 @@ def route(blocks: DataFrame, c: Config | None = None) -> DataFrame:
     """
     c = c or Config()
     table = DEFAULTS | c.registry
-    out = blocks.withColumn("_d", detect(F.col("text"))).withColumns({"content_type": F.col("_d.content_type"), "confidence": F.col("_d.confidence")}).drop("_d")
+    out = detected(blocks).withColumns({"content_type": F.col("detected.content_type"), "confidence": F.col("detected.confidence")}).drop("detected")
     names = F.create_map(*[F.lit(x) for kind, (name, _) in table.items() for x in (kind, name)])
     name = F.when(F.octet_length("text") < c.min_bytes, "skip").otherwise(F.coalesce(F.try_element_at(names, F.col("content_type")), F.lit("none")))
     allowed = F.lit(True) if c.compressors is None else F.col("compressor").isin(*c.compressors)
@@ -107,23 +107,27 @@ def compress_blocks(blocks: DataFrame, c: Config | None = None) -> DataFrame:
     Each type's rows go through their compressor, a filter of the routed blocks. A rewrite is kept only if it saves over
     min_token_savings tokens, else the block is as it was and skipped. The routed blocks are kept (in memory, and on disk
     beyond it) while they are read for each type, and only types that occur get a branch of the plan: a count of at most
-    nine types goes to the driver.
+    nine types goes to the driver. block_id need not be unique, nor there: compressors get a key of id, query and text, and
+    rows that are equal in all three are compressed once and each get the result.
     """
     c = c or Config()
-    routed = route(blocks, c)
+    parts = [x for f in ("block_id", "query", "text") for x in (F.col(f).isNull(), F.col(f))]
+    routed = route(blocks, c).withColumn("_key", F.concat(F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit(1), *parts))))
     none = F.expr("cast(array() as array<struct<hash: string, original: string>>)")
     if not c.enabled:
         routed = routed.withColumn("run", F.lit(False))
     routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
     present = {r["content_type"] for r in routed.filter("run").select("content_type").distinct().collect()}
+    single = not routed.filter("run").groupBy("_key").count().filter("count > 1").limit(1).count()
     done = None
     for kind, (_, run) in (DEFAULTS | c.registry).items():
         if kind not in present:
             continue
-        own = run(routed.filter((F.col("content_type") == kind) & F.col("run")).select("block_id", "text", "query"), c)
-        own = own.select("block_id", "new_text", "dropped", (F.col("error") if "error" in own.columns else F.lit(None).cast("string")).alias("error"))
+        rows = routed.filter((F.col("content_type") == kind) & F.col("run")).select(F.col("_key").alias("block_id"), "text", "query")
+        own = run(rows if single else rows.dropDuplicates(["block_id"]), c)
+        own = own.select(F.col("block_id").alias("_key"), "new_text", "dropped", (F.col("error") if "error" in own.columns else F.lit(None).cast("string")).alias("error"))
         done = own if done is None else done.unionByName(own)
-    out = routed.join(done, "block_id", "left") if done is not None else routed.withColumns({"new_text": F.lit(None).cast("string"), "dropped": none, "error": F.lit(None).cast("string")})
+    out = routed.join(done, "_key", "left") if done is not None else routed.withColumns({"new_text": F.lit(None).cast("string"), "dropped": none, "error": F.lit(None).cast("string")})
     text, made = F.coalesce("text", F.lit("")), F.coalesce("new_text", "text", F.lit(""))
     out = out.withColumns({"orig_tokens": token_count(text), "_cand": token_count(made), "_made": made})
     win = (F.col("_made") != text) & (F.col("orig_tokens") - F.col("_cand") > c.min_token_savings)
@@ -132,22 +136,29 @@ def compress_blocks(blocks: DataFrame, c: Config | None = None) -> DataFrame:
         "new_tokens": F.when(win, F.col("_cand")).otherwise(F.col("orig_tokens")),
         "new_text": F.when(win, F.col("_made")).otherwise(F.col("text")),
         "dropped": F.when(win, F.coalesce("dropped", none)).otherwise(none),
-    }).drop("_cand", "_made", "run")
+    }).drop("_cand", "_made", "run", "_key")
 
 
 def message_blocks(messages: DataFrame, c: Config | None = None) -> DataFrame:
     """(block_id, conv_id, msg_index, path, text, query): a block for each text of messages (conv_id, msg_index, role, content,
-    and, where there is one, blocks array<struct<type, text, content>> of text and tool_result blocks)."""
-    m = resolve_query(messages, c or Config())
-    plain = m.filter("content is not null").select("conv_id", "msg_index", F.lit("content").alias("path"), F.col("content").alias("text"), "query")
+    and, where there is one, blocks array<struct<type, text, content>> of text and tool_result blocks). block_id names the
+    message by all that it holds, and the text's path in it."""
+    m = resolve_query(messages, c or Config()).withColumn("_m", message_key(messages))
+    plain = m.filter("content is not null").select("_m", "conv_id", "msg_index", F.lit("content").alias("path"), F.col("content").alias("text"), "query")
     if "blocks" in messages.columns:
-        b = m.filter("content is null").select("conv_id", "msg_index", "query", F.posexplode("blocks").alias("i", "b"))
+        b = m.filter("content is null").select("_m", "conv_id", "msg_index", "query", F.posexplode("blocks").alias("i", "b"))
         at = F.concat(F.lit("content["), F.col("i").cast("string"), F.lit("]."))
         b = b.filter((F.col("b.type") == "text") | (F.col("b.type") == "tool_result"))
         is_text = F.col("b.type") == "text"
-        b = b.select("conv_id", "msg_index", F.concat(at, F.when(is_text, "text").otherwise("tool_result")).alias("path"), F.when(is_text, F.col("b.text")).otherwise(F.col("b.content")).alias("text"), "query")
+        b = b.select("_m", "conv_id", "msg_index", F.concat(at, F.when(is_text, "text").otherwise("tool_result")).alias("path"), F.when(is_text, F.col("b.text")).otherwise(F.col("b.content")).alias("text"), "query")
         plain = plain.unionByName(b.filter("text is not null"))
-    return plain.withColumn("block_id", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("msg_index").cast("string"), "path"))
+    return plain.withColumn("block_id", F.concat("_m", F.lit("/"), "path")).drop("_m")
+
+
+def message_key(messages: DataFrame) -> Column:
+    """128 bits, as text, of a message's conversation, place, role and contents; nulls differ from all values."""
+    parts = [x for f in ("conv_id", "msg_index", "role", "content", "blocks") if f in messages.columns for x in (F.col(f).isNull(), F.col(f))]
+    return F.concat(F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit(1), *parts)))
 
 
 def compress_messages(messages: DataFrame, c: Config | None = None) -> DataFrame:
@@ -155,6 +166,21 @@ def compress_messages(messages: DataFrame, c: Config | None = None) -> DataFrame
     return compress_blocks(message_blocks(messages, c), c)
 
 
+def rebuilt(messages: DataFrame, compressed: DataFrame) -> DataFrame:
+    """messages with the texts of compress_messages() in the place of theirs: in content, and in the text or content of their
+    blocks. Everything else stays, as do messages without a text; repeated messages stay repeated."""
+    at = F.split("block_id", "/", 2)
+    texts = compressed.filter("changed").select(F.get(at, F.lit(0)).alias("_m"), F.get(at, F.lit(1)).alias("p"), "new_text").dropDuplicates(["_m", "p"])
+    found = texts.groupBy("_m").agg(F.map_from_entries(F.collect_list(F.struct("p", "new_text"))).alias("_new"))
+    out = messages.withColumn("_m", message_key(messages)).join(found, "_m", "left")
+    made = {"content": F.coalesce(F.col("_new")["content"], F.col("content"))}
+    if "blocks" in messages.columns:
+        new = lambda i, kind: F.col("_new")[F.concat(F.lit("content["), i.cast("string"), F.lit(f"].{kind}"))]
+        put = lambda b, i: b.withField("text", F.coalesce(new(i, "text"), b["text"])).withField("content", F.coalesce(new(i, "tool_result"), b["content"]))
+        made["blocks"] = F.when(F.col("_new").isNull(), F.col("blocks")).otherwise(F.transform("blocks", put))
+    return out.withColumns(made).select(*messages.columns)
+
+
 def compress_documents(docs: DataFrame, c: Config | None = None, query: str | None = None) -> DataFrame:
     """Each document (doc_id, text) a conversation of its own, with one query for all or none."""
     blocks = docs.select(F.col("doc_id").cast("string").alias("block_id"), F.col("doc_id").alias("conv_id"), F.lit(0).alias("msg_index"), F.lit("content").alias("path"), "text", F.lit(query).cast("string").alias("query"))

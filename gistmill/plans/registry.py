@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import guard, images, markers, text, volatile
-from ..functions.detect import detect
+from ..functions.detect import detected
 from ..operators import arrays, diff, logs, markup, prose, relevance, search, tabular
 from . import audit, chat, compress, store
 
@@ -185,13 +185,13 @@ _DETECT = rf"""det as (select *, case
 
 @query(f"with {TEXTS}, {_DETECT} select content_type, count(*) as n, sum({TOKENS.format(x='text')})::bigint as tokens from det group by content_type")
 def detect_mix(spark, sf):
-    rows = _texts(spark, sf).select(detect(F.col("text"))["content_type"].alias("content_type"), text.token_count(F.col("text")).alias("t"))
+    rows = detected(_texts(spark, sf)).select("detected.content_type", text.token_count(F.col("text")).alias("t"))
     return rows.groupBy("content_type").agg(F.count("*").alias("n"), F.sum("t").alias("tokens"))
 
 
 @query()
 def detect_blocks(spark, sf):
-    return _texts(spark, sf).select("block_id", detect(F.col("text")).alias("d")).select("block_id", "d.content_type", _r("d.confidence").alias("confidence"))
+    return detected(_texts(spark, sf)).select("block_id", "detected.content_type", _r("detected.confidence").alias("confidence"))
 
 
 # Markers, originals and volatile content.
@@ -352,7 +352,7 @@ _WORDS = "|".join(arrays.ERROR_WORDS)
 @query(f"select event_id, regexp_matches(lower(event_type || props), '{_WORDS}') as is_error, len(list_intersect(regexp_extract_all(lower(event_type || props), '[a-z0-9_]+'), ['k', 'view', '42'])) > 0 as asked from events")
 def crush_error_query_items(spark, sf):
     item = F.concat("event_type", "props")
-    return _t(spark, sf, "events").select("event_id", arrays.is_error(item).alias("is_error"), arrays.matches_query(item, F.lit("K, view 42?")).alias("asked"))
+    return _t(spark, sf, "events").select("event_id", arrays.is_error(item).alias("is_error"), arrays.matches_query(item, F.lit("what is the K, view 42 of a?")).alias("asked"))
 
 
 def _json_blocks(spark, sf):
@@ -752,7 +752,11 @@ def _stream(spark, sf, name, make, mode):
 
     from ..streaming import events
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp()
     # the table is one file: its folder is read with the file's name as the pattern
     src = spark.readStream.schema(events.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
     return events.run(make(src), f"{name}_{uuid.uuid4().hex}", mode, f"{root}/{name}-{uuid.uuid4().hex}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import guard
 from ..functions.text import content_hash, content_words, jaccard, strip
-from ..operators.relevance import bm25, cosine, dot, nearest, top
+from ..operators.relevance import bm25, dot, nearest, top
 
 
 def put(table: DataFrame | None, originals: DataFrame) -> DataFrame:
@@ -66,17 +66,19 @@ def cache_lookup(probes: DataFrame, entries: DataFrame, threshold: float = 0.96,
         equal = top(equal.filter("probe_id != entry_id"), "probe_id", 1, *order)
     exact = equal.select("probe_id", "entry_id", "response", F.lit(1.0).alias("similarity"))
     rest = p.join(exact.select("probe_id"), "probe_id", "left_anti") if others else p.join(latest.select("_k"), "_k", "left_anti")
-    rest = rest.select("probe_id", F.col("prompt").alias("pp"), F.col("embedding").cast("array<double>").alias("pe"))
-    rest = rest.filter(dot(F.col("pe"), F.col("pe")) > 0)
+    # what the guard and the cosine need of one side is computed once a row, and prompts don't meet
+    rest = rest.select("probe_id", guard.features(F.col("prompt")).alias("pf"), F.col("embedding").cast("array<double>").alias("pe"))
+    rest = rest.withColumn("pn", F.sqrt(dot(F.col("pe"), F.col("pe")))).filter("pn > 0 and not isnan(pn)")
     n = rest.count()
     blocks = max(1, math.ceil(n / 10_000))
-    own = e.select("entry_id", F.col("prompt").alias("ep"), "response", F.col("embedding").cast("array<double>").alias("ee"), "last_used")
+    own = e.select("entry_id", guard.features(F.col("prompt")).alias("ef"), "response", F.col("embedding").cast("array<double>").alias("ee"), "last_used")
+    own = own.withColumn("en", F.sqrt(dot(F.col("ee"), F.col("ee")))).filter("en > 0 and not isnan(en)")
     out = exact
     for i in range(blocks):
         part = rest.filter(F.pmod(F.xxhash64("probe_id"), F.lit(blocks)) == i) if blocks > 1 else rest
-        pairs = own.crossJoin(F.broadcast(part)).withColumn("similarity", cosine(F.col("pe"), F.col("ee"))).filter(F.col("similarity") >= threshold)
+        pairs = own.crossJoin(F.broadcast(part)).withColumn("similarity", dot(F.col("pe"), F.col("ee")) / (F.col("pn") * F.col("en"))).filter(F.col("similarity") >= threshold)
         pairs = pairs.filter("probe_id != entry_id") if others else pairs
-        good = pairs.filter(guard.safe(F.col("pp"), F.col("ep")))
+        good = pairs.filter(guard.safe_features(F.col("pf"), F.col("ef")))
         out = out.unionByName(top(good, "probe_id", 1, F.desc("similarity"), *order).select("probe_id", "entry_id", "response", "similarity"))
     return out
 

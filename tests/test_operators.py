@@ -51,9 +51,9 @@ CASES = {
 
 
 def test_detection(spark):
-    got = blocks(spark, *CASES).select("text", detect.detect(F.col("text"))["content_type"].alias("t")).collect()
+    got = detect.detected(blocks(spark, *CASES)).select("text", F.col("detected.content_type").alias("t")).collect()
     assert {r["text"]: r["t"] for r in got} == CASES
-    assert spark.createDataFrame([(None,)], "t string").select(detect.detect(F.col("t"))["content_type"]).first()[0] == "text"
+    assert detect.detected(spark.createDataFrame([(None,)], "t string"), "t").first()["detected"]["content_type"] == "text"
 
 
 def test_markers_round_trip(spark):

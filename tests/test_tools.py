@@ -56,7 +56,7 @@ def test_findings_from_session_files(spark, tmp_path):
     got = {r["kind"]: (r["evidence_count"], r["confidence"]) for r in audit.findings(e).collect()}
     assert got == {"repeated-tool-failure": (3, 0.5), "user-correction": (2, 0.4), "inefficient-compression": (2, 0.4)}
     block = audit.rules_block(audit.findings(e)).first()["block"]
-    assert block.startswith("## Learned rules\n\n- Check `t`") and "Do v instead of `u`." in block
+    assert block.startswith("## Learned rules\n\n- Before a call of `t`") and "Prefer v over `u`." in block
 
 
 def test_streams(spark, tmp_path):
