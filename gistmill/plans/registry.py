@@ -730,7 +730,7 @@ def eval_ratios(spark, sf):
 
 @query(f"""with {KINDS}, x as (
   select 'repeated-tool-failure' as kind, 'tool' || (pk % 5) as subject, session_id, 3 as least from ev where event_type = 'error' and pt = 'click'
-  union all select 'user-correction', case when pt = 'click' then '`tool' || (pk % 5) || '`' else 'the current `compress` settings' end || ': step ' || (k % 3), session_id, 2 from ev where event_type = 'purchase' and pt in ('click', 'view')
+  union all select 'user-correction', case when pt = 'click' then '`tool' || (pk % 5) || '`' else 'the `compress` settings of the session' end || ': step ' || (k % 3), session_id, 2 from ev where event_type = 'purchase' and pt in ('click', 'view')
   union all select 'user-correction', null, null, 2 where false
   union all select 'inefficient-compression', 'compress', session_id, 2 from ev where event_type = 'view' and k / 1000 < 0.05 and k * 40.0 >= 1000)
 select kind, subject, count(*) as evidence_count, count(distinct session_id) as n_sessions, round_even(least(0.95, count(*) / (count(*) + 3)), 2) as confidence from x group by kind, subject, least having count(*) >= least""")
