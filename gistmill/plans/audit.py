@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +23,31 @@ PRICES = (
     ("gemini-1.5-pro", 1.25, 5.00),
 )
 DEFAULT_MODEL = "gpt-4o"
+#: Most lines of a price file, which is read on the driver.
+PRICE_LINES = 100_000
 
 
 def prices(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(ord, name, input, output) of the price table, or of a JSON-lines file with these columns."""
-    if path:
-        return spark.read.schema("ord int, name string, input double, output double").json(path)
-    return spark.createDataFrame([(i, *p) for i, p in enumerate(PRICES)], "ord int, name string, input double, output double")
+    """(ord, name, input, output) of the price table, or of a JSON-lines file with these columns.
+
+    Lines of the file without a name or a price are left out; without ord, names stand in alphabetical order. A file that is
+    missing or has no valid line gives the table.
+    """
+    schema = "ord int, name string, input double, output double"
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(PRICES)], schema)
+    if not path:
+        return table
+    try:
+        found = spark.read.schema(schema).json(path).filter("name is not null and input is not null and output is not null")
+        rows = found.limit(PRICE_LINES + 1).collect()
+    except (AnalysisException, Py4JJavaError):
+        return table
+    if len(rows) > PRICE_LINES:
+        raise ValueError(f"{path} has over {PRICE_LINES} prices: it is no price table")
+    if not rows:
+        return table
+    rows.sort(key=lambda r: (r["ord"] is None, r["ord"] or 0, r["name"]))
+    return spark.createDataFrame([(i, r["name"], r["input"], r["output"]) for i, r in enumerate(rows)], schema)
 
 
 def priced(runs: DataFrame, table: DataFrame, model: str = "model") -> DataFrame:

@@ -90,6 +90,50 @@ def cache_breakpoints(messages: DataFrame, chars: int = BREAK_CHARS, most: int =
     return messages.withColumn("breakpoint", able & (rank <= most))
 
 
+def stable_prefix(messages: DataFrame) -> DataFrame:
+    """messages (conv_id, place, msg_index, role, content) as they should be sent: those of stable_order() in their places, with
+    placeholders for what changes in system and developer messages, so that equal instructions make equal prefixes."""
+    stable = F.coalesce(F.col("role").isin(*STABLE), F.lit(False))
+    return stable_order(messages).select("conv_id", "place", "msg_index", "role", F.when(stable, volatile.normalize(F.col("content"))).otherwise(F.col("content")).alias("content"))
+
+
+def _control(on: Column | bool) -> Column:
+    return F.when(F.lit(on) if isinstance(on, bool) else on, F.struct(F.lit("ephemeral").alias("type"))).alias("cache_control")
+
+
+def with_cache_control(messages: DataFrame, systems: DataFrame | None = None, chars: int = BREAK_CHARS, most: int = BREAKS) -> tuple[DataFrame, DataFrame | None]:
+    """(messages, systems) with cache_control in at most `most` places of a conversation.
+
+    messages: conv_id, msg_index, role, content and, where a message is a list, blocks (array of structs with type and text).
+    systems: conv_id and system, one row for each conversation that has a separate system prompt. A system prompt of `chars`
+    characters or more is marked first and takes one place; then the last messages whose text, or whose last block if that
+    is a text, has `chars` characters or more. A marked text becomes a list of one block and its content null; of a list the
+    last block is marked. What isn't marked stays. A null conv_id is a conversation of its own.
+    """
+    if "blocks" not in messages.columns:
+        messages = messages.withColumn("blocks", F.lit(None).cast("array<struct<type: string, text: string>>"))
+    kept = [c for c in messages.columns if c not in ("content", "blocks")]
+    last = F.try_element_at("blocks", F.lit(-1))
+    text = F.coalesce("content", F.when(last["type"] == "text", last["text"]), F.lit(""))
+    m = messages.withColumn("_able", F.length(text) >= chars).withColumn("_spent", F.lit(0))
+    if systems is not None:
+        large = F.length(F.coalesce("system", F.lit(""))) >= (chars if most > 0 else 2**31 - 1)
+        spent = systems.filter(large).select(F.col("conv_id").alias("_conv")).distinct()
+        m = m.drop("_spent").join(spent.withColumn("_one", F.lit(1)), F.col("conv_id").eqNullSafe(F.col("_conv")), "left").withColumn("_spent", F.coalesce("_one", F.lit(0)))
+        block = F.struct(F.lit("text").alias("type"), F.col("system").alias("text"), _control(True))
+        systems = systems.select("conv_id", F.when(~large, F.col("system")).alias("system"), F.when(large, F.array(block)).alias("blocks"))
+    rank = F.row_number().over(Window.partitionBy("conv_id", "_able").orderBy(F.desc("msg_index")))
+    m = m.withColumn("_mark", F.col("_able") & (rank <= most - F.col("_spent")))
+    plain = F.col("_mark") & F.col("content").isNotNull()
+    parts = {"type": F.lit("text"), "text": F.col("content")}
+    fields = [f for f in messages.schema["blocks"].dataType.elementType.fields if f.name != "cache_control"]
+    made = F.array(F.struct(*[parts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields], _control(True)))
+    end = F.size("blocks") - 1
+    listed = F.transform("blocks", lambda b, i: F.struct(*[b[f.name].alias(f.name) for f in fields], _control(F.col("_mark") & (i == end))))
+    out = m.select(*kept, F.when(~plain, F.col("content")).alias("content"), F.when(plain, made).otherwise(listed).alias("blocks"))
+    return out, systems
+
+
 def prompt_features(messages: DataFrame) -> DataFrame:
     """(conv_id, the thirteen features) of each conversation."""
     text = F.coalesce("content", F.lit(""))

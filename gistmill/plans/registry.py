@@ -667,6 +667,34 @@ def cache_breakpoints(spark, sf):
     return chat.cache_breakpoints(_messages(spark, sf), chars=500).filter("breakpoint").select("conv_id", "msg_index")
 
 
+@query(f"with {MESSAGES} select conv_id, row_number() over (partition by conv_id order by case when role in ('system', 'developer') then 0 else 1 end, msg_index) - 1 as place, role, case when role in ('system', 'developer') then {_chain('content', 5)} else content end as content from messages")
+def stable_prefix(spark, sf):
+    return chat.stable_prefix(_messages(spark, sf)).select("conv_id", "place", "role", "content")
+
+
+@query(f"""with {MESSAGES}, s as (select conv_id, content as system from messages where msg_index = 0), big as (select conv_id from s where length(system) >= 500),
+r as (select *, row_number() over (partition by conv_id order by msg_index desc) as r from messages where msg_index > 0 and length(content) >= 500),
+marked as (select conv_id, msg_index, content from r where r <= 2 - (conv_id in (select conv_id from big))::int)
+select m.conv_id, m.msg_index, case when k.conv_id is null then m.content end as content, k.content as cached, case when k.conv_id is not null then 'ephemeral' end as control from messages m left join marked k on m.conv_id = k.conv_id and m.msg_index = k.msg_index where m.msg_index > 0
+union all select conv_id, -1, case when length(system) < 500 then system end, case when length(system) >= 500 then system end, case when length(system) >= 500 then 'ephemeral' end from s""")
+def cache_control(spark, sf):
+    # a conversation's first message stands for a separate system prompt
+    m = _messages(spark, sf)
+    done, systems = chat.with_cache_control(m.filter("msg_index > 0"), m.filter("msg_index = 0").select("conv_id", F.col("content").alias("system")), chars=500, most=2)
+    last = F.try_element_at("blocks", F.lit(-1))
+    shown = [last["text"].alias("cached"), last["cache_control"]["type"].alias("control")]
+    own = systems.select("conv_id", F.lit(-1).cast("long").alias("msg_index"), F.col("system").alias("content"), *shown)
+    return done.select("conv_id", "msg_index", "content", *shown).unionByName(own)
+
+
+@query("""with e as (select vec_id as entry_id, 'p' || vec_id % 700 as prompt, 'r' || vec_id as response, vec_id as t from embeddings where embedding is not null),
+d as (select prompt, min(entry_id) as entry_id, arg_max(response, t) as response, max(t) as last_used from e group by prompt)
+select entry_id, prompt, response, last_used from d order by last_used desc, entry_id desc limit 300""")
+def semcache_put(spark, sf):
+    rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("entry_id"), F.concat(F.lit("p"), F.col("vec_id") % 700).alias("prompt"), F.concat(F.lit("r"), F.col("vec_id")).alias("response"), "embedding", F.col("vec_id").alias("last_used"))
+    return store.cache_put(rows.limit(0), rows, 300).select("entry_id", "prompt", "response", "last_used")
+
+
 @query()
 def predict_features(spark, sf):
     return chat.prompt_features(_messages(spark, sf))

@@ -47,12 +47,13 @@ def search_memory(queries: DataFrame, memory: DataFrame, k: int = 5) -> DataFram
 
 
 
-def cache_lookup(probes: DataFrame, entries: DataFrame, threshold: float = 0.96, others: bool = False) -> DataFrame:
+def cache_lookup(probes: DataFrame, entries: DataFrame, threshold: float = 0.96, others: bool = False, guarded: bool = True) -> DataFrame:
     """(probe_id, entry_id, response, similarity): for each probe (probe_id, prompt, embedding) the answer of an entry (entry_id,
     prompt, response, embedding, last_used) that may be served; probes without one are left out.
 
     An equal prompt answers at once (similarity 1): an equi-join by hash. The rest are compared by cosine with all entries in
-    blocks of the probes, a stated query set; only pairs at the threshold meet the lexical guard. The most similar one is
+    blocks of the probes, a stated query set; only pairs at the threshold meet the lexical guard, which guarded=False leaves out
+    (an answer to a prompt that is alike but means another thing is then served). The most similar one is
     served, of equal ones the one used last. With others, probes are entries themselves, and the entry with a probe's own id
     doesn't answer it.
     """
@@ -78,11 +79,37 @@ def cache_lookup(probes: DataFrame, entries: DataFrame, threshold: float = 0.96,
         part = rest.filter(F.pmod(F.xxhash64("probe_id"), F.lit(blocks)) == i) if blocks > 1 else rest
         pairs = own.crossJoin(F.broadcast(part)).withColumn("similarity", dot(F.col("pe"), F.col("ee")) / (F.col("pn") * F.col("en"))).filter(F.col("similarity") >= threshold)
         pairs = pairs.filter("probe_id != entry_id") if others else pairs
-        good = pairs.filter(guard.safe_features(F.col("pf"), F.col("ef")))
+        good = pairs.filter(guard.safe_features(F.col("pf"), F.col("ef"))) if guarded else pairs
         out = out.unionByName(top(good, "probe_id", 1, F.desc("similarity"), *order).select("probe_id", "entry_id", "response", "similarity"))
     return out
 
 
+def touched(entries: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
+    """entries with last_used = now for those that hits (entry_id, as cache_lookup() returns them) were served from."""
+    served = hits.select("entry_id").distinct().withColumn("_hit", F.lit(True))
+    out = entries.join(served, "entry_id", "left").withColumn("last_used", F.when(F.col("_hit"), now.cast(entries.schema["last_used"].dataType)).otherwise(F.col("last_used")))
+    return out.select(*entries.columns)
+
+
+def cache_put(entries: DataFrame, new: DataFrame, most: int) -> DataFrame:
+    """The entries (entry_id, prompt, response, embedding, last_used) after those of new are put in, the `most` used last.
+
+    A prompt that is there already, by its hash and text, keeps its entry_id and embedding and takes the response and the
+    time of its last put; others come in if their vector can be compared (not null, finite, not all zero). Of one prompt put
+    several times the last put counts, of equal times that with the largest entry_id.
+    """
+    cols = ["entry_id", "prompt", "response", "embedding", "last_used"]
+    e = F.col("embedding").cast("array<double>")
+    norm = dot(e, e)
+    usable = F.coalesce((norm > 0) & ~F.isnan(norm) & (norm < float("inf")), F.lit(False))
+    both = entries.select(*cols, F.lit(0).alias("_new")).unionByName(new.select(*cols, F.lit(1).alias("_new")))
+    first = F.min(F.when((F.col("_new") == 0) | usable, F.struct("_new", "last_used", "entry_id", "embedding")))
+    last = F.max(F.struct("last_used", "_new", "entry_id", "response"))
+    done = both.groupBy(F.sha2("prompt", 256).alias("_k"), "prompt").agg(first.alias("f"), last.alias("l")).filter("f is not null")
+    out = done.select("f.entry_id", "prompt", "l.response", "f.embedding", "l.last_used")
+    return evict(out, most).select(*cols)
+
+
 def evict(entries: DataFrame, most: int) -> DataFrame:
     """The `most` entries used last, by a global top-k."""
     return entries.orderBy(F.desc("last_used"), F.desc("entry_id")).limit(most)
