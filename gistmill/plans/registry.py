@@ -804,8 +804,10 @@ def stream_once(spark, sf):
     return _stream(spark, sf, "once", lambda e: events.once(e.select("ts", F.col("props").alias("original")), "2 hours"), "append").select("hash")
 
 
-@query()
+@query("""with e as (select user_id, ts, value, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minutes then 0 else 1 end as new from events),
+s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from e) select user_id, count(*) as n, round(sum(value), 4) as value from s group by user_id, k""")
 def stream_sessions(spark, sf):
     from ..streaming import events
 
-    return _stream(spark, sf, "sessions", events.sessions, "append").select("user_id", "n", _r("value", 4).alias("value"))
+    # complete: also those that are still open when the events end
+    return _stream(spark, sf, "sessions", events.sessions, "complete").select("user_id", "n", _r("value", 4).alias("value"))
