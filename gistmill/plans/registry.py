@@ -528,11 +528,14 @@ def code_compress(spark, sf):
 # Relevance, vectors, guards.
 
 
-@query(r"""with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from documents), c as (select count(*) as n, avg(len(w)) as mean from w),
+_BM25 = r"""with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from documents), c as (select count(*) as n, avg(len(w)) as mean from w),
 q as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as term from benchmark),
 tf as (select doc_id, term, count(*) as tf, any_value(dl) as dl from (select doc_id, len(w) as dl, unnest(w) as term from w) group by all), df as (select term, count(*) as df from tf group by term),
 s as (select item_id as query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) as score from q join tf using (term) join df using (term), c group by all)
-select query_id, doc_id, round(score, 5) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from s) where rank <= 5""")
+select query_id, doc_id, round(score, 5) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from s) where rank <= 5"""
+
+
+@query(_BM25)
 def bm25_topk(spark, sf):
     q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     scored = relevance.bm25(q, _t(spark, sf, "documents"))
@@ -581,11 +584,11 @@ def shared_context(spark, sf):
     return store.fold_context(_facts(spark, sf)).select("ctx_id", F.size("items").alias("n"))
 
 
-@query()
+@query(f"select query_id, doc_id as id, score, rank from ({_BM25})")
 def memory_search(spark, sf):
     q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     m = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return store.search_memory(q, m).select("query_id", "id", _r("score").alias("score"), "rank")
+    return store.search_memory(q, m).select("query_id", "id", _r("score", 5).alias("score"), "rank")
 
 
 # Budgets, images, prices.
@@ -715,7 +718,9 @@ def predict_tokens(spark, sf):
     return chat.predicted(_messages(spark, sf)).withColumn("confidence", _r("confidence"))
 
 
-@query()
+@query(f"""with {MESSAGES}, m as (select *, min(case when role = 'system' then msg_index end) over (partition by conv_id) as first from messages),
+told as (select role, case when msg_index <> first or first is null then content when coalesce(content, '') = '' then '{chat.LEVELS["balanced"]}' else content || chr(10) || chr(10) || '{chat.LEVELS["balanced"]}' end as content from m
+union all select 'system', '{chat.LEVELS["balanced"]}' from (select distinct conv_id from m where first is null)) select role, count(*) as n, sum(length(content))::bigint as chars from told group by role""")
 def output_reduction(spark, sf):
     return chat.reduce_output(_messages(spark, sf)).groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
