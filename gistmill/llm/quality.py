@@ -9,9 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, columns_of, whole_text
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\x20\t\n\x0b\x0c\r"
@@ -154,22 +153,27 @@ def quality(docs: DataFrame, least: float = 0.5, scratch: Scratch | None = None)
 def kept_rows(docs: DataFrame, least: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that quality() keeps.
 
-    Rows are measured once and written with their vote patterns to the shared folder; nothing is shuffled but counts.
+    Texts are measured once; what is written to the shared folder is their vote patterns under 128-bit hashes of the
+    texts, not the texts, and then the distinct hashes that are rejected, which an anti-join takes out. Rows with equal
+    texts get the same verdict.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    at = docs.columns.index("text")
-    mark = next(c for c in ("pattern" + "_" * k for k in range(len(docs.columns) + 1)) if c not in docs.columns)
+    text = whole_text(F.col("text"))
+    keys = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [measures(x.as_py() or "") for x in b.column(at)]
+            rows = [measures(x.as_py()) for x in b.column(0)]
             patterns = [(sum(v * 3**k for k, v in enumerate(votes(*r))), r[0] < 20 or 100 * r[4] > 30 * r[0]) for r in rows]
             # rows that fail the base rules vote, but are negative, as they can't be kept
             own = pa.array([-1 - p if failed else p for p, failed in patterns], pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, own], [*b.schema.names, mark])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), own], ["k1", "k2", "pattern"])
 
-    marked = scratch.save(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(mark, T.IntegerType())])), "measured")
-    pattern = F.when(F.col(mark) < 0, -1 - F.col(mark)).otherwise(F.col(mark))
+    marked = scratch.save(docs.select(text.alias("text"), *keys).mapInArrow(run, "k1 long, k2 long, pattern int"), "patterns")
+    pattern = F.when(F.col("pattern") < 0, -1 - F.col("pattern")).otherwise(F.col("pattern"))
     found = {r["p"]: r["count"] for r in marked.groupBy(pattern.alias("p")).count().collect()}
     good = [p for p, x in estimate(found).items() if round(x, 12) >= least]
-    return marked.filter(F.col(mark).isin(good)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rejected = scratch.save(marked.filter(~F.col("pattern").isin(good)).select("k1", "k2").distinct(), "rejected")
+    scratch.drop(marked)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, *keys).join(rejected, ["k1", "k2"], "left_anti").select(*columns_of(docs))
