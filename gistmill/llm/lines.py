@@ -34,6 +34,7 @@ def suffix_levels(distinct: DataFrame, scratch: Scratch, longest: int) -> list[D
         names = scratch.save(_ranked(pairs, keys), "ranks")
         late = F.struct("_did", "_sub", "line") > F.col("first")
         level = scratch.save(pairs.join(names, keys).select("_did", "_sub", "line", "rank", "bytes", late.alias("late")), "level")
+        scratch.drop(names)
         if level.limit(1).count() == 0:
             return levels
         step = 2 ** len(levels)
@@ -90,11 +91,15 @@ def late_runs(distinct: DataFrame, min_bytes: int, scratch: Scratch) -> DataFram
         .join(ranks.withColumnsRenamed({"at": "t", "rank": "r2"}), ["_did", "_sub", "k", "t"])
     )
     named = scratch.save(named.select("_did", "_sub", "s", "e", "m", "r1", "r2"), "named")
+    for x in (*levels, runs):
+        scratch.drop(x)
     at = F.struct("_did", "_sub", "s")
     first = named.groupBy("m", "r1", "r2").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1").drop("n")
     late = named.join(first, ["m", "r1", "r2"]).filter(at > F.col("first"))
     r = F.struct(F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
-    return late.groupBy("_did", "_sub").agg(merged(F.collect_list(r)).alias("runs"))
+    out = scratch.save(late.groupBy("_did", "_sub").agg(merged(F.collect_list(r)).alias("runs")), "late")
+    scratch.drop(named)
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_bytes: int = 40, scratch: Scratch | None = None) -> DataFrame:
