@@ -225,16 +225,36 @@ def similar_sets(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
         need = F.ceil(least / (1 + least) * (x["n"] + y["n"]) - 1e-9)
         return (x["n"] >= least * y["n"] - 1e-9) & (F.least(x["n"] - x["p"], y["n"] - y["p"]) >= need)
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs.distinct(), "pairs")
+    def met(pairs: DataFrame, *columns: F.Column) -> DataFrame:
+        """The pairs with n and `columns` of their two sets, a's and b's names ending in a and b."""
         ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "ids")
         few = F.broadcast(ids) if ids.count() <= WANTED else ids
-        wanted = scratch.save(sets.join(few, "c", "left_semi").groupBy("c").agg(F.first("n").alias("n"), F.first("sh").alias("sh")), "wanted")
-        left, right = (wanted.select(F.col("c").alias(k), F.col("n").alias("n" + k), F.col("sh").alias("sh" + k)) for k in "ab")
-        both = F.size(F.array_intersect("sha", "shb"))
-        met = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.alias("both"))
-        out = scratch.save(met.filter(F.col("both") >= least * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("a", "b"), "similar")
-        for x in (pairs, ids, wanted):
+        of = sets.join(few, "c", "left_semi").select("c", "n", *columns)
+        names = of.columns[1:]
+        wanted = scratch.save(of.groupBy("c").agg(*[F.first(x).alias(x) for x in names]), "wanted")
+        left, right = (wanted.select(F.col("c").alias(k), *[F.col(x).alias(x + k) for x in names]) for k in "ab")
+        out = pairs.join(left, "a").join(right, "b")
+        out.used = (ids, wanted)
+        return out
+
+    def enough(overlap):
+        return overlap >= least * (F.col("na") + F.col("nb") - overlap) - 1e-9
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that have the similarity. Few have, so most are told apart by a quarter of the hash space first.
+
+        There, hashes are cut to 32 bits: two sets share no more than their cut hashes share and those that one's cut hashes
+        hide, and elsewhere no more than the smaller one holds. So no similar pair goes; whole sets travel for the rest.
+        """
+        pairs = scratch.save(pairs.distinct(), "pairs")
+        quarter = F.filter("sh", lambda x: x.bitwiseAND(F.lit(3)) == 0)
+        cut = F.array_distinct(F.transform(quarter, lambda x: F.shiftright(x, 32).cast("int")))
+        brief = met(pairs, F.size(quarter).alias("q"), cut.alias("t"))
+        most = F.size(F.array_intersect("ta", "tb")) + F.col("qa") - F.size("ta") + F.least(F.col("na") - F.col("qa"), F.col("nb") - F.col("qb"))
+        close = scratch.save(brief.filter(enough(most)).select("a", "b"), "close")
+        whole = met(close, F.col("sh"))
+        out = scratch.save(whole.filter(enough(F.size(F.array_intersect("sha", "shb")))).select("a", "b"), "similar")
+        for x in (pairs, close, *brief.used, *whole.used):
             scratch.drop(x)
         return out
 
@@ -248,6 +268,8 @@ def similar_sets(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     other = rows.select("s", F.col("x").alias("y"), F.col("root").alias("root2"))
     meet = (F.col("root") != F.col("root2")) & (F.struct("x.n", "x.c") < F.struct("y.n", "y.c")) & could(F.col("x"), F.col("y"))
     second = similar(rows.join(other, "s").filter(meet).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
+    for x in (lists, rows):
+        scratch.drop(x)
     return first.unionByName(second)
 
 
