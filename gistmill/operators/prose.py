@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from hashlib import sha256
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.markers import text_marker
-from ..functions.text import content_hash, content_words, sentences, strip
+from ..functions.markers import PREFIX
+from ..functions.text import STOPWORDS, content_words, sentences, strip
 
 FENCE = "```"
 
@@ -56,22 +62,75 @@ def chosen(rows: DataFrame, ratio: float = 0.2) -> DataFrame:
     return rows.withColumn("keep", place <= k)
 
 
-def compress(blocks: DataFrame, ratio: float = 0.2, queries: DataFrame | None = None) -> DataFrame:
+_BLANK = r"[ \t\n\x0b\f\r]"  # Java's \\s, as in is_structural()
+_STRUCTURAL = re.compile(rf"#|[-*+]{_BLANK}|[0-9]+\.{_BLANK}|>|```|<|!\[")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_WORD = re.compile(r"(?<!\w)[a-zA-Z0-9]+(?!\w)")
+_STOP = frozenset(STOPWORDS)
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in _WORD.findall(text.lower()) if w not in _STOP]
+
+
+def elided(text: str, query: str | None = None, ratio: float = 0.2) -> tuple[str, list[tuple[str, str]]]:
+    """(new text, [(hash, original)]) of one text: what paragraphs(), scored() and chosen() say of it, put together."""
+    parts: list[tuple[list[str], bool]] = []  # the pieces of a paragraph, whether a fence opens or closes in it
+    open_ = False
+    for p in text.split("\n\n"):
+        odd = p.count(FENCE) % 2 == 1
+        if open_:
+            parts[-1][0].append(p)  # it began with a fence
+        else:
+            parts.append(([p], odd))
+        open_ ^= odd
+    whole = ["\n\n".join(ps) for ps, _ in parts]
+    prose = {i: [x for s in _SENTENCE.split(t) if (x := s.strip())] for i, (t, (_, fenced)) in enumerate(zip(whole, parts, strict=True)) if not (fenced or not (b := t.strip()) or _STRUCTURAL.match(b))}
+    words = {(i, k): _words(s) for i, ss in prose.items() for k, s in enumerate(ss)}
+    if not words:
+        return text, []
+    freq = Counter(w for ws in words.values() for w in ws)
+    asked = _words(query or "")
+
+    def score(i: int, k: int) -> float:
+        ws = words[i, k]
+        place = 3.0 if k == 0 else 1.5 if k == len(prose[i]) - 1 else 0.0
+        own = 1.0 + place + len(ws) * 0.01 - max(len(ws) - 30, 0) * 0.05 + sum(1.5 / (1.0 + freq[w]) for w in ws) / len(ws) if ws else 0.0
+        return own + 3.0 * sum(w in found for w in asked) if asked and (found := set(ws)) else own
+
+    order = sorted(words, key=lambda at: (-round(score(*at), 9), at))
+    keep = set(order[: max(1, round(len(words) * ratio))])
+    lost = []
+    for i, ss in prose.items():
+        made = []
+        for kept, run in groupby(enumerate(ss), lambda x: (i, x[0]) in keep):
+            run = [s for _, s in run]
+            if kept:
+                made += run
+            else:
+                original = "\n".join(run)
+                lost.append((key := sha256(original.encode()).hexdigest()[:16], original))
+                made.append(f"{PREFIX} {len(run)} prose-elided <<ccr:{key} {len(run)} prose-elided>>")
+        whole[i] = " ".join(made)
+    new = "\n\n".join(whole)
+    return (new, lost) if len(new) < len(text) else (text, [])
+
+
+def compress(blocks: DataFrame, ratio: float = 0.2, queries: DataFrame | Column | None = None) -> DataFrame:
     """(block_id, new_text, dropped): structural parts and the chosen sentences, a marker for each run of dropped ones in a
-    paragraph; the block as it is if that isn't shorter or has no sentence."""
-    parts = paragraphs(blocks)
-    rows = chosen(scored(parts, queries), ratio)
-    by = Window.partitionBy("block_id", "p_idx").orderBy("s_idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_run", F.when(F.col("keep"), F.col("s_idx")).otherwise(F.sum(F.col("keep").cast("int")).over(by) - 1_000_000))
-    runs = rows.groupBy("block_id", "p_idx", "_run").agg(F.array_sort(F.collect_list(F.struct("s_idx", "sentence"))).alias("ss"), F.first("keep").alias("keep"))
-    lost = F.when(~F.col("keep"), F.array_join("ss.sentence", "\n"))
-    runs = runs.withColumns({"at": F.get("ss.s_idx", F.lit(0)), "original": lost, "t": F.when(F.col("keep"), F.get("ss.sentence", F.lit(0))).otherwise(text_marker(F.col("ss.sentence"), "prose-elided"))})
-    made = runs.groupBy("block_id", "p_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), " ").alias("made"))
-    gone = runs.filter("original is not null").groupBy("block_id").agg(F.collect_list(F.struct(content_hash(F.col("original")).alias("hash"), "original")).alias("d"))
-    whole = parts.join(made, ["block_id", "p_idx"], "left")
-    t = F.when(F.col("structural"), F.col("text")).otherwise(F.coalesce("made", F.lit("")))
-    text = whole.groupBy("block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_idx", t.alias("t")))), lambda x: x["t"]), "\n\n").alias("t"), F.max("made").isNotNull().alias("any"))
-    out = blocks.select("block_id", "text").join(text, "block_id").join(gone, "block_id", "left")
-    better = F.col("any") & (F.length("t") < F.length("text"))
-    none = F.expr("cast(array() as array<struct<hash: string, original: string>>)")
-    return out.select("block_id", F.when(better, F.col("t")).otherwise(F.col("text")).alias("new_text"), F.when(better, F.coalesce("d", none)).otherwise(none).alias("dropped"))
+    paragraph; the block as it is if that isn't shorter or has no sentence. queries: (block_id, query), or a column of blocks.
+
+    Each text is handled for itself by elided(), so nothing is shuffled; a text is the largest unit that one task holds.
+    """
+
+    @F.pandas_udf("struct<new_text: string, dropped: array<struct<hash: string, original: string>>>")
+    def run(texts: pd.Series, asked: pd.Series) -> pd.DataFrame:
+        done = [elided(t, q, ratio) for t, q in zip(texts, asked, strict=True)]
+        return pd.DataFrame([(t, [{"hash": h, "original": o} for h, o in lost]) for t, lost in done], columns=["new_text", "dropped"])
+
+    rows = blocks.filter("text is not null")
+    if isinstance(queries, DataFrame):
+        rows = rows.select("block_id", "text").join(queries.select("block_id", F.col("query").alias("_query")), "block_id", "left")
+        queries = F.col("_query")
+    asked = F.lit(None) if queries is None else queries
+    return rows.select("block_id", run("text", asked.cast("string")).alias("r")).select("block_id", "r.*")

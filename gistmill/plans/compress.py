@@ -58,7 +58,7 @@ def _code(blocks: DataFrame, c: Config) -> DataFrame:
     """What is no Python or JavaScript, or too long, is treated as prose."""
     done = markup.apply(blocks, lambda t: markup.code(t, c.code_max_bytes) or (None, []))
     rest = blocks.join(done.filter("new_text is null").select("block_id"), "block_id", "left_semi")
-    return done.filter("new_text is not null").select("block_id", "new_text", "dropped").unionByName(prose.compress(rest, c.target_ratio, _queries(rest)))
+    return done.filter("new_text is not null").select("block_id", "new_text", "dropped").unionByName(prose.compress(rest, c.target_ratio, F.col("query")))
 
 
 #: Content type: (name, compressor). Each compressor maps (block_id, text, query) to (block_id, new_text, dropped).
@@ -70,8 +70,8 @@ DEFAULTS: dict[str, tuple[str, Compressor]] = {
     "code": ("code-compressor", _code),
     "html": ("html-extractor", lambda b, c: markup.apply(b, lambda t: markup.html_text(t, c.html_keep_links))),
     "csv": ("tabular", lambda b, c: tabular.compress(b, c.csv_keep_head, c.csv_keep_tail, c.csv_max_outliers)),
-    "markdown": ("text-compressor", lambda b, c: prose.compress(b, c.target_ratio, _queries(b))),
-    "text": ("text-compressor", lambda b, c: prose.compress(b, c.target_ratio, _queries(b))),
+    "markdown": ("text-compressor", lambda b, c: prose.compress(b, c.target_ratio, F.col("query"))),
+    "text": ("text-compressor", lambda b, c: prose.compress(b, c.target_ratio, F.col("query"))),
 }
 
 
