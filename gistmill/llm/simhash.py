@@ -76,9 +76,11 @@ def _paired(m: F.Column, reach) -> F.Column:
     return F.flatten(F.transform(m, lambda x, i: F.transform(F.slice(m, i + 2, reach), lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
 
-def links(classes: DataFrame, scratch: Scratch) -> DataFrame:
+def links(classes: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
     """(a, b): edges between distinct fingerprints (column fp) that give the components of all pairs within RADIUS bits.
 
+    With a radius of 3, the most that shared terms can promise, pairs 3 bits apart are added that share no long list.
+
     The index posts each fingerprint under every choice of 5 of its 8 (position, byte) pairs, 56 terms in all. Two
     fingerprints that differ in two bits agree on 6 positions or more and so share 6 terms at least, others by chance one.
     Short lists: each gives its pairs, the terms that a pair shares are tallied over all lists, pairs under the
@@ -98,7 +100,8 @@ def links(classes: DataFrame, scratch: Scratch) -> DataFrame:
     m = F.col("m")
     met = lists.filter(F.col("n") <= SHORT).groupBy("i", "v").agg(F.array_sort(F.collect_list("fp")).alias("m"))
     tallied = met.select(F.explode(_paired(m, F.lit(SHORT))).alias("p")).groupBy(F.col("p.x").alias("a"), F.col("p.y").alias("b")).agg(F.count("*").alias("shared"))
-    pairs = tallied.filter((F.col("shared") >= SHARED) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b")
+    shared = comb(BYTES - radius, TERM)  # SHARED for RADIUS
+    pairs = tallied.filter((F.col("shared") >= shared) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
 
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(64)])
     near = (
@@ -112,7 +115,9 @@ def links(classes: DataFrame, scratch: Scratch) -> DataFrame:
         .select(F.explode("m").alias("a"), F.array_min("m").alias("b"))
         .filter("a != b")
     )
-    return pairs.unionByName(near)
+    out = pairs.unionByName(near)
+    out.used = (lists,)
+    return out
 
 
 def _components(nodes: DataFrame, edges: DataFrame, key: str, scratch: Scratch, *least: str) -> DataFrame:
@@ -178,13 +183,13 @@ def least_overlap(share: float, n):
     return np.ceil(share * n - 1e-9).astype(int)
 
 
-def postings(sets: DataFrame, common: dict[int, int], least: float) -> DataFrame:
+def postings(sets: DataFrame, keys: np.ndarray, counts: np.ndarray, least: float) -> DataFrame:
     """(s, c, n, p): the rarest shingles of each set, with their place p in the order from rare to common.
 
+    keys: common shingles in ascending order; counts: how often each was found.
+
     Two sets of similarity `least` share a shingle among the first n - least * n + 1 of each, whatever the order.
     """
-    keys = np.array(sorted(common), np.int64)
-    counts = np.array([common[k] for k in keys.tolist()], np.int64)
 
     def run(batches):
         for b in batches:
@@ -205,19 +210,35 @@ def postings(sets: DataFrame, common: dict[int, int], least: float) -> DataFrame
     return sets.select("c", "n", "sh").mapInArrow(run, "s long, c long, n int, p int")
 
 
+def fingerprint_pairs(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of the c of sets (c, fp) that the inverted index finds, to be compared: each c of a fingerprint with its
+    least, and the least of two fingerprints that differ in 3 bits or fewer (see links)."""
+    classes = scratch.save(sets.groupBy("fp").agg(F.min("c").alias("c")), "fingerprints")
+    index = links(classes.select("fp"), scratch, RADIUS + 1)
+    left, right = (classes.select(F.col("fp").alias(k), F.col("c").alias("c" + k)) for k in "ab")
+    across = index.join(left, "a").join(right, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    equal = sets.select("fp", F.col("c").alias("a")).join(classes.withColumnRenamed("c", "b"), "fp").select("a", "b")
+    out = scratch.save(across.unionByName(equal).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
+    for x in (classes, *index.used):
+        scratch.drop(x)
+    return out
+
+
 def similar_sets(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """(a, b): edges between the c of sets (c, n, sh) that give the components of all pairs of similarity `least`; rows may repeat.
+    """(a, b): edges between the c of sets (c, fp, n, sh) that give the components of all pairs of similarity `least`; rows may repeat.
 
-    Similar sets meet in the list of a rare shingle (see postings). All pairs of a short list are compared by
-    their whole sets; in a long list first those next to each other in size. Then pairs of long lists are compared whose
-    sets aren't connected yet, so that a large group of near copies, once joined, gives no pairs. No list is cut.
+    Pairs that the index of SimHash fingerprints finds are compared first, by their exact sets, and join what they can.
+    Similar texts can differ in more bits than any such index reaches; these meet in the list of a rare shingle (see
+    postings), where only sets that aren't connected yet are compared: all pairs of a short list; in a long list first
+    those next to each other in size. Then pairs of long lists are compared whose sets still aren't connected, so that a
+    large group of near copies, once joined, gives no pairs. No list is cut.
     """
     total = sets.count()
     sample = sets.filter(F.pmod(F.xxhash64("c"), F.lit(max(1, total // SAMPLED))) == 0)
     often = sample.select(F.explode("sh").alias("s")).groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(COMMON)
-    common = {r["s"]: r["count"] for r in often.collect()}
+    common = often.orderBy("s").toArrow()  # columns, not rows: a small part of the driver's memory
     x = F.struct("n", "c", "p")
-    lists = postings(sets, common, least).groupBy("s").agg(F.collect_set(x).alias("m")).filter(F.size("m") > 1).withColumn("m", F.array_sort("m"))
+    lists = postings(sets, common.column("s").to_numpy(), common.column("count").to_numpy(), least).groupBy("s").agg(F.collect_set(x).alias("m")).filter(F.size("m") > 1).withColumn("m", F.array_sort("m"))
     lists = scratch.save(lists, "lists")
 
     def could(x, y):
@@ -258,8 +279,18 @@ def similar_sets(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
             scratch.drop(x)
         return out
 
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs whose sets have different roots, or none."""
+        for k in "ab":
+            pairs = pairs.join(roots.select(F.col("node").alias(k), F.col("root").alias("r" + k)), k, "left")
+        return pairs.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+    found = fingerprint_pairs(sets, scratch)
+    by_print = similar(found)
+    scratch.drop(found)
     m, reach = F.col("m"), F.when(F.size("m") <= SHORT, SHORT).otherwise(1)
-    first = similar(lists.select(F.explode(F.filter(_paired(m, reach), lambda q: could(q["x"], q["y"]))).alias("q")).select(F.col("q.x.c").alias("a"), F.col("q.y.c").alias("b")))
+    met_in_lists = lists.select(F.explode(F.filter(_paired(m, reach), lambda q: could(q["x"], q["y"]))).alias("q")).select(F.col("q.x.c").alias("a"), F.col("q.y.c").alias("b"))
+    first = by_print.unionByName(similar(apart(met_in_lists.distinct(), connected_components(by_print, scratch))))
     roots = connected_components(first, scratch)
     rows = lists.filter(F.size("m") > SHORT).select("s", F.explode("m").alias("x"))
     rows = rows.join(roots, F.col("x.c") == roots.node, "left").select("s", "x", F.coalesce("root", "x.c").alias("root"))
@@ -279,7 +310,7 @@ def _labelled(docs: DataFrame, scratch: Scratch, words: int, least: float) -> tu
     rows = scratch.save(sets.select("doc_id", "k1", "k2", "fp", "c"), "rows")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
     nodes = scratch.save(rows.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(first).alias("first")), "classes")
-    edges = similar_sets(sets.filter("n > 0").select("c", "n", "sh"), least, scratch)
+    edges = similar_sets(sets.filter("n > 0").select("c", "fp", "n", "sh"), least, scratch)
     scratch.drop(sets)
     return rows, _components(nodes, edges, "c", scratch, "component_id", "first")
 
@@ -290,8 +321,8 @@ def near_copies(docs: DataFrame, scratch: Scratch | None = None, words: int = 5,
     Documents link if the Jaccard similarity of their sets of `words`-word shingles is `least` or more; component_id is
     the smallest doc_id reachable. Words, short and empty texts, null ids, repeats and empty tables are as in
     near_duplicates(). Such texts differ in about 10 bits of a SimHash and may in over 20, and blocks for that radius
-    would hold a sixth of the corpus each; so candidates meet by their rarest shingles, which loses none, and are
-    compared exactly. Equal 64-bit hashes count as equal shingles and as equal sets.
+    would hold a sixth of the corpus each; so those that differ in 3 bits or fewer meet in the index of fingerprints, the
+    rest by their rarest shingles, which loses none, and all are compared exactly. Equal 64-bit hashes count as equal shingles and as equal sets.
     """
     rows, labelled = _labelled(docs, scratch or Scratch(docs.sparkSession), words, least)
     return rows.join(labelled, "c", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,6 +1,7 @@
 import corpus_pipeline
 import numpy as np
 from gistmill.llm import simhash
+from gistmill.llm.common import Scratch
 
 
 def sets(texts):
@@ -62,3 +63,22 @@ def test_stage_drops_near_copies_that_differ_in_many_bits(spark):
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(far))], "doc_id long, text string")
     assert bin(simhash.fingerprint(" ".join(base).encode()) ^ simhash.fingerprint(" ".join(copy).encode())).count("1") > 2
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {1, 3}
+
+
+def test_fingerprints_in_the_index_link_first(spark):
+    texts = texts_of(np.random.default_rng(7))
+    sets_ = simhash.shingle_sets(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 5)
+    scratch = Scratch(spark)
+    got = {(r["a"], r["b"]) for r in simhash.fingerprint_pairs(sets_.filter("n > 0"), scratch).collect()}
+    prints = {r["c"]: r["fp"] & (2**64 - 1) for r in sets_.filter("n > 0").collect()}
+    near = {(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3}
+    assert got and got <= near
+    # what near_copies() links includes what the index finds and the sets confirm
+    calls = []
+    real = simhash.fingerprint_pairs
+    try:
+        simhash.fingerprint_pairs = lambda *a: calls.append(1) or real(*a)
+        corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "").count()
+    finally:
+        simhash.fingerprint_pairs = real
+    assert calls
