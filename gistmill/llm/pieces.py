@@ -247,7 +247,9 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
     rows, distinct = keyed(docs.select("doc_id", "text"))
     cut = scratch.save(spelled(lattice(counted(distinct.select("_text"), model), model), model), "cuts")
     often = most_frequent(cut, frequent)
-    known: dict[str, bytes] = {r["word"]: bytes(r["ids"]) for r in cut.filter(often).collect()}
+    found = cut.filter(often).select("word", "ids").toArrow()  # columns, not rows: a small part of the driver's memory
+    known: dict[str, bytes] = dict(zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True))
+    del found
     words = frozenset(known)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
