@@ -16,6 +16,10 @@ from ..operators import diff, logs, markup, prose, search, tabular
 
 Compressor = Callable[[DataFrame, "Config"], DataFrame]
 
+#: Setting that bounds the bytes of texts in a batch that goes to Python, Spark's default, and what stands in its place
+#: (never in that of a value that the user chose).
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+
 
 @dataclass(frozen=True)
 class Config:
@@ -111,6 +115,9 @@ def compress_blocks(blocks: DataFrame, c: Config | None = None) -> DataFrame:
     rows that are equal in all three are compressed once and each get the result.
     """
     c = c or Config()
+    key, default, value = BATCH
+    if blocks.sparkSession.conf.get(key, default) == default:
+        blocks.sparkSession.conf.set(key, value)
     parts = [x for f in ("block_id", "query", "text") for x in (F.col(f).isNull(), F.col(f))]
     routed = route(blocks, c).withColumn("_key", F.concat(F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit(1), *parts))))
     none = F.expr("cast(array() as array<struct<hash: string, original: string>>)")
