@@ -12,6 +12,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,10 @@ from .common import Scratch, keyed
 SPACE = "▁"
 #: Words of up to so many characters are folded over a mask of 64 boundaries; longer ones merge in a heap.
 MASKED = 62
-#: Most words whose ids are broadcast (about 20 MB), and most chunks that a task remembers; other words' ids are joined
-#: to their documents.
+#: Most words whose ids are broadcast (about 20 MB); other words' ids are joined to their documents.
 FREQUENT = 200_000
+#: Chunks of several frequent words that a task remembers.
+REMEMBERED = 100_000
 #: Words that a task counts before it passes them on.
 HELD = 100_000
 
@@ -40,7 +42,7 @@ class Model:
     byte: list[int]
     unknown: int
     text: list[str | int] = field(default_factory=list)  # of each id: its text, its byte, or '' if it stands for none
-    raw: np.ndarray | None = None
+    raw: pa.Array | None = None
     word: str = ""  # the pattern of words
     marks: frozenset[str] = frozenset()  # marks that no piece has after a letter
 
@@ -75,6 +77,14 @@ class Model:
             return [c[1:] for c in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
         return text.split(" ") if text else []
 
+    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct chunks of texts; of all their chunks, in order, the numbers in these; the texts' ends in those, 0 first."""
+        plain = [(" ".join(self.chunks(t)) if "  " in t or SPACE in t or t[0] == " " or t[-1] == " " else t) if t else None for t in texts]
+        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        every = lists.flatten().dictionary_encode()
+        ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(lists).to_pylist())])
+        return every.dictionary.to_numpy(zero_copy_only=False).tolist(), every.indices.to_numpy(), ends
+
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk, as self.word finds them. Letters alone, or with one mark behind them, need no search."""
         if self.marks:
@@ -100,12 +110,34 @@ class Model:
         """The type of packed ids, of 2 bytes where they fit."""
         return "H" if len(self.text) <= 1 << 16 else "i"
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: bytes are joined to characters, the space put before a text is taken off."""
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of ids cut at ends (0 first): bytes are joined to characters, the space put before a text is taken off."""
         if self.raw is None:
-            self.raw = np.array([bytes([t]) if isinstance(t, int) else t.encode() for t in self.text], object)
-        out = b"".join(self.raw[ids].tolist())
-        return out.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+            self.raw = pa.array([bytes([t]) if isinstance(t, int) else t.encode() for t in self.text], pa.large_binary())
+        data, at = gathered(self.raw, ids)
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(at[ends]), data])
+        try:
+            texts = whole.cast(pa.large_string())
+        except pa.ArrowInvalid:  # bytes that are no characters
+            texts = pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.large_string())
+        return pc.replace_substring_regex(pc.replace_substring(texts, SPACE, " "), "^ ", "", max_replacements=1).cast(pa.string())
+
+
+def gathered(values: pa.Array, at: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """The bytes of values (large_binary) at given places, joined, and the end of each in these, 0 first."""
+    if not len(at):
+        return pa.py_buffer(b""), np.zeros(1, np.int64)
+    taken = values.take(pa.array(at))
+    return taken.buffers()[2], np.frombuffer(taken.buffers()[1], np.int64, len(at) + 1)
+
+
+def places(lost: dict[int, list[str]], n: int, at: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, list[str]]]:
+    """(text, words) of the chunks of Model.split() that are in `lost` by their numbers (of n), in order."""
+    if lost:
+        some = np.zeros(n, bool)
+        some[list(lost)] = True
+        where = np.flatnonzero(some[at])
+        yield from zip((np.searchsorted(ends, where, "right") - 1).tolist(), map(lost.__getitem__, at[where].tolist()), strict=True)
 
 
 def merged_cuts(word: str, rank: dict[str, int]) -> list[int]:
@@ -136,46 +168,67 @@ def merged_cuts(word: str, rank: dict[str, int]) -> list[int]:
     return [after[s] for s in range(n) if alive[s]]
 
 
+def may_come_late(rank: dict[str, int]) -> set[str]:
+    """Pieces after whose merge an earlier one can become possible: a piece of lower rank that consists of such a piece and
+    one more symbol. (What a merge makes possible has it at one end; with something at both, two boundaries would be left.)"""
+    late = set()
+    for piece, r in rank.items():
+        for k in range(1, len(piece)):
+            a, b = piece[:k], piece[k:]
+            if (len(a) == 1 or a in rank) and (len(b) == 1 or b in rank):
+                late.update(x for x in (a, b) if rank.get(x, -1) > r)
+    return late
+
+
 def lattice(vocabulary: DataFrame, model: Model) -> DataFrame:
     """(word, n, mask): vocabulary (word, n) with the boundaries of each word's pieces, bit i for a cut after i characters.
 
-    A word's substrings of up to the longest piece's length are exploded and equi-joined to the table of pieces; what
-    matches are the edges of its lattice, grouped by word in the order in which pieces merge. A higher-order aggregate
-    folds them over the mask of boundaries, all set at first: an edge whose ends are boundaries with exactly one boundary
+    A word's substrings of the sizes that pieces with the same first three characters have are exploded and equi-joined to the
+    table of pieces; what matches are the edges of its lattice, grouped by word in the order in which pieces merge. A
+    higher-order aggregate folds them over the mask of boundaries, all set at first: an edge whose ends are boundaries with exactly one boundary
     between takes that one away. One pass is exact unless a merge makes an earlier edge possible after its turn; the fold
-    checks that at each merge and then leaves mask null, as it is for words over MASKED characters. The table of pieces
-    is a fixed part of the model and is broadcast. Groups stay where the vocabulary's own exchange has put the words.
+    checks that at each merge of a piece of may_come_late() and then leaves mask null, as it is for words over MASKED
+    characters. The tables of pieces and sizes are fixed parts of the model and are broadcast. Groups stay where the vocabulary's own exchange has put the words.
     """
     spark = vocabulary.sparkSession
-    table = spark.createDataFrame(list(model.rank.items()), "piece string, r int")
-    longest = max(map(len, model.rank), default=2)
+    late = may_come_late(model.rank)
+    table = spark.createDataFrame([(p, r, p in late) for p, r in model.rank.items()], "piece string, r long, late boolean")
+    sizes: dict[str, set[int]] = {}  # of pieces by their first three characters; pairs are looked up anywhere
+    for p in model.rank:
+        if len(p) > 2:
+            sizes.setdefault(p[:3], {2}).add(len(p))
+    sized = spark.createDataFrame([(p, sorted(x)) for p, x in sizes.items()], "first string, sizes array<int>")
     folded = F.col("len").between(2, MASKED)
     # the outer forms keep words that have no edge, so that the vocabulary is read once
     starts = vocabulary.withColumn("len", F.char_length("word")).select("word", "n", "len", F.explode_outer(F.when(folded, F.sequence(F.lit(0), F.col("len") - 2))).alias("s"))
-    ends = F.when(F.col("s").isNotNull(), F.sequence(F.col("s") + 2, F.least(F.col("s") + longest, F.col("len"))))
-    spans = starts.select("word", "n", "s", F.explode_outer(ends).alias("e"))
-    hits = spans.select("word", "n", "s", "e", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")).alias("piece")).join(F.broadcast(table), "piece", "left")
+    starts = starts.withColumn("first", F.substring("word", F.col("s") + 1, F.lit(3))).join(F.broadcast(sized), "first", "left")
+    of = F.when(F.col("s").isNotNull(), F.coalesce("sizes", F.array(F.lit(2))))
+    spans = starts.select("word", "n", "len", "s", F.explode_outer(of).alias("size")).withColumn("e", F.col("s") + F.col("size")).filter("s is null or e <= len")
+    hits = spans.select("word", "n", "s", "e", F.substring("word", F.col("s") + 1, F.col("size")).alias("piece")).join(F.broadcast(table), "piece", "left")
     # of substrings that are no piece only a word's first stays, for words without edges
     hits = hits.filter("r is not null or s is null or (s = 0 and e = 2)")
+    # an edge is a number that sorts by rank and start: rank, start and end (6 bits each, as MASKED is under 64), late
+    edge = ((F.col("r") * 64 + F.col("s")) * 64 + F.col("e")) * 2 + F.col("late").cast("int")
+    edges = hits.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
     one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c)
-    s, e = F.col("s"), F.col("e")
-    edge = F.struct("r", "s", one(s).bitwiseOR(one(e)).alias("ends"), (one(e) - one(s + 1)).alias("inner"))
-    edges = hits.groupBy("word").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("r").isNotNull(), edge))).alias("edges"))
+    start, end = (lambda x, k=k: F.shiftright(x, k).bitwiseAND(F.lit(63)).cast("int") for k in (7, 1))
+    inner = lambda x: one(end(x)) - one(start(x) + 1)
 
     def fits(mask, x):
-        return (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1)
+        at = lambda k: F.call_function("shiftright", mask, k).bitwiseAND(F.lit(1)) == 1
+        return at(start(x)) & at(end(x)) & (F.bit_count(mask.bitwiseAND(inner(x))) == 1)
 
     def fold(mask, x):
-        cut = mask.bitwiseAND(F.bitwise_not(x["inner"]))
-        late = F.exists("edges", lambda y: (y["r"] < x["r"]) & fits(cut, y))
-        return F.when(mask.isNull() | ~fits(mask, x), mask).when(late, F.lit(None)).otherwise(cut)
+        cut = mask.bitwiseAND(F.bitwise_not(inner(x)))
+        missed = (x.bitwiseAND(F.lit(1)) == 1) & F.exists("edges", lambda y: (F.shiftright(y, 13) < F.shiftright(x, 13)) & fits(cut, y))
+        return F.when(mask.isNull() | ~fits(mask, x), mask).when(missed, F.lit(None)).otherwise(cut)
 
     length = F.char_length("word")
     full = one(length + 1) - 1
     return edges.select("word", "n", F.when(length <= MASKED, F.aggregate("edges", full, fold)).alias("mask"))
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that only few texts and ids are Python objects at a time."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
@@ -202,20 +255,23 @@ def counted(texts: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out(chunks: dict[str, int]) -> pa.RecordBatch:
             found: dict[str, int] = {}
-            for chunk, n in held.items():  # a chunk is cut to words once, however often it occurs
+            for chunk, n in chunks.items():  # a chunk is cut to words once, however often it occurs
                 for w in model.words(chunk):
                     found[w] = found.get(w, 0) + n
-            held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
 
-        for b in _small(batches):
+        for b in _small(batches, 128):
             for t in b.column(0):
                 held.update(model.chunks(t.as_py()))
-                if len(held) > HELD:
-                    yield from out()
-        yield from out()
+            if len(held) > HELD:  # chunks met once go first, as they are the least likely to come again
+                once = {c: n for c, n in held.items() if n == 1}
+                if 2 * len(once) < len(held):
+                    once = held
+                yield out(once)
+                held = Counter({c: n for c, n in held.items() if n > 1} if once is not held else {})
+        yield out(held)
 
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -250,28 +306,34 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
     found = cut.filter(often).select("word", "ids").toArrow()  # columns, not rows: a small part of the driver's memory
     known: dict[str, bytes] = dict(zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True))
     del found
-    words = frozenset(known)
+    # words of letters after a space, which mostly are whole chunks, are kept by these
+    alone = {w[1:]: known.pop(w) for w in list(known) if w[0] == SPACE and w[1:].isalpha()}
+    chunks, words = frozenset(alone), frozenset(known)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fine: set[str] = set()  # chunks of frequent words alone
         for b in _small(batches):
-            dids, subs, numbers, found = array("q"), array("i"), array("i"), []
-            for did, sub, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own: dict[str, None] = {}
-                for chunk in dict.fromkeys(model.chunks(t)):
-                    if chunk in fine:
-                        continue
-                    lost = [w for w in model.words(chunk) if w not in words]
-                    if lost:
-                        own.update(dict.fromkeys(lost))
-                    elif len(fine) < FREQUENT:
-                        fine.add(chunk)
-                dids.extend([did] * len(own))
-                subs.extend([sub] * len(own))
-                numbers.extend(range(len(own)))
-                found.extend(own)
-            cols = [pa.array(np.frombuffer(c, t)) for c, t in ((dids, np.int64), (subs, np.int32), (numbers, np.int32))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.string())], ["_did", "_sub", "i", "word"])
+            dids, subs, texts = (c.to_pylist() for c in b.columns)
+            every, at, ends = model.split(texts)
+            lost: dict[int, list[str]] = {}
+            for k, chunk in enumerate(every):
+                if chunk in chunks or chunk in fine:
+                    continue
+                if chunk.isalpha():
+                    lost[k] = [SPACE + chunk]
+                elif some := [w for w in model.words(chunk) if w not in words and not (w[0] == SPACE and w[1:] in chunks)]:
+                    lost[k] = some
+                elif len(fine) < REMEMBERED:
+                    fine.add(chunk)
+            of: list[dict[str, None]] = [{} for _ in texts]
+            for d, some in places(lost, len(every), at, ends):
+                for w in some:
+                    of[d][w] = None
+            sizes = list(map(len, of))
+            numbers = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            cols = [pa.array(np.repeat(np.array(c, t), sizes)) for c, t in ((dids, np.int64), (subs, np.int32))]
+            cols += [pa.array(numbers), pa.array([w for o in of for w in o], pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["_did", "_sub", "i", "word"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
@@ -283,35 +345,48 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
         z = zstandard.ZstdDecompressor()
         memo: dict[str, bytes] = {}  # of chunks of frequent words alone
 
-        def whole(chunks: list[str], numbers: np.ndarray, own: list[bytes]) -> bytes:
-            """The ids of a text; own: those of its words that aren't frequent, under their numbers."""
-            rare_words: dict[str, bytes] = {}
-            in_order = iter([own[k] for k in np.argsort(numbers).tolist()])
-            out = list(map(memo.get, chunks))
-            for at, x in enumerate(out):
-                if x is None:
-                    chunk, lost = chunks[at], False
-                    parts = []
-                    for w in model.words(chunk):
-                        if (got := known.get(w)) is None:
-                            lost = True
-                            if (got := rare_words.get(w)) is None:
-                                got = rare_words[w] = next(in_order)
-                        parts.append(got)
-                    out[at] = data = b"".join(parts)
-                    if not lost and len(memo) < FREQUENT:
-                        memo[chunk] = data
-            return b"".join(out)
-
         for b in _small(batches):
             texts = [z.decompress(t.as_buffer()).decode() if t.is_valid else None for t in b.column(1)]
-            every = b.column(2).flatten()
-            numbers, own = every.field("i").to_numpy(), every.field("ids").to_pylist()
-            ends = np.cumsum([0, *(n or 0 for n in b.column(2).value_lengths().to_pylist())]).tolist()
-            out = [whole(model.chunks(t or ""), numbers[a:e], own[a:e]) for t, a, e in zip(texts, ends, ends[1:], strict=False)]
-            flat = np.frombuffer(b"".join(out), model.code).astype(np.int32)
-            ends = np.cumsum([0, *map(len, out)]) // np.dtype(model.code).itemsize
-            again = [pa.array([model.decode(flat[a:e]) for a, e in zip(ends, ends[1:], strict=False)], pa.string())] if decoded else []
+            every, at, ends = model.split(texts)
+            found = list(map(alone.get, every))
+            lost: dict[int, list[str]] = {}  # words that aren't frequent, of chunks that have such
+            for k, x in enumerate(found):
+                if x is None and (data := memo.get(chunk := every[k])) is None:
+                    if chunk.isalpha():
+                        lost[k], found[k] = [SPACE + chunk], [None]
+                        continue
+                    ws = model.words(chunk)
+                    parts = [known.get(w) or (alone.get(w[1:]) if w[0] == SPACE else None) for w in ws]
+                    if None in parts:
+                        lost[k] = [w for w, p in zip(ws, parts, strict=True) if p is None]
+                        found[k] = parts
+                        continue
+                    found[k] = data = b"".join(parts)
+                    if len(memo) < REMEMBERED:
+                        memo[chunk] = data
+                elif x is None:
+                    found[k] = data
+            # a text's own ids come under the numbers of such words in the order in which they first occur
+            own = b.column(2).flatten()
+            numbers, own = own.field("i").to_numpy(), own.field("ids").to_pylist()
+            starts = np.cumsum([0, *(n or 0 for n in b.column(2).value_lengths().to_pylist())]).tolist()
+            met: dict[str, bytes] = {}
+            doc, seen, in_order = -1, set(), iter(())
+            for d, some in places(lost, len(every), at, ends):
+                if d != doc:
+                    doc, seen = d, set()
+                    in_order = iter([own[starts[d] + k] for k in np.argsort(numbers[starts[d] : starts[d + 1]]).tolist()])
+                for w in some:
+                    if w not in seen:
+                        seen.add(w)
+                        met[w] = next(in_order)
+            for k, some in lost.items():
+                rest = iter(some)
+                found[k] = b"".join([met[next(rest)] if p is None else p for p in found[k]])
+            data, cuts = gathered(pa.array(found, pa.large_binary()), at)
+            size = np.dtype(model.code).itemsize
+            flat, ends = np.frombuffer(data, model.code, cuts[-1] // size).astype(np.int32), cuts[ends] // size
+            again = [model.decoded(flat, ends)] if decoded else []
             cols = [b.column(0), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *again]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "ids", "decoded"][: len(cols)])
 
@@ -330,7 +405,9 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("ids")
         for b in _small(batches):
-            got = pa.array([None if not x.is_valid else model.decode(x.values.to_numpy()) for x in b.column(at)], pa.string())
+            every = [np.zeros(0, np.int32) if x is None else np.array(x, np.int32) for x in b.column(at).to_pylist()]
+            got = model.decoded(np.concatenate([np.zeros(0, np.int32), *every]), np.cumsum([0, *map(len, every)]))
+            got = pc.if_else(b.column(at).is_valid(), got, None)
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*names, "decoded"])
 
     encoded = encoded.drop("decoded")
