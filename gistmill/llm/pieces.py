@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import string
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 
@@ -228,13 +230,31 @@ def lattice(vocabulary: DataFrame, model: Model) -> DataFrame:
     return edges.select("word", "n", F.when(length <= MASKED, F.aggregate("edges", full, fold)).alias("mask"))
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that only few texts and ids are Python objects at a time."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
 
 
+def _released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker, which Spark keeps for later tasks, gives back what it doesn't use any more."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()  # what other operators' tasks left
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
+def trim() -> None:
+    """Gives free memory of Arrow and of the C library back to the system, where these can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def spelled(cuts: DataFrame, model: Model) -> DataFrame:
     """(word, n, ids): the ids of each word of lattice(), packed with model.code. A word without a mask merges in a heap."""
 
@@ -246,7 +266,7 @@ def spelled(cuts: DataFrame, model: Model) -> DataFrame:
                 out.append(array(model.code, model.ids_of(word, ends)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["word", "n", "ids"])
 
-    return cuts.mapInArrow(run, "word string, n long, ids binary")
+    return cuts.mapInArrow(_released(run), "word string, n long, ids binary")
 
 
 def counted(texts: DataFrame, model: Model) -> DataFrame:
@@ -273,7 +293,7 @@ def counted(texts: DataFrame, model: Model) -> DataFrame:
                 held = Counter({c: n for c, n in held.items() if n > 1} if once is not held else {})
         yield out(held)
 
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(_released(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def most_frequent(words: DataFrame, most: int) -> F.Column:
@@ -390,13 +410,13 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
             cols = [b.column(0), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *again]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "ids", "decoded"][: len(cols)])
 
-    found = distinct.select("_did", "_sub", "_text").mapInArrow(rare, "_did long, _sub int, i int, word string")
+    found = distinct.select("_did", "_sub", "_text").mapInArrow(_released(rare), "_did long, _sub int, i int, word string")
     met = scratch.save(found.join(cut.filter(~often).select("word", "ids"), "word").select("_did", "_sub", "i", "ids"), "rare")
     scratch.drop(cut)
     # dealt out as rows, which are smaller than lists of one
     own = met.repartition("_did", "_sub").groupBy("_did", "_sub").agg(F.collect_list(F.struct("i", "ids")).alias("own"))
-    texts = rows.select("_did", "_sub", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")).mapInArrow(packed, "_did long, _sub int, doc_id long, z binary")
-    return texts.join(own, ["_did", "_sub"], "left").select("doc_id", "z", "own").mapInArrow(ids, "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
+    texts = rows.select("_did", "_sub", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")).mapInArrow(_released(packed), "_did long, _sub int, doc_id long, z binary")
+    return texts.join(own, ["_did", "_sub"], "left").select("doc_id", "z", "own").mapInArrow(_released(ids), "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
