@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -233,18 +233,56 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from part(tokens(table), table, True)
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings of suffixes that meet across boundaries, each with 128 bits of its content."""
+def _reached(batches: Iterator[pa.RecordBatch], around: Callable[[np.ndarray, list[bytes]], np.ndarray]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows (with l and ctx), and how many leading bytes of around(l, ctx) each shares with a neighbour, which is the
+    most that it shares with any row. A bucket's first and last row may share all with a row of the next bucket."""
+    held: pa.Table | None = None
+    most = LENGTH  # what the row in held shares with the one before
     for b in batches:
         for at in range(0, b.num_rows, 2048):
-            did, sub, pos, left, ctx, known = b.slice(at, 2048).columns
-            left = left.to_numpy().astype(np.int64)
-            valid, h1, h2 = _strings(left, ctx.to_pylist())
-            bits = np.frombuffer(b"".join(known.to_pylist()), np.uint8).reshape(len(left), -1)
-            valid &= np.unpackbits(bits, axis=1)[:, : BEFORE + 1] == 0
-            who, start = np.nonzero(valid)
-            cols = [did.to_numpy()[who], sub.to_numpy()[who], pos.to_numpy()[who] - BEFORE + start, h1[valid].view(np.int64), h2[valid].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_did", "_sub", "s", "w1", "w2"])
+            table = pa.Table.from_batches([b.slice(at, 2048)])
+            table = table if held is None else pa.concat_tables([held, table])
+            rows = around(table["l"].to_numpy().astype(np.int64), table["ctx"].to_pylist())
+            differ = rows[1:] != rows[:-1]
+            common = np.r_[most, np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)]
+            held, most = table.slice(table.num_rows - 1), common[-1]
+            yield table.slice(0, table.num_rows - 1), np.maximum(common[:-1], common[1:])
+    if held is not None:
+        yield held, np.array([LENGTH])
+
+
+_MET = ["_did", "_sub", "s", "l", "ctx", "known"]
+
+
+def _ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a, the bytes from the token on that a suffix shares with another one at most, and back: the token and what stands
+    before it, read backwards. Sorted by ctx from the token on."""
+    for table, most in _reached(batches, lambda left, ctx: _rows(left, ctx)[0][:, BEFORE:]):
+        back = [c[x : x + LEAD] + c[:x][::-1] for x, c in zip(table["l"].to_pylist(), table["ctx"].to_pylist(), strict=True)]
+        yield from table.append_column("a", pa.array(most, pa.int32())).append_column("back", pa.array(back, pa.binary())).combine_chunks().to_batches()
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of suffixes that meet across boundaries, each with 128 bits of its content. Sorted by back.
+
+    A string that starts d bytes before a suffix can be another's only if the suffix shares LENGTH - d bytes from the token
+    on with one, and d bytes before the token with one; the rest isn't opened.
+    """
+    turned = np.r_[BEFORE : BEFORE + LEAD, BEFORE - 1 : -1 : -1]
+    d = BEFORE - np.arange(BEFORE + 1)
+    for table, most in _reached(batches, lambda left, ctx: _rows(left, ctx)[0][:, turned]):
+        left, ctx = table["l"].to_numpy().astype(np.int64), table["ctx"].to_pylist()
+        bits = np.frombuffer(b"".join(table["known"].to_pylist()), np.uint8).reshape(len(left), -1)
+        open_ = (d <= most[:, None] - LEAD) & (LENGTH - d <= table["a"].to_numpy()[:, None]) & (np.unpackbits(bits, axis=1)[:, : BEFORE + 1] == 0)
+        use = np.flatnonzero(open_.any(axis=1))
+        if not len(use):
+            continue
+        valid, h1, h2 = _strings(left[use], [ctx[k] for k in use])
+        valid &= open_[use]
+        who, start = np.nonzero(valid)
+        did, sub, pos = (table[c].to_numpy()[use[who]] for c in ("_did", "_sub", "s"))
+        cols = [did, sub, pos - BEFORE + start, h1[valid].view(np.int64), h2[valid].view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_did", "_sub", "s", "w1", "w2"])
 
 
 def removed_ranges(packed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -288,7 +326,12 @@ def removed_ranges(packed: DataFrame, scratch: Scratch) -> DataFrame:
     side = said.filter("ctx is not null").withColumns({"w1": F.xxhash64("l", "ctx"), "w2": F.xxhash64(F.lit(1), "l", "ctx")})
     met = scratch.save(side.select("_did", "_sub", "s", "l", "ctx", "known", late), "met")
     whole = met.filter(F.col("late") & (F.length("ctx") >= LENGTH)).select("_did", "_sub", (F.col("s") - F.col("l")).alias("s"), (F.col("s") - F.col("l") + F.length("ctx")).alias("e"))
-    strings = met.filter("not late").select("_did", "_sub", "s", "l", "ctx", "known").mapInArrow(_opened, "_did long, _sub int, s long, w1 long, w2 long")
+    # neighbours in the order of what follows, and in that of what stands before, tell which strings can be another's at all
+    order = [F.expr(f"substring(ctx, l + 1, {LENGTH})"), "_did", "_sub", "s"]
+    ahead = met.filter("not late").select(*_MET).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_ahead, "_did long, _sub int, s long, l int, ctx binary, known binary, a int, back binary")
+    ahead = scratch.save(ahead, "ahead")
+    order = ["back", "_did", "_sub", "s"]
+    strings = ahead.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_opened, "_did long, _sub int, s long, w1 long, w2 long")
     across = strings.select("_did", "_sub", "s", late).filter("late").select("_did", "_sub", "s", (F.col("s") + LENGTH).alias("e"))
     return said.filter("ctx is null").select("_did", "_sub", "s", "e").unionByName(whole).unionByName(across)
 
@@ -306,7 +349,9 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch | None = None) -> DataFra
     multikey quicksort, as is what stands before them; the lengths common to neighbours in the two orders say which strings
     around the token are equal, and all but the earliest of them are late.
     What a bucket's first and last group leave open is compared across the boundaries in shuffles by content: first the
-    bytes around a suffix as a whole, then the strings of those that are new. No pair of suffixes is formed.
+    bytes around a suffix as a whole, then the strings of those that are new. Of these strings only such are opened as another
+    suffix can have: those within the bytes that a suffix shares with its neighbours, where all open suffixes are sorted by
+    what follows and then by what stands before. No pair of suffixes is formed.
 
     Null text: empty, nothing removed. Texts under 100 bytes lose nothing. Rows with a null doc_id come before all
     others. Rows that repeat a doc_id and text are one document and get equal results. An empty table gives no rows; other
