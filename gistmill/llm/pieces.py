@@ -7,7 +7,6 @@ import ctypes
 import re
 import string
 from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
@@ -26,10 +25,8 @@ SPACE = "▁"
 MASKED = 62
 #: Most words whose ids are broadcast (about 20 MB); other words' ids are joined to their documents.
 FREQUENT = 200_000
-#: Chunks of several frequent words that a task remembers.
-REMEMBERED = 100_000
-#: Words that a task counts before it passes them on.
-HELD = 100_000
+#: Texts whose words are looked up at a time.
+SLICE = 1024
 
 @dataclass
 class Model:
@@ -45,7 +42,7 @@ class Model:
     unknown: int
     text: list[str | int] = field(default_factory=list)  # of each id: its text, its byte, or '' if it stands for none
     raw: pa.Array | None = None
-    word: str = ""  # the pattern of words
+    word: re.Pattern = re.compile("")  # the pattern of words
     marks: frozenset[str] = frozenset()  # marks that no piece has after a letter
 
     @staticmethod
@@ -70,7 +67,7 @@ class Model:
         free = frozenset(c for c in string.punctuation if c not in after)
         marks = re.escape("".join(sorted(free)))
         word = f"{SPACE}*(?:[^\\W\\d_]++(?![^{SPACE}\n{marks}])|[^{SPACE}\n]+)|{SPACE}+|\n" if marks else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
-        return Model(ids, {p.id_to_piece(i): k for k, i in enumerate(order)}, [bytes_[b] for b in range(256)] if len(bytes_) == 256 else [], p.unk_id(), text, None, word, free)
+        return Model(ids, {p.id_to_piece(i): k for k, i in enumerate(order)}, [bytes_[b] for b in range(256)] if len(bytes_) == 256 else [], p.unk_id(), text, None, re.compile(word), free)
 
     def chunks(self, text: str) -> list[str]:
         """What stands between spaces, as keys: each is a run of words after one space, which is left out (further ones are
@@ -79,22 +76,94 @@ class Model:
             return [c[1:] for c in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
         return text.split(" ") if text else []
 
-    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def split(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The distinct chunks of texts; of all their chunks, in order, the numbers in these; the texts' ends in those, 0 first."""
-        plain = [(" ".join(self.chunks(t)) if "  " in t or SPACE in t or t[0] == " " or t[-1] == " " else t) if t else None for t in texts]
-        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
-        every = lists.flatten().dictionary_encode()
-        ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(lists).to_pylist())])
-        return every.dictionary.to_numpy(zero_copy_only=False).tolist(), every.indices.to_numpy(), ends
+        every, ends = self.every_chunk(pa.array(texts, pa.large_string()))
+        every = every.dictionary_encode()
+        return every.dictionary.to_pylist(), every.indices.to_numpy(), ends
+
+    def every_chunk(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All chunks of texts (large_string), in order, and the texts' ends in them, 0 first. A null text has none."""
+        full = pc.fill_null(pc.not_equal(texts, ""), False)
+        texts = texts.filter(full)
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        if odd.true_count:
+            texts = pa.array([" ".join(self.chunks(t)) if o else t for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)], pa.large_string())
+        lists = pc.split_pattern(texts, " ")
+        sizes = np.zeros(len(full), np.int64)
+        sizes[full.to_numpy(zero_copy_only=False)] = pc.list_value_length(lists).to_numpy()
+        return lists.flatten(), np.concatenate([[0], np.cumsum(sizes)])
+
+    def cut(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of chunks (large_string) in order, and the number of each one's chunk. Chunks of letters alone, or with
+        one mark behind them, are cut as columns."""
+        letters = pc.utf8_is_alpha(chunks)
+        marked = none = pa.array(np.zeros(len(chunks), bool))
+        if self.marks:
+            body, last = pc.utf8_slice_codeunits(chunks, 0, -1), pc.utf8_slice_codeunits(chunks, -1)
+            marked = pc.and_(pc.is_in(last, pa.array(sorted(self.marks), pa.large_string())), pc.utf8_is_alpha(body))
+            if not "".join(["a", *body.filter(pc.and_not(marked, pc.string_is_ascii(body))).to_pylist()]).isalpha():
+                marked = none  # letters must be letters to words() as well
+        other = pc.invert(pc.or_(letters, marked))
+        rest = list(map(self.words, chunks.filter(other).to_pylist()))
+        of = [np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (letters, marked, marked, other)]
+        of[3] = np.repeat(of[3], np.fromiter(map(len, rest), np.int64, len(rest)))
+        words = [spaced(chunks.filter(letters)), *([spaced(body.filter(marked)), last.filter(marked)] if self.marks else []), pa.array([w for ws in rest for w in ws], pa.large_string())]
+        number = np.concatenate(of)  # nothing is marked without marks
+        by = np.argsort(number, kind="stable")
+        return pa.concat_arrays(words).take(pa.array(by)), number[by]
 
     def words(self, chunk: str) -> list[str]:
-        """The words of a chunk, as self.word finds them. Letters alone, or with one mark behind them, need no search."""
+        """The words of a chunk, as self.word finds them. Letters alone, or with one mark behind them, need no search, nor do
+        two such with a newline between, as no word reaches over one."""
         if self.marks:
             if chunk.isalpha():
                 return [SPACE + chunk]
             if chunk[-1:] in self.marks and (body := chunk[:-1]).isalpha():
                 return [SPACE + body, chunk[-1]]
-        return re.findall(self.word, SPACE + chunk)
+            if "\n" in chunk:
+                a, _, b = chunk.partition("\n")
+                out = [SPACE + a] if a.isalpha() else [SPACE + a[:-1], a[-1]] if a[-1:] in self.marks and a[:-1].isalpha() else self.word.findall(SPACE + a)
+                out.append("\n")
+                out += [b] if b.isalpha() else [b[:-1], b[-1]] if b[-1:] in self.marks and b[:-1].isalpha() else self.word.findall(b)
+                return out
+        return self.word.findall(SPACE + chunk)
+
+    def tally(self, texts: pa.Array) -> pa.RecordBatch:
+        """(word, n): the words of texts and how often they occur. Distinct chunks are counted first."""
+        chunks, n = pc.value_counts(self.every_chunk(texts.cast(pa.large_string()))[0]).flatten()
+        words, of = self.cut(chunks)
+        words = words.dictionary_encode()
+        total = np.bincount(words.indices.to_numpy(), n.to_numpy()[of], len(words.dictionary)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([words.dictionary.cast(pa.string()), pa.array(total)], ["word", "n"])
+
+    def spelling(self, texts: pa.Array, frequent: pa.Array) -> Spelling:
+        """The words of texts (large_string) as numbers, told apart by whether they are in `frequent` (large_string)."""
+        every, ends = self.every_chunk(texts)
+        every = every.dictionary_encode()
+        at = every.indices.to_numpy()
+        whole = pc.index_in(spaced(every.dictionary), frequent)  # a word with a space before it is a chunk's only one
+        new = np.flatnonzero(whole.is_null().to_numpy(zero_copy_only=False))
+        words, of = self.cut(every.dictionary.take(pa.array(new)))
+        words = words.dictionary_encode()
+        number = pc.index_in(words.dictionary, frequent)
+        rare = number.is_null().to_numpy(zero_copy_only=False)
+        # words by number: frequent ones first, then rare ones
+        number = np.where(rare, len(frequent) + np.cumsum(rare) - 1, pc.fill_null(number, 0).to_numpy())[words.indices.to_numpy()]
+        size = np.ones(len(whole), np.int64)
+        size[new] = np.bincount(of, minlength=len(new))
+        start = np.cumsum(size) - size
+        flat = np.repeat(pc.fill_null(whole, 0).to_numpy().astype(np.int64), size)
+        flat[np.repeat(whole.is_null().to_numpy(zero_copy_only=False), size)] = number
+        many = size[at]
+        upto = np.cumsum(many)
+        sequence = flat[np.repeat(start[at] - upto + many, many) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.concatenate([[0], upto])[ends]
+        # rare words of a text in the order in which they first occur
+        where = np.flatnonzero(sequence >= len(frequent))
+        word, text = sequence[where] - len(frequent), np.searchsorted(ends, where, "right") - 1
+        first = np.sort(np.unique(text * (rare.sum() + 1) + word, return_index=True)[1])
+        return Spelling(sequence, ends, words.dictionary.filter(pa.array(rare)), text[first], word[first])
 
     def ids_of(self, word: str, cuts: list[int]) -> list[int]:
         """The ids of a word that is cut at the given ends."""
@@ -125,6 +194,22 @@ class Model:
         return pc.replace_substring_regex(pc.replace_substring(texts, SPACE, " "), "^ ", "", max_replacements=1).cast(pa.string())
 
 
+@dataclass
+class Spelling:
+    """Of texts: the numbers of their words in order, cut at ends (0 first); numbers from that of frequent words on are rare
+    words'. (text, word): which rare words a text has, in the order in which they first occur."""
+
+    sequence: np.ndarray
+    ends: np.ndarray
+    rare: pa.Array
+    text: np.ndarray
+    word: np.ndarray
+
+
+def spaced(chunks: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), chunks, pa.scalar("", pa.large_string()))
+
+
 def gathered(values: pa.Array, at: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
     """The bytes of values (large_binary) at given places, joined, and the end of each in these, 0 first."""
     if not len(at):
@@ -133,15 +218,6 @@ def gathered(values: pa.Array, at: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
     return taken.buffers()[2], np.frombuffer(taken.buffers()[1], np.int64, len(at) + 1)
 
 
-def places(lost: dict[int, list[str]], n: int, at: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, list[str]]]:
-    """(text, words) of the chunks of Model.split() that are in `lost` by their numbers (of n), in order."""
-    if lost:
-        some = np.zeros(n, bool)
-        some[list(lost)] = True
-        where = np.flatnonzero(some[at])
-        yield from zip((np.searchsorted(ends, where, "right") - 1).tolist(), map(lost.__getitem__, at[where].tolist()), strict=True)
-
-
 def merged_cuts(word: str, rank: dict[str, int]) -> list[int]:
     """The ends of a word's pieces: the pair that gives the first piece in order merges first, the leftmost of equal ones."""
     n = len(word)
@@ -273,25 +349,9 @@ def counted(texts: DataFrame, model: Model) -> DataFrame:
     """(word, n): the words of all texts (one column) and how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
-
-        def out(chunks: dict[str, int]) -> pa.RecordBatch:
-            found: dict[str, int] = {}
-            for chunk, n in chunks.items():  # a chunk is cut to words once, however often it occurs
-                for w in model.words(chunk):
-                    found[w] = found.get(w, 0) + n
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
-
-        for b in _small(batches, 128):
-            for t in b.column(0):
-                held.update(model.chunks(t.as_py()))
-            if len(held) > HELD:  # chunks met once go first, as they are the least likely to come again
-                once = {c: n for c, n in held.items() if n == 1}
-                if 2 * len(once) < len(held):
-                    once = held
-                yield out(once)
-                held = Counter({c: n for c, n in held.items() if n > 1} if once is not held else {})
-        yield out(held)
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                yield model.tally(b.column(0).slice(at, 2048))
 
     return texts.mapInArrow(_released(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -324,35 +384,16 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
     cut = scratch.save(spelled(lattice(counted(distinct.select("_text"), model), model), model), "cuts")
     often = most_frequent(cut, frequent)
     found = cut.filter(often).select("word", "ids").toArrow()  # columns, not rows: a small part of the driver's memory
-    known: dict[str, bytes] = dict(zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True))
+    often_words, often_ids = (found.column(c).combine_chunks().cast(k) for c, k in (("word", pa.large_string()), ("ids", pa.large_binary())))
     del found
-    # words of letters after a space, which mostly are whole chunks, are kept by these
-    alone = {w[1:]: known.pop(w) for w in list(known) if w[0] == SPACE and w[1:].isalpha()}
-    chunks, words = frozenset(alone), frozenset(known)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fine: set[str] = set()  # chunks of frequent words alone
-        for b in _small(batches):
-            dids, subs, texts = (c.to_pylist() for c in b.columns)
-            every, at, ends = model.split(texts)
-            lost: dict[int, list[str]] = {}
-            for k, chunk in enumerate(every):
-                if chunk in chunks or chunk in fine:
-                    continue
-                if chunk.isalpha():
-                    lost[k] = [SPACE + chunk]
-                elif some := [w for w in model.words(chunk) if w not in words and not (w[0] == SPACE and w[1:] in chunks)]:
-                    lost[k] = some
-                elif len(fine) < REMEMBERED:
-                    fine.add(chunk)
-            of: list[dict[str, None]] = [{} for _ in texts]
-            for d, some in places(lost, len(every), at, ends):
-                for w in some:
-                    of[d][w] = None
-            sizes = list(map(len, of))
-            numbers = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-            cols = [pa.array(np.repeat(np.array(c, t), sizes)) for c, t in ((dids, np.int64), (subs, np.int32))]
-            cols += [pa.array(numbers), pa.array([w for o in of for w in o], pa.string())]
+        for b in _small(batches, SLICE):
+            got = model.spelling(b.column(2).cast(pa.large_string()), often_words)
+            sizes = np.bincount(got.text, minlength=b.num_rows)
+            numbers = np.arange(len(got.text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            of = pa.array(got.text)
+            cols = [b.column(0).take(of), b.column(1).take(of), pa.array(numbers, pa.int32()), got.rare.take(pa.array(got.word)).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["_did", "_sub", "i", "word"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,52 +404,25 @@ def encode(docs: DataFrame, model: Model, scratch: Scratch | None = None, freque
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        memo: dict[str, bytes] = {}  # of chunks of frequent words alone
-
-        for b in _small(batches):
-            texts = [z.decompress(t.as_buffer()).decode() if t.is_valid else None for t in b.column(1)]
-            every, at, ends = model.split(texts)
-            found = list(map(alone.get, every))
-            lost: dict[int, list[str]] = {}  # words that aren't frequent, of chunks that have such
-            for k, x in enumerate(found):
-                if x is None and (data := memo.get(chunk := every[k])) is None:
-                    if chunk.isalpha():
-                        lost[k], found[k] = [SPACE + chunk], [None]
-                        continue
-                    ws = model.words(chunk)
-                    parts = [known.get(w) or (alone.get(w[1:]) if w[0] == SPACE else None) for w in ws]
-                    if None in parts:
-                        lost[k] = [w for w, p in zip(ws, parts, strict=True) if p is None]
-                        found[k] = parts
-                        continue
-                    found[k] = data = b"".join(parts)
-                    if len(memo) < REMEMBERED:
-                        memo[chunk] = data
-                elif x is None:
-                    found[k] = data
-            # a text's own ids come under the numbers of such words in the order in which they first occur
+        size = np.dtype(model.code).itemsize
+        for b in _small(batches, SLICE):
+            texts = pa.array([z.decompress(t.as_buffer()) if t.is_valid else None for t in b.column(1)], pa.large_binary()).cast(pa.large_string())
+            got = model.spelling(texts, often_words)
+            # a text's own ids come under the numbers of its rare words in the order in which they first occur
             own = b.column(2).flatten()
-            numbers, own = own.field("i").to_numpy(), own.field("ids").to_pylist()
-            starts = np.cumsum([0, *(n or 0 for n in b.column(2).value_lengths().to_pylist())]).tolist()
-            met: dict[str, bytes] = {}
-            doc, seen, in_order = -1, set(), iter(())
-            for d, some in places(lost, len(every), at, ends):
-                if d != doc:
-                    doc, seen = d, set()
-                    in_order = iter([own[starts[d] + k] for k in np.argsort(numbers[starts[d] : starts[d + 1]]).tolist()])
-                for w in some:
-                    if w not in seen:
-                        seen.add(w)
-                        met[w] = next(in_order)
-            for k, some in lost.items():
-                rest = iter(some)
-                found[k] = b"".join([met[next(rest)] if p is None else p for p in found[k]])
-            data, cuts = gathered(pa.array(found, pa.large_binary()), at)
-            size = np.dtype(model.code).itemsize
-            flat, ends = np.frombuffer(data, model.code, cuts[-1] // size).astype(np.int32), cuts[ends] // size
-            again = [model.decoded(flat, ends)] if decoded else []
-            cols = [b.column(0), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *again]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "ids", "decoded"][: len(cols)])
+            by = np.lexsort((own.field("i").to_numpy(), np.repeat(np.arange(b.num_rows), pc.fill_null(b.column(2).value_lengths(), 0).to_numpy())))
+            if len(by) != len(got.word):
+                raise ValueError("the ids of rare words don't belong to the texts")
+            place = np.zeros(len(got.rare), np.int64)
+            place[got.word[::-1]] = by[::-1]
+            values = pa.concat_arrays([often_ids, own.field("ids").cast(pa.large_binary()).take(pa.array(place))])
+            for s in range(0, b.num_rows, 256):
+                ends = got.ends[s : s + 257]
+                data, cuts = gathered(values, got.sequence[ends[0] : ends[-1]])
+                flat, ends = np.frombuffer(data, model.code, cuts[-1] // size).astype(np.int32), cuts[ends - ends[0]] // size
+                again = [model.decoded(flat, ends)] if decoded else []
+                cols = [b.column(0)[s : s + 256], texts[s : s + 256].cast(pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *again]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "ids", "decoded"][: len(cols)])
 
     found = distinct.select("_did", "_sub", "_text").mapInArrow(_released(rare), "_did long, _sub int, i int, word string")
     met = scratch.save(found.join(cut.filter(~often).select("word", "ids"), "word").select("_did", "_sub", "i", "ids"), "rare")
