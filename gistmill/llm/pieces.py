@@ -148,20 +148,20 @@ class Model:
         words = words.dictionary_encode()
         number = pc.index_in(words.dictionary, frequent)
         rare = number.is_null().to_numpy(zero_copy_only=False)
-        # words by number: frequent ones first, then rare ones
+        # words by number: frequent ones first, then rare ones. 4 bytes hold what a batch has of words
         number = np.where(rare, len(frequent) + np.cumsum(rare) - 1, pc.fill_null(number, 0).to_numpy())[words.indices.to_numpy()]
-        size = np.ones(len(whole), np.int64)
+        size = np.ones(len(whole), np.int32)
         size[new] = np.bincount(of, minlength=len(new))
-        start = np.cumsum(size) - size
-        flat = np.repeat(pc.fill_null(whole, 0).to_numpy().astype(np.int64), size)
+        start = np.cumsum(size, dtype=np.int32) - size
+        flat = np.repeat(pc.fill_null(whole, 0).to_numpy(), size)
         flat[np.repeat(whole.is_null().to_numpy(zero_copy_only=False), size)] = number
         many = size[at]
-        upto = np.cumsum(many)
-        sequence = flat[np.repeat(start[at] - upto + many, many) + np.arange(upto[-1] if len(upto) else 0)]
+        upto = np.cumsum(many, dtype=np.int32)
+        sequence = flat[np.repeat(start[at] - upto + many, many) + np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)]
         ends = np.concatenate([[0], upto])[ends]
         # rare words of a text in the order in which they first occur
         where = np.flatnonzero(sequence >= len(frequent))
-        word, text = sequence[where] - len(frequent), np.searchsorted(ends, where, "right") - 1
+        word, text = sequence[where].astype(np.int64) - len(frequent), np.searchsorted(ends, where, "right") - 1
         first = np.sort(np.unique(text * (rare.sum() + 1) + word, return_index=True)[1])
         return Spelling(sequence, ends, words.dictionary.filter(pa.array(rare)), text[first], word[first])
 
